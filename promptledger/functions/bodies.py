@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptledger.functions.findings import bind
+from promptledger.session import settle
 
 NEWLINE = "\n"
 
@@ -83,7 +84,8 @@ def with_parsed(df: DataFrame, body: str, out: str) -> DataFrame:
     at = lambda path: F.try_variant_get("_whole", path, "variant")
     alone = at("$[0][1]").isNull() & at("$[2]").isNull()
     marked = F.try_variant_get("_whole", "$[1]", "string") == F.col("_mark")
-    return whole.withColumn(out, F.when(alone & marked, at("$[0][0]"))).drop("_whole", "_mark")
+    parsed = whole.withColumn(out, F.when(alone & marked, at("$[0][0]"))).drop("_whole", "_mark")
+    return settle(parsed, out)
 
 
 def is_object(body: Column, parsed: Column) -> Column:

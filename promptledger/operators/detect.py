@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from promptledger.functions import recognisers as pii
 from promptledger.functions.findings import secret_findings
 from promptledger.functions.rules import CATALOGUE, SecretRule
-from promptledger.session import lookup_join
+from promptledger.session import lookup_join, settle
 
 MAX_NAME_WORDS = 3
 
@@ -19,7 +19,7 @@ def scan_secrets(
     df: DataFrame, text: str = "content", rules: Sequence[SecretRule] = CATALOGUE
 ) -> DataFrame:
     """Add ``findings``: every catalogue match, without the raw value."""
-    return df.withColumn("findings", secret_findings(text, rules))
+    return settle(df.withColumn("findings", secret_findings(text, rules)), "findings")
 
 
 def scan_pii(
@@ -33,7 +33,8 @@ def scan_pii(
 ) -> DataFrame:
     """Add ``findings``: personal data above the score threshold."""
     hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers, key)
-    return hit.withColumn("findings", pii.hits_to_findings(F.col("_hits"))).drop("_hits")
+    found = hit.withColumn("findings", pii.hits_to_findings(F.col("_hits"))).drop("_hits")
+    return settle(found, "findings")
 
 
 def with_pii_hits(
@@ -133,9 +134,7 @@ def name_hits(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 def explode_findings(df: DataFrame, *keep: str, findings: str = "findings") -> DataFrame:
     """One row per finding with the stable keys."""
-    # Not the bare column: a size test on it would be pushed down and scan again.
-    listed = F.when(F.size(findings) > 0, F.col(findings))
-    return df.select(*keep, F.posexplode(listed).alias("finding_no", "f")).select(
+    return df.select(*keep, F.posexplode(findings).alias("finding_no", "f")).select(
         *keep, "finding_no", "f.kind", "f.label", "f.severity",
         "f.span_start", "f.span_end", "f.preview",
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,18 @@ from pyspark.sql import types as T
 from promptledger.functions.findings import has_marker
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.schemas import LEDGER, LEDGER_FINDINGS, MONEY, empty, nothing
-from promptledger.session import keep_where
+from promptledger.session import settle
 
 UPSTREAM_COLUMNS = ("request_id", "upstream_status_code", "upstream_error", "latency_ms")
 
 
+def _ledger_finding(scanner: str, f: Column) -> Column:
+    return F.struct(
+        F.lit(scanner).alias("scanner"), f["kind"].alias("kind"), f["label"].alias("label"),
+        f["severity"].alias("severity"), f["preview"].alias("preview"),
+    )
+
+
 def flatten_findings(df: DataFrame, stages: Sequence[str]) -> Column:
     """Findings of all stages in chain order, with the stage as scanner.
 
@@ -27,13 +35,7 @@ def flatten_findings(df: DataFrame, stages: Sequence[str]) -> Column:
         note = df.schema[name].dataType
         if not isinstance(note, T.StructType) or "findings" not in note.names:
             continue
-        named = F.transform(
-            F.col(f"{name}.findings"),
-            lambda f, name=name: F.struct(
-                F.lit(name).alias("scanner"), f["kind"].alias("kind"), f["label"].alias("label"),
-                f["severity"].alias("severity"), f["preview"].alias("preview"),
-            ),
-        )
+        named = F.transform(F.col(f"{name}.findings"), partial(_ledger_finding, name))
         lists.append(F.coalesce(named.cast(LEDGER_FINDINGS), empty(LEDGER_FINDINGS)))
     if not lists:
         return empty(LEDGER_FINDINGS)
@@ -77,14 +79,12 @@ def build_ledger(decided: DataFrame, stages: Sequence[str]) -> DataFrame:
     for name in ("upstream_status_code", "upstream_error"):
         if name not in decided.columns:
             given[name] = F.lit(None)
-    records = decided.select(
-        "error_code",
+    return decided.where(F.col("error_code").isNull()).select(
         *[
             given.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
             for f in LEDGER.fields
-        ],
+        ]
     )
-    return keep_where(records, F.col("error_code").isNull()).drop("error_code")
 
 
 def first_per_request(df: DataFrame, key: str = "request_id", order: str = "arrival_seq") -> DataFrame:
@@ -139,7 +139,7 @@ def response_status(decided: DataFrame) -> Column:
 
 def leaks(table: DataFrame, rules: Sequence[SecretRule] = CATALOGUE) -> DataFrame:
     """Rows of any table whose JSON form holds a catalogue secret; must be empty."""
-    whole = table.select(F.to_json(F.struct("*")).alias("record"))
+    whole = settle(table.select(F.to_json(F.struct("*")).alias("record")), "record")
     hit = F.lit(False)
     for rule in rules:
         hit = hit | (

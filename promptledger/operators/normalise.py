@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions import bodies
 from promptledger.functions.identity import REQUEST_ID_HEADER, header, request_id
-from promptledger.session import keep_where
+from promptledger.session import settle
 
 UNKNOWN_PROVIDER = "unknown_provider"
 DEAD_LETTER_COLUMNS = (
@@ -17,17 +17,18 @@ DEAD_LETTER_COLUMNS = (
 )
 
 
-def _with_prompt(df: DataFrame, system_first, provider) -> DataFrame:
+def _with_prompt(df: DataFrame, system_first: Column, provider: Column, *added: str) -> DataFrame:
     """Add model and content to rows without an error, and drop the parsed body."""
     good = F.col("error_code").isNull()
     parsed = F.col("_parsed")
-    return df.withColumns(
+    out = df.withColumns(
         {
             "provider": F.when(good, provider),
             "model": F.when(good, bodies.text_or_null(bodies.field(parsed, "model"))),
             "content": F.when(good, bodies.prompt_text(parsed, system_first)),
         }
     ).drop("_parsed")
+    return settle(out, "provider", "model", "content", "error_code", "error_detail", *added)
 
 
 def normalise(
@@ -69,7 +70,11 @@ def normalise(
             ).otherwise(bodies.error_text(F.col("error_code"))),
         }
     )
-    return _with_prompt(df, F.col("_route").isin(with_system), F.col("_route")).drop("_route", "_given_id")
+    out = _with_prompt(
+        df, F.col("_route").isin(with_system), F.col("_route"),
+        "request_id", "error_status", "error",
+    )
+    return out.drop("_route", "_given_id")
 
 
 def normalise_files(files: DataFrame) -> DataFrame:
@@ -88,10 +93,9 @@ def normalise_files(files: DataFrame) -> DataFrame:
 
 def accepted(normalised: DataFrame) -> DataFrame:
     """Rows the chain decides."""
-    return keep_where(normalised, F.col("error_code").isNull())
+    return normalised.where(F.col("error_code").isNull())
 
 
 def dead_letters(normalised: DataFrame) -> DataFrame:
     """Rows that get a 404 or 400 answer and no audit record."""
-    letters = normalised.select(*DEAD_LETTER_COLUMNS)
-    return keep_where(letters, F.col("error_code").isNotNull())
+    return normalised.where(F.col("error_code").isNotNull()).select(*DEAD_LETTER_COLUMNS)

@@ -11,6 +11,7 @@ from promptledger.functions import bodies
 from promptledger.functions import recognisers as pii
 from promptledger.operators.detect import with_pii_hits
 from promptledger.schemas import SWAPS, empty
+from promptledger.session import settle
 
 
 def redact_texts(
@@ -23,13 +24,14 @@ def redact_texts(
     """Replace personal data in a text column; add ``mutations_applied``."""
     hit = with_pii_hits(df, text, "_hits", entities, threshold, names)
     swaps = hit.withColumn("_swaps", pii.hits_to_swaps(F.col("_hits")))
-    return swaps.withColumns(
+    out = swaps.withColumns(
         {
             text: F.when(F.size("_swaps") > 0, pii.apply_swaps(F.col(text), F.col("_swaps")))
             .otherwise(F.col(text)),
             "mutations_applied": F.coalesce(F.size("_swaps") > 0, F.lit(False)),
         }
     ).drop("_hits", "_swaps")
+    return settle(out, text, "mutations_applied")
 
 
 def rewrite_requests(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptledger.operators.ledger import plain_decimal
-from promptledger.session import keep_where
 
 
 def _note_json(df: DataFrame, name: str) -> Column:
@@ -42,12 +41,11 @@ def annotations_json(df: DataFrame, stages: Sequence[str]) -> Column:
 
 def file_results(decided: DataFrame, stages: Sequence[str]) -> DataFrame:
     """One row per readable file: verdict, stage, notes and reject as JSON."""
-    results = decided.select(
-        "error_code", "position", F.col("label").alias("file"), "verdict", "rejecting_middleware",
+    return decided.where(F.col("error_code").isNull()).select(
+        "position", F.col("label").alias("file"), "verdict", "rejecting_middleware",
         annotations_json(decided, stages).alias("annotations"),
         F.to_json("reject").alias("reject"),
     )
-    return keep_where(results, F.col("error_code").isNull()).drop("error_code")
 
 
 def batch_summary(decided: DataFrame) -> DataFrame:

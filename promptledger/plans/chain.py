@@ -25,6 +25,7 @@ from promptledger.operators import pricing
 from promptledger.operators.detect import with_pii_hits
 from promptledger.operators.redact import rewrite_requests
 from promptledger.schemas import FINDINGS, REJECT, nothing
+from promptledger.session import settle
 
 BLOCK = "block"
 REDACT = "redact"
@@ -214,7 +215,10 @@ class Chain:
         for stage in self.stages:
             df = self._run(stage, df)
         verdict = F.when(F.col("reject").isNotNull(), "rejected").otherwise("allowed")
-        return df.withColumn("verdict", F.when(F.col("error_code").isNull(), verdict))
+        df = df.withColumn("verdict", F.when(F.col("error_code").isNull(), verdict))
+        computed = ["reject", "rejecting_middleware", "mutations_applied", "verdict", "error_code"]
+        rewritten = [c for c in ("content", "body") if c in df.columns]
+        return settle(df, *computed, *rewritten, *self.names)
 
     def _run(self, stage: Stage, df: DataFrame) -> DataFrame:
         is_open = F.col("reject").isNull() & F.col("error_code").isNull()

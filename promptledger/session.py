@@ -67,13 +67,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep_where(df: DataFrame, condition: Column) -> DataFrame:
-    """A filter on computed columns that stays above their computation.
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once, below whatever is done with them later.
 
-    A plain filter is pushed below the projections and there repeats every
-    expression its columns came from (JSON parsing, pattern matching).
+    A filter on a computed column is otherwise pushed below the projections and
+    there repeats every expression the column came from (JSON parsing, pattern
+    matching). As the output of a generator the column stays where it is, while
+    filters on the other columns still reach the scan.
     """
-    return df.select(F.inline(F.when(condition, F.array(F.struct(*df.columns)))))
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names)))).select(*df.columns)
 
 
 def spread_small_input(df: DataFrame, *key: str) -> DataFrame:
