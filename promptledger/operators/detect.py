@@ -109,9 +109,8 @@ def name_hits(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
         )
     )
     candidates = placed.select(key, F.explode(runs).alias("run")).select(key, "run.*")
-    known = names.select("name").distinct()
     hits = lookup_join(
-        candidates, known, "name", F.struct(F.col(key), F.col("span_start")), how="inner"
+        candidates, names.select("name"), "name", F.struct(key, "span_start"), how="left_semi"
     )
     hit = F.struct(
         F.col("span_start"),

@@ -89,6 +89,7 @@ def report_lines(decided: DataFrame, stages: Sequence[str]) -> DataFrame:
     """The text report as rows, the totals line last.
 
     Order by position, file and line_no when writing; nothing is sorted before.
+    ``decided`` is read twice, so store it first (``session.cut_lineage``).
     """
     lines = F.when(
         F.col("error_code").isNull(),

@@ -58,12 +58,15 @@ class LedgerTable:
     """Parquet by day under ``path/table``; a request id is stored once.
 
     Records of a batch that share an id keep the earliest, and ids the table
-    already holds are skipped by an anti join on the id column alone.
+    already holds are skipped by an anti join on the id column alone. A copy of
+    an id may be ``days_back`` days younger than the first at most; the default
+    looks at all days. Writing a batch again adds nothing.
     """
 
     path: str
     table: str = DEFAULT_TABLE
     findings_as_json: bool = True
+    days_back: int | None = None
 
     def __post_init__(self):
         if not re.fullmatch(r"\w*[^\W_]\w*", self.table):
@@ -74,15 +77,19 @@ class LedgerTable:
         return f"{self.path.rstrip('/')}/{self.table}"
 
     def write(self, ledger: DataFrame) -> None:
-        fresh = first_per_request(ledger)
-        held = _load(ledger.sparkSession, self.folder, table(request_id=T.StringType()))
+        fresh = first_per_request(ledger).withColumn("day", F.to_date("timestamp"))
+        held = _load(
+            ledger.sparkSession, self.folder, table(request_id=T.StringType(), day=T.DateType())
+        )
         if held is not None:
-            fresh = fresh.join(held, "request_id", "left_anti")
+            if self.days_back is not None:
+                fresh = cut_lineage(fresh)
+                first_day = fresh.agg(F.min("day").alias("day")).first()["day"]
+                held = held.where(F.col("day") >= F.date_sub(F.lit(first_day), self.days_back))
+            fresh = fresh.join(held.select("request_id"), "request_id", "left_anti")
         if self.findings_as_json:
             fresh = fresh.withColumn("findings", F.to_json("findings"))
-        fresh.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy(
-            "day"
-        ).parquet(self.folder)
+        fresh.write.mode("append").partitionBy("day").parquet(self.folder)
 
 
 @dataclass(frozen=True)

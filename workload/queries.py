@@ -19,7 +19,7 @@ from promptledger.functions.tokens import TokenCounter, Vocabulary
 from promptledger.operators import detect, ledger, normalise, outages, pricing, redact, reports, stats
 from promptledger.plans.chain import BLOCK, REDACT, Chain, batch_chain, live_chain
 from promptledger.schemas import LEDGER_FINDINGS, empty
-from promptledger.session import shared_dir
+from promptledger.session import cut_lineage, shared_dir
 from promptledger.sources import ledgers, requests
 from promptledger.streaming import live
 from promptledger.streaming.outages import OutageTracker
@@ -848,18 +848,8 @@ def prompt_summary(spark, sf_dir):
 
 
 def _ranked(by: str, source: str) -> str:
-    return f"""SELECT category, n, first_seen,
-        CAST(row_number() OVER (ORDER BY n DESC, first_seen) AS INT) AS place
-      FROM (SELECT {by} AS category, count(*) AS n, min(arrival_seq) AS first_seen
-            FROM ({source}) WHERE {by} IS NOT NULL GROUP BY {by})"""
-
-
-def _placed(ordered: DataFrame) -> DataFrame:
-    """Number the rows of an ordered top list; the list is one row per category."""
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first_seen")))
-    return ordered.withColumn("place", place)
+    return f"""SELECT {by} AS category, count(*) AS n, min(arrival_seq) AS first_seen
+        FROM ({source}) WHERE {by} IS NOT NULL GROUP BY {by} ORDER BY n DESC, first_seen"""
 
 
 _SCANNERS = f"""SELECT arrival_seq, unnest(list_concat(
@@ -869,17 +859,17 @@ _SCANNERS = f"""SELECT arrival_seq, unnest(list_concat(
 
 @register("rejections_by_middleware", _ranked("rejecting_middleware", LEDGER_SQL))
 def rejections_by_middleware(spark, sf_dir):
-    return _placed(stats.breakdown(event_ledger(spark, sf_dir), stats.BY_MIDDLEWARE))
+    return stats.breakdown(event_ledger(spark, sf_dir), stats.BY_MIDDLEWARE)
 
 
 @register("requests_by_model", _ranked("model", LEDGER_SQL))
 def requests_by_model(spark, sf_dir):
-    return _placed(stats.breakdown(event_ledger(spark, sf_dir), stats.BY_MODEL))
+    return stats.breakdown(event_ledger(spark, sf_dir), stats.BY_MODEL)
 
 
 @register("findings_by_scanner", _ranked("scanner", _SCANNERS))
 def findings_by_scanner(spark, sf_dir):
-    return _placed(stats.breakdown(event_ledger(spark, sf_dir), stats.BY_SCANNER))
+    return stats.breakdown(event_ledger(spark, sf_dir), stats.BY_SCANNER)
 
 
 @register(
@@ -1059,7 +1049,7 @@ _LINES = f"""
 )
 def report_lines(spark, sf_dir):
     chain, out = scan_batch(spark, sf_dir)
-    return reports.report_lines(out, chain.names)
+    return reports.report_lines(cut_lineage(out), chain.names)
 
 
 @register(
@@ -1183,10 +1173,8 @@ def live_guardrail(spark, sf_dir):
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     chain = live_chain(None, BLOCK, POLICY, token_column="known_tokens")
     records = ledger.build_ledger(chain.decide(arriving), chain.names)
-    sink = ledgers.LedgerTable(f"{folder}/table")
-    started = live.start_sinks(
-        live.once_per_request(records, "365 days"), {"table": sink}, f"{folder}/checkpoints", once=True
-    )
+    sink = ledgers.LedgerTable(f"{folder}/table", days_back=1)
+    started = live.start_sinks(records, {"table": sink}, f"{folder}/checkpoints", once=True)
     for query in started.values():
         query.awaitTermination()
     stored = audit_columns(ledgers.read_table(spark, sink.path))
