@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.bodies import chat_body
 from promptledger.schemas import PROMPT_FILE, REQUEST
-from promptledger.session import lookup_join
 
 DEFAULT_MODEL = "gpt-4o"
+_LISTED = "label string, position bigint"
 
 
 def read_requests(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
@@ -39,7 +40,8 @@ def read_prompt_files(
 ) -> DataFrame:
     """One body per file under a folder or glob; nothing found gives no rows.
 
-    All share position 0, so a report orders them by name.
+    All share position 0, so a report orders them by name. Spark does not list
+    files of no bytes; :func:`read_prompt_list` reports them.
     """
     try:
         files = (
@@ -58,18 +60,28 @@ def read_prompt_files(
 
 
 def read_prompt_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Listed files, numbered in list order; an empty list gives no rows."""
-    if not paths:
-        return spark.createDataFrame([], PROMPT_FILE)
-    order = spark.createDataFrame(
-        [(p, i) for i, p in enumerate(paths)], "label string, position bigint"
-    )
-    files = spark.read.text(list(paths), wholetext=True).select(
-        _plain_path(F.col("_metadata.file_path")).alias("label"), F.col("value").alias("body")
-    )
-    return lookup_join(files, order, "label", F.col("label"), how="inner").select(
-        "label", "position", "body"
-    )
+    """Listed files, numbered in list order; an empty list gives no rows.
+
+    A file that is missing or has no bytes keeps its row, with a NULL body,
+    which is an input error.
+    """
+    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], _LISTED)
+    files = _read_existing(spark, list(paths))
+    return order.join(files, "label", "left").select("label", "position", "body")
+
+
+def _read_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    while paths:
+        try:
+            return spark.read.text(paths, wholetext=True).select(
+                _plain_path(F.col("_metadata.file_path")).alias("label"), F.col("value").alias("body")
+            )
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            gone = re.sub("^file:(//)?", "", missing.getMessageParameters()["path"])
+            paths = [p for p in paths if p != gone]
+    return spark.createDataFrame([], PROMPT_FILE).select("label", "body")
 
 
 def text_prompts(

@@ -1,0 +1,118 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import SECRETS, chat, requests
+from promptledger.operators import ledger as ledger_ops
+from promptledger.operators import stats
+from promptledger.plans.chain import REDACT, live_chain
+from promptledger.schemas import LEDGER
+from promptledger.sources import ledgers
+from promptledger.sources.requests import read_requests, stream_requests
+from promptledger.streaming import live
+from records import frame, record
+
+PATH = "/v1/chat/completions"
+
+
+def files(df, folder, parts=3):
+    """One JSON file after the other, in arrival order."""
+    total = df.count()
+    for part in range(parts):
+        lo, hi = part * total // parts, (part + 1) * total // parts
+        df.where(F.col("arrival_seq").between(lo, hi - 1)).coalesce(1).write.mode("append").json(folder)
+    return folder
+
+
+@pytest.fixture()
+def log(spark, tmp_path):
+    key = SECRETS["slack_token"]
+    bodies = [chat("gpt-4o", t) for t in ("hi", f"x {key}", "mail a@b.com", "word " * 50)] * 3 + ["bad", ""]
+    return files(requests(spark, [(PATH, b) for b in bodies]), str(tmp_path / "log"))
+
+
+def finish(queries):
+    for query in queries.values():
+        query.processAllAvailable()
+        query.awaitTermination(60)
+
+
+def test_stream_equals_table_and_every_sink_agrees(spark, tmp_path, log, counter):
+    chain = live_chain(counter, REDACT)
+    table_run = live.ledger_of(read_requests(spark, log), chain)
+    arriving = live.ledger_of(stream_requests(spark, log, files_per_batch=1), chain)
+    sinks = {
+        "json": ledgers.JsonLines(str(tmp_path / "json")),
+        "log": ledgers.LogEvents(str(tmp_path / "log-events")),
+        "table": ledgers.LedgerTable(str(tmp_path / "table"), days_back=1),
+        "ring": ledgers.Ring(str(tmp_path / "ring"), 5),
+        "nothing": ledgers.Discard(),
+    }
+    finish(live.start_sinks(arriving, sinks, str(tmp_path / "checkpoints"), once=True))
+    want = table_run.orderBy("arrival_seq").collect()
+    assert len(want) == 12 and {r["verdict"] for r in want} == {"allowed", "rejected"}
+    got = ledgers.read_json_lines(spark, sinks["json"].path).orderBy("arrival_seq").collect()
+    assert got == want
+    stored = ledgers.read_table(spark, sinks["table"].path).select(*LEDGER.names)
+    assert stored.orderBy("arrival_seq").collect() == want
+    assert [r["arrival_seq"] for r in sinks["ring"].read(spark).orderBy("arrival_seq").collect()] == [
+        r["arrival_seq"] for r in want[-5:]
+    ]
+    events = [json.loads(r.value) for r in spark.read.text(sinks["log"].path).collect()]
+    assert sorted(e["arrival_seq"] for e in events) == [r["arrival_seq"] for r in want]
+    for path in ("json", "log-events"):
+        assert ledger_ops.leaks(spark.read.text(str(tmp_path / path))).count() == 0
+
+
+def arriving_ledger(spark, tmp_path, df):
+    folder = str(tmp_path / "records")
+    df.orderBy("arrival_seq").coalesce(1).write.parquet(folder)
+    return spark.readStream.schema(LEDGER).parquet(folder)
+
+
+def test_live_summary_equals_the_table_summary(spark, tmp_path):
+    df = frame(spark, *[record(i) for i in range(20)])
+    query = live.start_summary(
+        arriving_ledger(spark, tmp_path, df), str(tmp_path / "out"), str(tmp_path / "c"), once=True
+    )
+    query.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).drop("version").collect() == stats.summary(df).collect()
+
+
+def test_copies_within_the_delay_are_dropped(spark, tmp_path):
+    df = frame(spark, *[record(i, request_id=f"id-{i % 4}") for i in range(12)])
+    once = live.once_per_request(arriving_ledger(spark, tmp_path, df))
+    sinks = {"json": ledgers.JsonLines(str(tmp_path / "json"))}
+    started = live.start_sinks(once, sinks, str(tmp_path / "c"), once=True)
+    finish(started)
+    rows = ledgers.read_json_lines(spark, sinks["json"].path)
+    assert sorted(r["request_id"] for r in rows.collect()) == [f"id-{i}" for i in range(4)]
+    assert live.late_rows(started["json"]) == 0
+
+
+def test_stream_join_with_closing_pass_records_everything_once(spark, tmp_path):
+    decisions = frame(
+        spark, *[record(i * 60, upstream_status_code=None, verdict="rejected" if i == 3 else "allowed") for i in range(10)]
+    )
+    calls = spark.createDataFrame(
+        [(f"id-{i * 60}", i * 60 + 5, 200 if i % 2 else None, None if i % 2 else "refused", 3.0) for i in range(0, 10, 3)],
+        "request_id string, s long, upstream_status_code int, upstream_error string, latency_ms double",
+    ).withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("s"))).drop("s")
+    calls.unionByName(calls).coalesce(1).write.parquet(str(tmp_path / "calls"))
+    joined = live.attach_upstream(
+        arriving_ledger(spark, tmp_path, decisions),
+        spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls")),
+        delay="1 minute", answer_within="1 minute",
+    )
+    sink = ledgers.JsonLines(str(tmp_path / "json"))
+    finish(live.start_sinks(joined, {"json": sink}, str(tmp_path / "c"), once=True))
+    recorded = ledgers.read_json_lines(spark, sink.path)
+    rest = live.unmatched_decisions(decisions, recorded)
+    assert recorded.count() < 10 and rest.count() > 0
+    rows = {r["request_id"]: r for r in recorded.unionByName(rest).collect()}
+    assert len(rows) == recorded.count() + rest.count() == 10
+    outcome = {k: (r["upstream_status_code"], r["upstream_error"]) for k, r in rows.items()}
+    assert outcome["id-0"] == (None, "refused") and outcome["id-540"] == (200, None)
+    assert outcome["id-180"] == (None, None) and outcome["id-60"] == (None, None)
+    assert rows["id-540"]["latency_ms"] == 3.0
