@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions import recognisers as pii
-from promptledger.functions.findings import secret_findings
+from promptledger.functions.findings import bind, literal, secret_findings, unicode_aware
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.session import lookup_join, settle
 
 MAX_NAME_WORDS = 3
+INLINE_NAMES = 5_000
 
 
 def scan_secrets(
@@ -50,85 +51,94 @@ def with_pii_hits(
     """Add the transient hits array (it holds raw matches)."""
     pii.check_threshold(threshold)
     chosen = pii.choose(entities) if recognisers is None else tuple(recognisers)
-    wants_names = names is not None and (entities is None or pii.PERSON in entities)
-    if not wants_names:
+    if names is None or not (entities is None or pii.PERSON in entities):
         return df.withColumn(out, pii.pii_hits(text, chosen, threshold))
-    found = name_hits(df.select(F.col(key), F.col(text).alias("_text")), names, key)
-    joined = df.join(found, key, "left")
-    return joined.withColumn(
+    listed = _short_list(names)
+    if listed is not None:
+        runs = settle(df.withColumn("_runs", word_runs(text)), "_runs")
+        known = F.filter("_runs", lambda r: r["name"].isin(listed)) if listed else F.array()
+        found = settle(runs.withColumn("_names", _longest(_as_hits(known))), "_names").drop("_runs")
+    else:
+        found = df.join(name_hits(df.select(F.col(key), F.col(text)), text, names, key), key, "left")
+    return found.withColumn(
         out, pii.pii_hits(text, chosen, threshold, more=F.col("_names"))
     ).drop("_names")
 
 
-def name_hits(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """PERSON hits: runs of one to three words that stand in the names table.
-
-    ``texts`` has a unique ``key`` and ``_text``; ``names`` has ``name``, words
-    separated by one space. Only texts with a hit come back, one row each, so
-    the number of hits of one key is bounded by its own text.
-    """
-    words = F.regexp_extract_all("_text", F.lit(r"(?U)\w+"), F.lit(0))
-    gaps = F.split("_text", r"(?U)\w+", -1)
-    split = texts.where(F.col("_text").isNotNull()).select(
-        key, words.alias("words"), gaps.alias("gaps")
+def _short_list(names: DataFrame) -> list[str] | None:
+    """The names, if there are few enough to stand in the plan as a hash set."""
+    rows = names.select("name").where(F.col("name").isNotNull()).limit(INLINE_NAMES + 1).collect()
+    return sorted({r["name"] for r in rows}) if len(rows) <= INLINE_NAMES else None
+
+
+_STARTS = "struct<at:int,starts:array<int>>"
+
+
+def _runs_of(n: int) -> str:
+    """SQL for the runs of ``n`` words in p (words, gaps, starts); no run has a NULL name."""
+    if n == 1:
+        return "transform(p.words, (w, i) -> struct(p.starts[i] AS span_start, w AS name))"
+    return f"""CASE WHEN size(p.words) >= {n} THEN
+      transform(sequence(0, size(p.words) - {n}, 1), i -> struct(
+        p.starts[i] AS span_start,
+        CASE WHEN forall(slice(p.gaps, i + 2, {n - 1}), g -> g = ' ')
+             THEN array_join(slice(p.words, i + 1, {n}), ' ') END AS name)) ELSE array() END"""
+
+
+def word_runs(text: str) -> Column:
+    """Runs of one to three words that single spaces join, with their start."""
+    word = literal(unicode_aware(r"\w+"))
+    runs = ", ".join(_runs_of(n) for n in range(1, MAX_NAME_WORDS + 1))
+    return F.expr(f"""
+      transform(transform(array(struct(
+          regexp_extract_all({text}, {word}, 0) AS words, split({text}, {word}, -1) AS gaps)),
+        t -> struct(t.words AS words, t.gaps AS gaps, aggregate(
+          zip_with(t.words, slice(t.gaps, 1, size(t.words)), (w, g) -> struct(w AS w, g AS g)),
+          CAST(struct(0 AS at, array() AS starts) AS {_STARTS}),
+          (s, x) -> CAST(struct(s.at + length(x.g) + length(x.w) AS at,
+                                array_append(s.starts, s.at + length(x.g)) AS starts) AS {_STARTS}),
+          s -> s.starts) AS starts)),
+        p -> filter(concat({runs}), r -> r.name IS NOT NULL))[0]""")
+
+
+def _as_hits(runs: Column) -> Column:
+    return F.transform(
+        runs,
+        lambda r: F.struct(
+            r["span_start"].alias("span_start"),
+            F.lit(len(pii.RECOGNISERS)).alias("position"),
+            (r["span_start"] + F.length(r["name"])).alias("span_end"),
+            F.lit(pii.PERSON).alias("entity"),
+            F.lit(pii.PERSON_SCORE).alias("score"),
+            r["name"].alias("matched"),
+        ),
+    ).cast(pii.PII_HITS)
+
+
+def _longest(hits: Column) -> Column:
+    """Hits that no longer hit covers."""
+
+    def covers(g: Column, h: Column) -> Column:
+        longer = (g["span_end"] - g["span_start"]) > (h["span_end"] - h["span_start"])
+        return (g["span_start"] <= h["span_start"]) & (g["span_end"] >= h["span_end"]) & longer
+
+    return bind(
+        hits, lambda all_hits: F.filter(all_hits, lambda h: ~F.exists(all_hits, lambda g: covers(g, h)))
     )
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        return F.struct(
-            (start + F.length(pair["word"])).alias("at"),
-            F.array_append(state["starts"], start).alias("starts"),
-        ).cast("struct<at:int,starts:array<int>>")
 
-    pairs = F.zip_with(
-        "words", F.slice("gaps", F.lit(1), F.size("words")),
-        lambda w, g: F.struct(w.alias("word"), g.alias("gap")),
-    )
-    begin = F.struct(F.lit(0).alias("at"), F.array().alias("starts")).cast(
-        "struct<at:int,starts:array<int>>"
-    )
-    placed = split.withColumn("starts", F.aggregate(pairs, begin, step, lambda s: s["starts"]))
-    # A run of n words counts when single spaces join its words.
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(MAX_NAME_WORDS)),
-            lambda n: F.filter(
-                F.transform(
-                    "words",
-                    lambda w, i: F.struct(
-                        F.get("starts", i).alias("span_start"),
-                        F.when(
-                            (i + n <= F.size("words"))
-                            & F.forall(F.slice("gaps", i + 2, n - 1), lambda g: g == " "),
-                            F.array_join(F.slice("words", i + 1, n), " "),
-                        ).alias("name"),
-                    ),
-                ),
-                lambda r: r["name"].isNotNull(),
-            ),
-        )
-    )
-    candidates = placed.select(key, F.explode(runs).alias("run")).select(key, "run.*")
+def name_hits(texts: DataFrame, text: str, names: DataFrame, key: str) -> DataFrame:
+    """PERSON hits by a join with a long names table.
+
+    ``key`` is unique, so the hits of one key are bounded by its own text. Only
+    texts with a hit come back, one row each.
+    """
+    runs = texts.where(F.col(text).isNotNull()).select(key, F.explode(word_runs(text)).alias("r"))
     hits = lookup_join(
-        candidates, names.select("name"), "name", F.struct(key, "span_start"), how="left_semi"
-    )
-    hit = F.struct(
-        F.col("span_start"),
-        F.lit(len(pii.RECOGNISERS)).alias("position"),
-        (F.col("span_start") + F.length("name")).alias("span_end"),
-        F.lit(pii.PERSON).alias("entity"),
-        F.lit(pii.PERSON_SCORE).alias("score"),
-        F.col("name").alias("matched"),
-    ).cast(pii.PII_HIT)
-    # A shorter name inside a longer one at the same or a later start is dropped.
-    listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("_all"))
-    covered = lambda h, g: (
-        (g["span_start"] <= h["span_start"])
-        & (g["span_end"] >= h["span_end"])
-        & ((g["span_end"] - g["span_start"]) > (h["span_end"] - h["span_start"]))
+        runs.select(key, "r.*"), names.select("name"), "name", F.struct(key, "span_start"), "left_semi"
     )
-    kept = F.filter("_all", lambda h: ~F.exists("_all", lambda g: covered(h, g)))
-    return listed.select(key, kept.alias("_names"))
+    listed = hits.groupBy(key).agg(F.collect_list(F.struct("span_start", "name")).alias("_all"))
+    return listed.select(key, _longest(_as_hits(F.col("_all"))).alias("_names"))
 
 
 def explode_findings(df: DataFrame, *keep: str, findings: str = "findings") -> DataFrame:

@@ -89,7 +89,9 @@ class LedgerTable:
             fresh = fresh.join(held.select("request_id"), "request_id", "left_anti")
         if self.findings_as_json:
             fresh = fresh.withColumn("findings", F.to_json("findings"))
-        fresh.write.mode("append").partitionBy("day").parquet(self.folder)
+        # One file per day and task at most, and a day of any size in many tasks.
+        by_day = fresh.hint("rebalance", "day")
+        by_day.write.mode("append").partitionBy("day").parquet(self.folder)
 
 
 @dataclass(frozen=True)

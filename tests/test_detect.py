@@ -138,14 +138,13 @@ def test_no_builtin_match_crosses_a_line(spark):
         assert "\n" not in text[f[3] : f[4]]
 
 
-@pytest.mark.parametrize("limit", [50_000, 0], ids=["broadcast", "salted"])
-def test_names_from_a_table(spark, monkeypatch, limit):
+@pytest.mark.parametrize("inline, rows", [(5_000, 0), (0, 50_000), (0, 0)], ids=["inline", "broadcast", "salted"])
+def test_names_from_a_table(spark, monkeypatch, inline, rows):
     from promptledger import session
 
     join = session.lookup_join
-    monkeypatch.setattr(
-        detect, "lookup_join", lambda *a, **k: join(*a, **{**k, "max_rows": limit})
-    )
+    monkeypatch.setattr(detect, "INLINE_NAMES", inline)
+    monkeypatch.setattr(detect, "lookup_join", lambda *a: join(*a, max_rows=rows))
     names = spark.createDataFrame([("Ana Silva",), ("Ana",), ("Ana",), ("Zoë",)], "name string")
     text = "😀 Bob Ana Silva met Ana,  Zoë and Ana  Silva"
     found = scanned(detect.scan_pii(prompts(spark, text, "nobody", None), names=names))

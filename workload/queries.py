@@ -170,6 +170,32 @@ def text_prompts(spark, sf_dir):
     return out.select("arrival_seq", "provider", "model", F.md5("content").alias("content_hash"))
 
 
+_FILE_ERROR = """CASE WHEN NOT json_valid(body) THEN 'invalid_json'
+    WHEN json_type(body) <> 'OBJECT' THEN 'not_an_object'
+    WHEN coalesce(json_type(body, '$.model') <> 'VARCHAR', TRUE)
+      OR json_extract_string(body, '$.model') = '' THEN 'missing_model'
+    WHEN coalesce(json_type(body, '$.messages') <> 'ARRAY', TRUE)
+      OR json_array_length(body, '$.messages') = 0 THEN 'missing_messages' END"""
+
+
+@register(
+    "prompt_files",
+    f"""SELECT arrival_seq, error_code, CASE WHEN error_code IS NULL THEN
+          CASE WHEN json_type(body, '$.system') IS NOT NULL
+            OR lower(json_extract_string(body, '$.model')) LIKE 'claude%' THEN 'anthropic' ELSE 'openai' END
+          END AS provider FROM (SELECT *, {_FILE_ERROR} AS error_code FROM ({CHAT}))""",
+)
+def prompt_files(spark, sf_dir):
+    """Every body in a file of its own, read back as a folder of prompts."""
+    folder = fresh_folder(spark, "prompt-files")
+    bodies_of = chat_requests(spark, sf_dir).select("arrival_seq", "body")
+    bodies_of.write.partitionBy("arrival_seq").text(folder)
+    files = requests.read_prompt_files(spark, folder, pattern="*.txt")
+    number = F.regexp_extract("label", "arrival_seq=([0-9]+)", 1).cast("long")
+    out = normalise.normalise_files(files).withColumn("arrival_seq", number)
+    return out.select("arrival_seq", "error_code", "provider")
+
+
 # ---------------------------------------------------------------- secrets
 
 SECRETS = checked("secret_prompts")
