@@ -11,12 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptledger.functions.findings import bind
 from promptledger.session import settle
 
-NEWLINE = "\n"
-
-
 @dataclass(frozen=True)
 class ProviderRoute:
     """A protected path and how its bodies are laid out."""
@@ -120,33 +116,32 @@ def detect_provider(parsed: Column) -> Column:
     return F.when(field(parsed, "system").isNotNull() | claude, "anthropic").otherwise("openai")
 
 
-def content_text(content: Column) -> Column:
-    """A string as it is, the text parts of a list joined by newlines, else ''."""
+def _text_sql(value: str) -> str:
+    """SQL for the string in a variant, NULL for any other type."""
+    return f"""CASE WHEN schema_of_variant({value}) = 'STRING'
+      THEN try_variant_get({value}, '$', 'string') END"""
 
-    def part_text(part: Column) -> Column:
-        return F.coalesce(text_or_null(part), text_or_null(field(part, "text")))
 
-    def joined(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, part_text), NEWLINE)
+def _content_sql(content: str) -> str:
+    """SQL: a string as it is, the text parts of a list joined by newlines, else ''."""
+    part = f"""coalesce({_text_sql('p')}, {_text_sql("try_variant_get(p, '$.text', 'variant')")})"""
+    return f"""coalesce({_text_sql(content)},
+      transform(array(try_variant_get({content}, '$', 'array<variant>')), parts ->
+        CASE WHEN parts IS NOT NULL THEN array_join(transform(parts, p -> {part}), '\n') END)[0], '')"""
 
-    return F.coalesce(
-        text_or_null(content),
-        bind(list_or_null(content), lambda parts: F.when(parts.isNotNull(), joined(parts))),
-        F.lit(""),
-    )
 
+def prompt_text(parsed: str, system_first: str) -> Column:
+    """Message texts of variant column ``parsed`` in order, joined by newlines.
 
-def prompt_text(parsed: Column, system_first: Column) -> Column:
-    """Message texts in order, joined by newlines, empty ones skipped.
-
-    Where ``system_first`` is true the ``system`` member comes before them.
+    Empty texts are skipped. Where boolean column ``system_first`` is true the
+    ``system`` member comes before the messages.
     """
-    messages = F.transform(
-        list_or_null(field(parsed, "messages")), lambda m: content_text(field(m, "content"))
-    )
-    system = F.when(system_first, content_text(field(parsed, "system"))).otherwise("")
-    texts = F.filter(F.concat(F.array(system), messages), lambda t: t != "")
-    return F.array_join(texts, NEWLINE)
+    message = _content_sql("try_variant_get(m, '$.content', 'variant')")
+    system = _content_sql(f"try_variant_get({parsed}, '$.system', 'variant')")
+    return F.expr(f"""array_join(filter(concat(
+      array(CASE WHEN {system_first} THEN {system} ELSE '' END),
+      transform(try_variant_get({parsed}, '$.messages', 'array<variant>'), m -> {message})),
+      t -> t <> ''), '\n')""")
 
 
 def chat_body(model: Column, text: Column) -> Column:

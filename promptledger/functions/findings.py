@@ -63,17 +63,16 @@ def match_spans(text: str, pattern: str) -> str:
       ELSE CAST(array() AS {_SPANS}) END)[0]"""
 
 
-def preview(matched: Column) -> Column:
-    """At most the first four and last two characters of a match."""
-    return F.when(
-        F.length(matched) <= 6, F.repeat(F.lit("*"), F.length(matched))
-    ).otherwise(F.concat(F.left(matched, F.lit(4)), F.lit("***"), F.right(matched, F.lit(2))))
+def preview_sql(matched: str) -> str:
+    """SQL for at most the first four and last two characters of a match."""
+    return f"""CASE WHEN length({matched}) <= 6 THEN repeat('*', length({matched}))
+      ELSE concat(left({matched}, 4), '***', right({matched}, 2)) END"""
 
 
-def severity_of(score: Column) -> Column:
-    return (
-        F.when(score >= HIGH_SCORE, "high").when(score >= MEDIUM_SCORE, "medium").otherwise("low")
-    )
+def severity_sql(score: str) -> str:
+    """SQL for the severity of a confidence score."""
+    return f"""CASE WHEN {score} >= {HIGH_SCORE} THEN 'high' WHEN {score} >= {MEDIUM_SCORE}
+      THEN 'medium' ELSE 'low' END"""
 
 
 def severity_rank(severity: Column) -> Column:
@@ -101,8 +100,7 @@ def _rule_hits(text: str, rule: SecretRule, position: int) -> str:
     described = f"""CAST(transform({match_spans(text, rule.pattern)}, s -> struct(
       s.span_start, {position} AS position, s.span_end, {literal(rule.name)} AS kind,
       {literal(rule.label)} AS label, {literal(rule.severity)} AS severity,
-      CASE WHEN length(s.matched) <= 6 THEN repeat('*', length(s.matched))
-           ELSE concat(left(s.matched, 4), '***', right(s.matched, 2)) END AS preview
+      {preview_sql("s.matched")} AS preview
     )) AS {_HITS})"""
     if not rule.markers:
         return described

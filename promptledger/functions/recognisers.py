@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promptledger.functions.findings import match_spans, preview, severity_of
-from promptledger.schemas import FINDINGS, SWAPS, empty
+from promptledger.functions.findings import literal, match_spans, preview_sql, severity_sql
+from promptledger.schemas import FINDINGS, SWAPS
 
 DEFAULT_THRESHOLD = 0.5
 CONTEXT_CHARS = 50
@@ -25,56 +25,36 @@ class Recogniser:
     """An entity found by a pattern.
 
     ``gate`` is a cheap pattern that is found in every text with a match; texts
-    without it are not searched. ``check`` keeps a match when true.
-    ``score_of(text, start, matched)`` gives a score that depends on the
-    surroundings; otherwise ``score`` holds.
+    without it are not searched. ``check`` is SQL that keeps a match when true,
+    ``score_sql`` SQL for a score that depends on the surroundings; otherwise
+    ``score`` holds. Both may name {matched}, {start} and {text}.
     """
 
     entity: str
     pattern: str
     score: float
     gate: str | None = None
-    check: Callable[[Column], Column] | None = None
-    score_of: Callable[[Column, Column, Column], Column] | None = None
+    check: str | None = None
+    score_sql: str | None = None
 
 
-def luhn_valid(matched: Column) -> Column:
-    return F.call_function("luhn_check", F.regexp_replace(matched, "[ -]", ""))
+LUHN_VALID = "luhn_check(regexp_replace({matched}, '[ -]', ''))"
 
+# Country and check digits go last, letters count 10 to 35, the remainder is 1.
+_COMPACT = "replace({matched}, ' ', '')"
+IBAN_VALID = f"""length({_COMPACT}) >= 15 AND aggregate(
+    split(concat(substr({_COMPACT}, 5), left({_COMPACT}, 4)), '(?!^)(?!$)'), 0,
+    (rest, c) -> CAST(CASE WHEN ascii(c) >= 65 THEN (rest * 100 + ascii(c) - 55) % 97
+                           ELSE (rest * 10 + ascii(c) - 48) % 97 END AS INT)) = 1"""
 
-def iban_valid(matched: Column) -> Column:
-    """Country and check digits go last, letters count 10 to 35, remainder is 1."""
-    compact = F.replace(matched, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substr(compact, F.lit(5)), F.left(compact, F.lit(4)))
+# No area 000, 666 or 9xx, no group 00, no serial 0000.
+SSN_VALID = """left({matched}, 3) NOT IN ('000', '666') AND left({matched}, 1) <> '9'
+    AND substr({matched}, 5, 2) <> '00' AND right({matched}, 4) <> '0000'"""
 
-    def digit(state: Column, char: Column) -> Column:
-        code = F.ascii(char)
-        return F.when(
-            code >= 65, (state * 100 + code - 55) % 97
-        ).otherwise((state * 10 + code - 48) % 97).cast("int")
-
-    remainder = F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), digit)
-    return (F.length(compact) >= 15) & (remainder == 1)
-
-
-def ssn_valid(matched: Column) -> Column:
-    """No area 000, 666 or 9xx, no group 00, no serial 0000."""
-    area = F.left(matched, F.lit(3))
-    return (
-        ~area.isin("000", "666")
-        & (F.left(matched, F.lit(1)) != "9")
-        & (F.substr(matched, F.lit(5), F.lit(2)) != "00")
-        & (F.right(matched, F.lit(4)) != "0000")
-    )
-
-
-def phone_score(text: Column, start: Column, matched: Column) -> Column:
-    """0.4 alone, 0.75 when a telephone word stands shortly before."""
-    before = F.substr(
-        text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))
-    )
-    near = F.lower(before).rlike("phone|call|tel|mobile|cell|contact")
-    return F.when(near, F.lit(0.75)).otherwise(F.lit(0.4))
+# 0.4 alone, 0.75 when a telephone word stands shortly before.
+PHONE_SCORE = f"""CASE WHEN lower(substr({{text}}, greatest({{start}} - {CONTEXT_CHARS}, 0) + 1,
+    least({{start}}, {CONTEXT_CHARS}))) RLIKE 'phone|call|tel|mobile|cell|contact'
+    THEN 0.75D ELSE 0.4D END"""
 
 
 EMAIL_ADDRESS = Recogniser(
@@ -88,22 +68,22 @@ PHONE_NUMBER = Recogniser(
     r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}\b",
     0.4,
     "[0-9]{3}[ .-][0-9]{4}",
-    score_of=phone_score,
+    score_sql=PHONE_SCORE,
 )
 CREDIT_CARD = Recogniser(
     "CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, "[0-9](?:[ -]?[0-9]){12}",
-    check=luhn_valid,
+    check=LUHN_VALID,
 )
 IBAN_CODE = Recogniser(
     "IBAN_CODE",
     r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     1.0,
     "[A-Z]{2}[0-9]{2}",
-    check=iban_valid,
+    check=IBAN_VALID,
 )
 US_SSN = Recogniser(
     "US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, "[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    check=ssn_valid,
+    check=SSN_VALID,
 )
 IP_ADDRESS = Recogniser(
     "IP_ADDRESS",
@@ -137,80 +117,59 @@ def check_threshold(threshold: float) -> float:
     return threshold
 
 
-def _recogniser_hits(text: str, recogniser: Recogniser, position: int) -> Column:
-    spans = F.expr(match_spans(text, recogniser.pattern))
+def _recogniser_hits(text: str, recogniser: Recogniser, position: int) -> str:
+    names = {"matched": "s.matched", "start": "s.span_start", "text": text}
+    spans = match_spans(text, recogniser.pattern)
     if recogniser.check is not None:
-        spans = F.filter(spans, lambda s: recogniser.check(s["matched"]))
-
-    def score(span: Column) -> Column:
-        if recogniser.score_of is None:
-            return F.lit(recogniser.score)
-        return recogniser.score_of(F.col(text), span["span_start"], span["matched"])
-
-    hits = F.transform(
-        spans,
-        lambda s: F.struct(
-            s["span_start"].alias("span_start"),
-            F.lit(position).alias("position"),
-            s["span_end"].alias("span_end"),
-            F.lit(recogniser.entity).alias("entity"),
-            score(s).alias("score"),
-            s["matched"].alias("matched"),
-        ),
-    ).cast(PII_HITS)
+        spans = f"filter({spans}, s -> {recogniser.check.format(**names)})"
+    score = f"{recogniser.score}D"
+    if recogniser.score_sql is not None:
+        score = recogniser.score_sql.format(**names)
+    hits = f"""CAST(transform({spans}, s -> struct(
+      s.span_start, {position} AS position, s.span_end, {literal(recogniser.entity)} AS entity,
+      {score} AS score, s.matched)) AS {PII_HITS})"""
     if recogniser.gate is None:
         return hits
-    return F.when(F.col(text).rlike(recogniser.gate), hits).otherwise(empty(PII_HITS))
+    gate = f"{text} RLIKE {literal(recogniser.gate)}"
+    return f"CASE WHEN {gate} THEN {hits} ELSE CAST(array() AS {PII_HITS}) END"
 
 
 def pii_hits(
     text: str,
     recognisers: Sequence[Recogniser] = RECOGNISERS,
     threshold: float = DEFAULT_THRESHOLD,
-    more: Column | None = None,
+    more: str | None = None,
 ) -> Column:
     """Scored matches in column ``text`` above the threshold, ordered by start.
 
     The result holds the raw match, so it is for use inside a plan only and is
-    never written. ``more`` adds hits found elsewhere (names).
+    never written. ``more`` is a column of hits found elsewhere (names).
     """
     check_threshold(threshold)
+    none = f"CAST(array() AS {PII_HITS})"
     arrays = [_recogniser_hits(text, r, i) for i, r in enumerate(recognisers)]
-    arrays.append(empty(PII_HITS) if more is None else F.coalesce(more, empty(PII_HITS)))
-    found = F.filter(F.array_sort(F.concat(*arrays)), lambda h: h["score"] >= threshold)
-    out = F.when(F.col(text).isNull(), F.lit(None).cast(PII_HITS))
+    arrays.append(none if more is None else f"coalesce({more}, {none})")
+    found = f"filter(array_sort(concat({', '.join(arrays)})), h -> h.score >= {threshold})"
+    # A text that passes no gate is done in generated code.
+    done = ""
     if more is None and all(r.gate for r in recognisers):
-        passes = F.lit(False)
-        for recogniser in recognisers:
-            passes = passes | F.col(text).rlike(recogniser.gate)
-        out = out.when(~passes, empty(PII_HITS))
-    return out.otherwise(found)
-
-
-def hits_to_findings(hits: Column) -> Column:
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            F.concat(F.lit("pii_"), F.lower(h["entity"])).alias("kind"),
-            h["entity"].alias("label"),
-            severity_of(h["score"]).alias("severity"),
-            h["span_start"].alias("span_start"),
-            h["span_end"].alias("span_end"),
-            preview(h["matched"]).alias("preview"),
-        ),
-    ).cast(FINDINGS)
-
-
-def hits_to_swaps(hits: Column) -> Column:
+        gates = [f"{text} RLIKE {literal(r.gate)}" for r in recognisers]
+        done = f"WHEN NOT ({' OR '.join(gates) or 'false'}) THEN {none}"
+    return F.expr(f"CASE WHEN {text} IS NULL THEN NULL {done} ELSE {found} END")
+
+
+def hits_to_findings(hits: str) -> Column:
+    return F.expr(f"""CAST(transform({hits}, h -> struct(
+      concat('pii_', lower(h.entity)) AS kind, h.entity AS label,
+      {severity_sql("h.score")} AS severity, h.span_start, h.span_end,
+      {preview_sql("h.matched")} AS preview)) AS {FINDINGS})""")
+
+
+def hits_to_swaps(hits: str) -> Column:
     """What to replace by what, in finding order; empty originals are left out."""
-    swaps = F.transform(
-        hits,
-        lambda h: F.struct(
-            h["matched"].alias("original"),
-            F.concat(F.lit("[REDACTED:"), h["entity"], F.lit("]")).alias("replacement"),
-        ),
-    )
-    return F.filter(swaps, lambda s: s["original"] != "").cast(SWAPS)
+    return F.expr(f"""CAST(filter(transform({hits}, h -> struct(
+      h.matched AS original, concat('[REDACTED:', h.entity, ']') AS replacement)),
+      s -> s.original <> '') AS {SWAPS})""")
 
 
 def apply_swaps(text: Column, swaps: Column) -> Column:

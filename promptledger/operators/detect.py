@@ -34,7 +34,7 @@ def scan_pii(
 ) -> DataFrame:
     """Add ``findings``: personal data above the score threshold."""
     hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers, key)
-    found = hit.withColumn("findings", pii.hits_to_findings(F.col("_hits"))).drop("_hits")
+    found = hit.withColumn("findings", pii.hits_to_findings("_hits")).drop("_hits")
     return settle(found, "findings")
 
 
@@ -61,7 +61,7 @@ def with_pii_hits(
     else:
         found = df.join(name_hits(df.select(F.col(key), F.col(text)), text, names, key), key, "left")
     return found.withColumn(
-        out, pii.pii_hits(text, chosen, threshold, more=F.col("_names"))
+        out, pii.pii_hits(text, chosen, threshold, more="_names")
     ).drop("_names")
 
 

@@ -21,13 +21,13 @@ def _with_prompt(df: DataFrame, system_first: Column, provider: Column, *added:
     """Add model and content to rows without an error, and drop the parsed body."""
     good = F.col("error_code").isNull()
     parsed = F.col("_parsed")
-    out = df.withColumns(
+    out = df.withColumn("_system_first", good & system_first).withColumns(
         {
             "provider": F.when(good, provider),
             "model": F.when(good, bodies.text_or_null(bodies.field(parsed, "model"))),
-            "content": F.when(good, bodies.prompt_text(parsed, system_first)),
+            "content": F.when(good, bodies.prompt_text("_parsed", "_system_first")),
         }
-    ).drop("_parsed")
+    ).drop("_parsed", "_system_first")
     return settle(out, "provider", "model", "content", "error_code", "error_detail", *added)
 
 

@@ -23,7 +23,7 @@ def redact_texts(
 ) -> DataFrame:
     """Replace personal data in a text column; add ``mutations_applied``."""
     hit = with_pii_hits(df, text, "_hits", entities, threshold, names)
-    swaps = hit.withColumn("_swaps", pii.hits_to_swaps(F.col("_hits")))
+    swaps = hit.withColumn("_swaps", pii.hits_to_swaps("_hits"))
     out = swaps.withColumns(
         {
             text: F.when(F.size("_swaps") > 0, pii.apply_swaps(F.col(text), F.col("_swaps")))
@@ -53,7 +53,8 @@ def rewrite_requests(
             F.when(F.col("_wanted"), F.col(swaps)).otherwise(empty(SWAPS)),
         ),
     )
-    again = bodies.prompt_text(F.col("_parsed"), F.col("provider").isin(with_system))
+    sent = sent.withColumn("_system_first", F.col("provider").isin(with_system))
+    again = bodies.prompt_text("_parsed", "_system_first")
     return bodies.with_parsed(sent, "_rewritten", "_parsed").withColumns(
         {
             "content": F.when(F.col("_wanted"), again).otherwise(F.col("content")),
@@ -61,4 +62,4 @@ def rewrite_requests(
             "mutations_applied": F.col("mutations_applied") | F.col("_wanted")
             if "mutations_applied" in df.columns else F.col("_wanted"),
         }
-    ).drop("_wanted", "_rewritten", "_parsed")
+    ).drop("_wanted", "_rewritten", "_parsed", "_system_first")

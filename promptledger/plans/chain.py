@@ -104,7 +104,7 @@ class PiiStage:
             df, "open_content", "_hits",
             self.entities, self.threshold, self.names, self.recognisers,
         )
-        found = hit.withColumn("_found", pii.hits_to_findings(F.col("_hits")))
+        found = hit.withColumn("_found", pii.hits_to_findings("_hits"))
         redacts = self.policy == REDACT
         columns = {
             self.name: _scan_note(F.col("_found"), F.lit(REDACT if redacts else None)),
@@ -112,7 +112,7 @@ class PiiStage:
             if redacts else _exposure(F.col("_found"), "pii_exposure_detected", "PII"),
         }
         if redacts:
-            columns[f"{self.name}_swaps"] = pii.hits_to_swaps(F.col("_hits"))
+            columns[f"{self.name}_swaps"] = pii.hits_to_swaps("_hits")
         return found.withColumns(columns).drop("_hits", "_found")
 
 

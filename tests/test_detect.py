@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import SECRETS, noise, prompts
 from promptledger.functions import recognisers as pii
-from promptledger.functions.findings import preview, severity_rank, worst_severity
+from promptledger.functions.findings import preview_sql, severity_rank, worst_severity
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.operators import detect
 
@@ -66,7 +66,7 @@ def test_many_matches_in_one_text(spark):
 
 def test_preview_and_severity_order(spark):
     row = spark.range(1).select(
-        preview(F.lit("123456")).alias("short"), preview(F.lit("1234567")).alias("long"),
+        F.expr(preview_sql("'123456'")).alias("short"), F.expr(preview_sql("'1234567'")).alias("long"),
         severity_rank(F.lit("high")).alias("high"),
     ).first()
     assert tuple(row) == ("******", "1234***67", 2)

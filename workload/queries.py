@@ -385,7 +385,7 @@ def redact_bodies(spark, sf_dir):
     good = normalise.accepted(normalise.normalise(chat_requests(spark, sf_dir)))
     hit = detect.with_pii_hits(good, "content", "hits")
     out = redact.rewrite_requests(
-        hit.withColumn("swaps", pii.hits_to_swaps(F.col("hits"))).drop("hits"), "swaps"
+        hit.withColumn("swaps", pii.hits_to_swaps("hits")).drop("hits"), "swaps"
     )
     again = out.withColumn("v", F.try_parse_json("body"))
     return again.select(
