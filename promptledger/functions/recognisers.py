@@ -24,7 +24,8 @@ PII_HITS = f"array<{PII_HIT}>"
 class Recogniser:
     """An entity found by a pattern.
 
-    ``gate`` is a cheap pattern that is found in every text with a match; texts
+    ``marker`` is a literal, or ``gate`` a cheap pattern that begins with a
+    character of class ``gate_start``, found in every text with a match; texts
     without it are not searched. ``check`` is SQL that keeps a match when true,
     ``score_sql`` SQL for a score that depends on the surroundings; otherwise
     ``score`` holds. Both may name {matched}, {start} and {text}.
@@ -33,7 +34,9 @@ class Recogniser:
     entity: str
     pattern: str
     score: float
+    marker: str | None = None
     gate: str | None = None
+    gate_start: str = "0-9"
     check: str | None = None
     score_sql: str | None = None
 
@@ -61,28 +64,29 @@ EMAIL_ADDRESS = Recogniser(
     "EMAIL_ADDRESS",
     r"\b[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b",
     1.0,
-    "@",
+    marker="@",
 )
 PHONE_NUMBER = Recogniser(
     "PHONE_NUMBER",
     r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}\b",
     0.4,
-    "[0-9]{3}[ .-][0-9]{4}",
+    gate="[0-9]{3}[ .-][0-9]{4}",
     score_sql=PHONE_SCORE,
 )
 CREDIT_CARD = Recogniser(
-    "CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, "[0-9](?:[ -]?[0-9]){12}",
+    "CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, gate="[0-9](?:[ -]?[0-9]){12}",
     check=LUHN_VALID,
 )
 IBAN_CODE = Recogniser(
     "IBAN_CODE",
     r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     1.0,
-    "[A-Z]{2}[0-9]{2}",
+    gate="[A-Z]{2}[0-9]{2}",
+    gate_start="A-Z",
     check=IBAN_VALID,
 )
 US_SSN = Recogniser(
-    "US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, gate="[0-9]{3}-[0-9]{2}-[0-9]{4}",
     check=SSN_VALID,
 )
 IP_ADDRESS = Recogniser(
@@ -90,7 +94,7 @@ IP_ADDRESS = Recogniser(
     r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b",
     0.6,
-    r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
+    gate=r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
 )
 PERSON = "PERSON"
 PERSON_SCORE = 0.85
@@ -128,12 +132,29 @@ def _recogniser_hits(text: str, recogniser: Recogniser, position: int) -> str:
     hits = f"""CAST(transform({spans}, s -> struct(
       s.span_start, {position} AS position, s.span_end, {literal(recogniser.entity)} AS entity,
       {score} AS score, s.matched)) AS {PII_HITS})"""
-    if recogniser.gate is None:
+    gate = _any_gate(text, [recogniser])
+    if gate is None:
         return hits
-    gate = f"{text} RLIKE {literal(recogniser.gate)}"
     return f"CASE WHEN {gate} THEN {hits} ELSE CAST(array() AS {PII_HITS}) END"
 
 
+def _any_gate(text: str, recognisers: Sequence[Recogniser]) -> str | None:
+    """SQL that is true when a recogniser may match; None when one has no gate.
+
+    All gate patterns run in one pass, which looks further only at characters
+    that can begin one.
+    """
+    if not all(r.marker or r.gate for r in recognisers):
+        return None
+    tests = [f"contains({text}, {literal(r.marker)})" for r in recognisers if r.marker]
+    gated = [r for r in recognisers if not r.marker]
+    if gated:
+        starts = "".join(dict.fromkeys(r.gate_start for r in gated))
+        pattern = f"(?=[{starts}])(?:{'|'.join(r.gate for r in gated)})"
+        tests.append(f"{text} RLIKE {literal(pattern)}")
+    return f"({' OR '.join(tests) or 'false'})"
+
+
 def pii_hits(
     text: str,
     recognisers: Sequence[Recogniser] = RECOGNISERS,
@@ -151,10 +172,8 @@ def pii_hits(
     arrays.append(none if more is None else f"coalesce({more}, {none})")
     found = f"filter(array_sort(concat({', '.join(arrays)})), h -> h.score >= {threshold})"
     # A text that passes no gate is done in generated code.
-    done = ""
-    if more is None and all(r.gate for r in recognisers):
-        gates = [f"{text} RLIKE {literal(r.gate)}" for r in recognisers]
-        done = f"WHEN NOT ({' OR '.join(gates) or 'false'}) THEN {none}"
+    gate = _any_gate(text, recognisers) if more is None else None
+    done = f"WHEN NOT {gate} THEN {none}" if gate else ""
     return F.expr(f"CASE WHEN {text} IS NULL THEN NULL {done} ELSE {found} END")
 
 
