@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -41,13 +42,15 @@ def has_marker(text: Column, markers: Sequence[str]) -> Column:
     return test
 
 
-def match_spans(text: str, pattern: str) -> str:
+def match_spans(text: str, pattern: str, begins: str = "") -> str:
     """SQL for all matches in column ``text`` with their code-point offsets.
 
+    ``begins`` is a pattern that every match begins with; it is tested first.
+
     The text between matches (``split``) and the matches themselves alternate,
     so the running length of both gives every offset.
     """
-    regex = literal(unicode_aware(pattern))
+    regex = literal(unicode_aware(f"(?={begins}){pattern}" if begins else pattern))
     return f"""transform(array(regexp_extract_all({text}, {regex}, 0)), hits ->
       CASE WHEN size(hits) > 0 THEN aggregate(
         zip_with(hits, slice(split({text}, {regex}, -1), 1, size(hits)),
@@ -97,7 +100,8 @@ _HITS = (
 
 
 def _rule_hits(text: str, rule: SecretRule, position: int) -> str:
-    described = f"""CAST(transform({match_spans(text, rule.pattern)}, s -> struct(
+    begins = "|".join(map(re.escape, rule.markers)) if rule.marker_first else ""
+    described = f"""CAST(transform({match_spans(text, rule.pattern, begins)}, s -> struct(
       s.span_start, {position} AS position, s.span_end, {literal(rule.name)} AS kind,
       {literal(rule.label)} AS label, {literal(rule.severity)} AS severity,
       {preview_sql("s.matched")} AS preview

@@ -26,7 +26,8 @@ class Recogniser:
 
     ``marker`` is a literal, or ``gate`` a cheap pattern that begins with a
     character of class ``gate_start``, found in every text with a match; texts
-    without it are not searched. ``check`` is SQL that keeps a match when true,
+    without it are not searched. Every match begins with a character of class
+    ``begins``. ``check`` is SQL that keeps a match when true,
     ``score_sql`` SQL for a score that depends on the surroundings; otherwise
     ``score`` holds. Both may name {matched}, {start} and {text}.
     """
@@ -37,6 +38,7 @@ class Recogniser:
     marker: str | None = None
     gate: str | None = None
     gate_start: str = "0-9"
+    begins: str | None = None
     check: str | None = None
     score_sql: str | None = None
 
@@ -71,10 +73,11 @@ PHONE_NUMBER = Recogniser(
     r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}\b",
     0.4,
     gate="[0-9]{3}[ .-][0-9]{4}",
+    begins="+(0-9",
     score_sql=PHONE_SCORE,
 )
 CREDIT_CARD = Recogniser(
-    "CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, gate="[0-9](?:[ -]?[0-9]){12}",
+    "CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, gate="[0-9](?:[ -]?[0-9]){12}", begins="0-9",
     check=LUHN_VALID,
 )
 IBAN_CODE = Recogniser(
@@ -83,10 +86,11 @@ IBAN_CODE = Recogniser(
     1.0,
     gate="[A-Z]{2}[0-9]{2}",
     gate_start="A-Z",
+    begins="A-Z",
     check=IBAN_VALID,
 )
 US_SSN = Recogniser(
-    "US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, gate="[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, gate="[0-9]{3}-[0-9]{2}-[0-9]{4}", begins="0-9",
     check=SSN_VALID,
 )
 IP_ADDRESS = Recogniser(
@@ -95,6 +99,7 @@ IP_ADDRESS = Recogniser(
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b",
     0.6,
     gate=r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
+    begins="0-9",
 )
 PERSON = "PERSON"
 PERSON_SCORE = 0.85
@@ -123,7 +128,8 @@ def check_threshold(threshold: float) -> float:
 
 def _recogniser_hits(text: str, recogniser: Recogniser, position: int) -> str:
     names = {"matched": "s.matched", "start": "s.span_start", "text": text}
-    spans = match_spans(text, recogniser.pattern)
+    begins = f"[{recogniser.begins}]" if recogniser.begins else ""
+    spans = match_spans(text, recogniser.pattern, begins)
     if recogniser.check is not None:
         spans = f"filter({spans}, s -> {recogniser.check.format(**names)})"
     score = f"{recogniser.score}D"

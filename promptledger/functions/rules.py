@@ -11,7 +11,8 @@ class SecretRule:
 
     ``markers`` are literals of which every match contains at least one; the
     regular expression only runs on texts that contain a marker. An empty tuple
-    means the expression always runs.
+    means the expression always runs. ``marker_first`` says that every match
+    begins with a marker, so that other places are passed over quickly.
     """
 
     name: str
@@ -19,50 +20,51 @@ class SecretRule:
     pattern: str
     severity: str = "high"
     markers: tuple[str, ...] = ()
+    marker_first: bool = False
 
 
 # Names, labels, patterns and severities of the built-in rules.
 CATALOGUE: tuple[SecretRule, ...] = (
     SecretRule(
         "aws_access_key_id", "AWS Access Key ID",
-        r"\bAKIA[0-9A-Z]{16}\b", "high", ("AKIA",),
+        r"\bAKIA[0-9A-Z]{16}\b", "high", ("AKIA",), True,
     ),
     SecretRule(
         "github_pat_classic", "GitHub Personal Access Token (classic)",
-        r"\bghp_[A-Za-z0-9]{36}\b", "high", ("ghp_",),
+        r"\bghp_[A-Za-z0-9]{36}\b", "high", ("ghp_",), True,
     ),
     SecretRule(
         "github_pat_fine_grained", "GitHub Personal Access Token (fine-grained)",
-        r"\bgithub_pat_[A-Za-z0-9_]{82}\b", "high", ("github_pat_",),
+        r"\bgithub_pat_[A-Za-z0-9_]{82}\b", "high", ("github_pat_",), True,
     ),
     SecretRule(
         "github_oauth", "GitHub OAuth / App Token",
-        r"\bgh[osu]_[A-Za-z0-9]{36}\b", "high", ("gho_", "ghs_", "ghu_"),
+        r"\bgh[osu]_[A-Za-z0-9]{36}\b", "high", ("gho_", "ghs_", "ghu_"), True,
     ),
     SecretRule(
         "openai_api_key", "OpenAI API Key",
-        r"\bsk-(?:proj-)?[A-Za-z0-9]{32,}\b", "high", ("sk-",),
+        r"\bsk-(?:proj-)?[A-Za-z0-9]{32,}\b", "high", ("sk-",), True,
     ),
     SecretRule(
         "anthropic_api_key", "Anthropic API Key",
-        r"\bsk-ant-(?:api\d{2}-)?[A-Za-z0-9_-]{32,}\b", "high", ("sk-ant-",),
+        r"\bsk-ant-(?:api\d{2}-)?[A-Za-z0-9_-]{32,}\b", "high", ("sk-ant-",), True,
     ),
     SecretRule(
         "slack_token", "Slack Token",
-        r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "high", ("xox",),
+        r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "high", ("xox",), True,
     ),
     SecretRule(
         "stripe_secret_key", "Stripe Secret Key",
-        r"\bsk_(?:live|test)_[A-Za-z0-9]{24,}\b", "high", ("sk_live_", "sk_test_"),
+        r"\bsk_(?:live|test)_[A-Za-z0-9]{24,}\b", "high", ("sk_live_", "sk_test_"), True,
     ),
     SecretRule(
         "google_api_key", "Google API Key",
-        r"\bAIza[0-9A-Za-z_-]{35}\b", "high", ("AIza",),
+        r"\bAIza[0-9A-Za-z_-]{35}\b", "high", ("AIza",), True,
     ),
     SecretRule(
         "jwt", "JSON Web Token",
         r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
-        "medium", ("eyJ",),
+        "medium", ("eyJ",), True,
     ),
     SecretRule(
         "pem_private_key", "PEM-encoded Private Key",
