@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from promptledger.functions import bodies
 from promptledger.functions import recognisers as pii
 from promptledger.functions.findings import worst_severity
-from promptledger.functions.identity import request_id
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.functions.tokens import TokenCounter, Vocabulary
 from promptledger.operators import detect, ledger, normalise, outages, pricing, redact, reports, stats
