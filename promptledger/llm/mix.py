@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import WORD, n_words, staged, table
+from promptledger.session import lookup_join
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -108,9 +109,12 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     )
 
 
-def _planned(rows: DataFrame, source: str, sources: DataFrame) -> DataFrame:
-    """Add each row's plan. One row per source; Spark measures whether to broadcast it."""
-    return rows.join(sources, F.col(source).eqNullSafe(F.col("p_source"))).drop("p_source")
+def _planned(rows: DataFrame, source: str, sources: DataFrame, spread: str) -> DataFrame:
+    """Add each row's plan: one row per source, broadcast if measured small, else
+    joined on source and salt, since a source may be hot."""
+    by = sources.withColumn("_source", F.struct(F.col("p_source").alias("source"))).drop("p_source")
+    facts = rows.withColumn("_source", F.struct(F.col(source).alias("source")))
+    return lookup_join(facts, by, "_source", F.col(spread), "inner").drop("_source")
 
 
 def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: int = SEED, **options) -> DataFrame:
@@ -120,7 +124,7 @@ def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed:
     once_more = (key_of(doc_id, text, seed) <= F.col("_cut")).cast("int")
     times = (F.col("_epochs") + once_more).cast("int")
     return (
-        _planned(docs, source, sources)
+        _planned(docs, source, sources, doc_id)
         .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_again"))
         .drop("_again")
     )
@@ -128,8 +132,9 @@ def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(sized(table(spark, sf_dir, "documents")), "mix-sizes")
+    sources = staged(plan(rows), "mix-plan")
     once_more = (F.col("key") <= F.col("cut")).cast("long")
-    return _planned(rows, "source", plan(rows)).select(
+    return _planned(rows, "source", sources, "key").select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("epochs") + once_more)).cast("long").alias("taken"),
         "source",
