@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from promptledger.llm import chat, mix, shards, topk, urlrules
+from promptledger.llm import chat, mix, shards, simhash, topk, urlrules
 
 QUERIES = {
     "op3_topk": topk.op3_topk,
     "op6_hilbert_shards": shards.op6_hilbert_shards,
     "op7_chat_trees": chat.op7_chat_trees,
     "op8_url_rules": urlrules.op8_url_rules,
+    "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mix.op10_mixing,
 }
 
@@ -16,5 +17,6 @@ CHECKS = {
     "op3_topk": topk.OP3_SQL,
     "op7_chat_trees": chat.OP7_SQL,
     "op8_url_rules": urlrules.OP8_SQL,
+    "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mix.OP10_SQL,
 }
