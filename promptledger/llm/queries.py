@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from promptledger.llm import chat, mix, shards, simhash, topk, urlrules
+from promptledger.llm import chat, decontam, langid, mix, shards, simhash, topk, urlrules
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op3_topk": topk.op3_topk,
+    "op5_language": langid.op5_language,
     "op6_hilbert_shards": shards.op6_hilbert_shards,
     "op7_chat_trees": chat.op7_chat_trees,
     "op8_url_rules": urlrules.op8_url_rules,
