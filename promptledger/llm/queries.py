@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from promptledger.llm import chat, decontam, langid, mix, shards, simhash, topk, urlrules
+from promptledger.llm import chat, decontam, langid, mix, shards, simhash, suffixes, topk, urlrules
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_topk": topk.op3_topk,
     "op5_language": langid.op5_language,
     "op6_hilbert_shards": shards.op6_hilbert_shards,
