@@ -163,7 +163,7 @@ def leaks(
         .select("item_id", "text_key", "i0", "i1", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
     )
     apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("i1")))
-    pairs = asked.join(held, ["block", "value"]).where(apart <= RADIUS).select(
+    pairs = asked.join(held.hint("merge"), ["block", "value"]).where(apart <= RADIUS).select(
         "window", "item_id", F.col("text_key").alias("item_key")
     ).distinct()
     sets = items.select("item_id", F.xxhash64("hs").alias("item_key"), F.col("m").alias("item_m"), "set").dropDuplicates(["item_id", "item_key"])
