@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from promptledger.llm import chat, decontam, langid, mix, shards, simhash, suffixes, topk, urlrules
+from promptledger.llm import chat, decontam, langid, mix, quality, shards, simhash, suffixes, topk, urlrules
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_topk": topk.op3_topk,
+    "op4_quality": quality.op4_quality,
     "op5_language": langid.op5_language,
     "op6_hilbert_shards": shards.op6_hilbert_shards,
     "op7_chat_trees": chat.op7_chat_trees,
