@@ -11,8 +11,11 @@ suffixes soonest, without losing any:
    left. Buckets with one such suffix hold nothing repeated and are dropped.
 2. The neighbouring strings of one suffix form a run, identified by a digest of
    all its bytes. If a run occurs twice, all its strings are repeated.
-3. In buckets with several different runs, one of each kind is refined on to the
-   400-byte buckets of its single strings; those that meet another are repeated.
+3. In buckets with several different runs, one of each kind is refined: its strings
+   are cut into parts of 16 by their distance from the representing suffix, the
+   same for equal strings, and parts with the same digest are repeated.
+4. What is still mixed is refined to the 400-byte buckets of its single strings;
+   those that meet another are repeated.
 
 A byte is removed if a repeated string covers it. Strings never cross texts and
 are judged on the input. Final identifiers have 128 bits.
@@ -40,6 +43,7 @@ GRAM = 64
 #: Bytes of a bucket by which strings are represented, and places it can have in one.
 BUCKET = 2 * GRAM
 PLACES = LENGTH - BUCKET + 1
+PART = 16
 PIECE = 1 << 18
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03))
 _ODD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -90,8 +94,21 @@ def least(ids: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & np.uint64((1 << 20) - 1)).astype(np.int64)
 
 
-def runs(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(first string, strings, bucket, digest) of every run of a text."""
+def digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def packed(first, back, count):
+    """First string, distance of its representing suffix, number of strings."""
+    return (first << 20) | (back << 10) | count
+
+
+def unpacked(place):
+    return place >> 20, (place >> 10) & 1023, place & 1023
+
+
+def runs(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(place, bucket, digest) of every run of a text."""
     whole = np.frombuffer(data, np.uint8)
     for begin in range(0, len(data) - LENGTH + 1, PIECE):
         piece = whole[begin : begin + PIECE + LENGTH - 1]
@@ -99,44 +116,71 @@ def runs(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         at = least(ids, PLACES)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         count = np.diff(first, append=len(at))
-        for s, n, b in zip((first + begin).tolist(), count.tolist(), ids[at[first]].view(np.int64).tolist()):
-            yield s, n, b, hashlib.blake2b(data[s : s + n + LENGTH - 1], digest_size=16).digest()
+        places = packed(first + begin, at[first] - first, count)
+        for s, n, p, b in zip((first + begin).tolist(), count.tolist(), places.tolist(), ids[at[first]].view(np.int64).tolist()):
+            yield p, b, digest(data[s : s + n + LENGTH - 1])
 
 
 def _bytes(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _frame(columns: list[str], rows: list[tuple], digests: list[bytes]) -> pd.DataFrame:
+    u = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    out = pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(columns)), columns=columns)
+    return out.assign(u1=u[:, 0], u2=u[:, 1])
+
+
 def find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        b, digests, k1, k2, s, n = [], [], [], [], [], []
+        rows, digests = [], []
         for text, x, y in zip(batch["text"], batch["k1"], batch["k2"]):
-            for first, count, bucket, digest in runs(_bytes(text)):
-                b.append(bucket), digests.append(digest), k1.append(x), k2.append(y), s.append(first), n.append(count)
-            if len(b) > 50_000:
-                yield _run_rows(b, digests, k1, k2, s, n)
-                b, digests, k1, k2, s, n = [], [], [], [], [], []
-        yield _run_rows(b, digests, k1, k2, s, n)
+            for place, bucket, u in runs(_bytes(text)):
+                rows.append((bucket, x, y, place)), digests.append(u)
+            if len(rows) > 50_000:
+                yield _frame(["b", "k1", "k2", "place"], rows, digests)
+                rows, digests = [], []
+        yield _frame(["b", "k1", "k2", "place"], rows, digests)
 
 
-def _run_rows(b, digests, k1, k2, s, n) -> pd.DataFrame:
-    u = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    place = np.array(s, np.int64) * 1024 + np.array(n, np.int64)
-    return pd.DataFrame({"b": np.array(b, np.int64), "u1": u[:, 0], "u2": u[:, 1], "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "place": place})
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the listed runs, under 700 each."""
+    for batch in batches:
+        out = []
+        for text, listed, k1, k2 in zip(batch["text"], batch["runs"], batch["k1"], batch["k2"]):
+            data = _bytes(text)
+            for run in listed:
+                s, _, n = unpacked(run["place"])
+                out.append((k1, k2, run["b"], run["place"], run["known"], data[s : s + n + LENGTH - 1]))
+        yield pd.DataFrame(out, columns=["k1", "k2", "b", "place", "known", "data"])
+
+
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A run cut by distance from its suffix: (run, b, part, at) and digest; at is
+    first string of the part within the run * 1024 + strings."""
+    for batch in batches:
+        rows, digests = [], []
+        for run, b, place, data in zip(batch["run"], batch["b"], batch["place"], batch["data"]):
+            _, back, n = unpacked(int(place))
+            part = (back - np.arange(n)) // PART
+            firsts = np.flatnonzero(np.diff(part, prepend=part[0] + 1))
+            for f, c in zip(firsts.tolist(), np.diff(firsts, append=n).tolist()):
+                rows.append((run, b, int(part[f]), f * 1024 + c)), digests.append(digest(data[f : f + c + LENGTH - 1]))
+        yield _frame(["run", "b", "part", "at"], rows, digests)
 
 
 def single_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The 400-byte buckets of every string of the listed runs."""
+    """The 400-byte buckets of every string of the listed parts; x is run * 1024 + string."""
     for batch in batches:
-        for text, places, k1, k2 in zip(batch["text"], batch["places"], batch["k1"], batch["k2"]):
-            data = np.frombuffer(_bytes(text), np.uint8)
-            out = []
-            for p in np.asarray(places, np.int64).tolist():
-                s, n = divmod(p, 1024)
-                part = data[s : s + n + LENGTH - 1]
-                out.append((full_ids(part, 0), full_ids(part, 1), np.arange(s, s + n)))
-            w1, w2, s = (np.concatenate(c) for c in zip(*out))
-            yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "k1": k1, "k2": k2, "s": s})
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for run, data, listed in zip(batch["run"], batch["data"], batch["ats"]):
+            whole = np.frombuffer(data, np.uint8)
+            for at in listed:
+                f, c = divmod(int(at), 1024)
+                one = whole[f : f + c + LENGTH - 1]
+                out.append((full_ids(one, 0), full_ids(one, 1), np.arange(f, f + c) + run * 1024))
+        w1, w2, x = (np.concatenate(c) for c in zip(*out))
+        yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "x": x})
 
 
 def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +190,7 @@ def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = np.frombuffer(_bytes(text), np.uint8)
             edge = np.zeros(len(data) + 1, np.int32)
             if places is not None and len(places):
-                s, n = np.divmod(np.asarray(places, np.int64), 1024)
+                s, _, n = unpacked(np.asarray(places, np.int64))
                 np.add.at(edge, s, 1)
                 np.add.at(edge, s + n + LENGTH - 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -158,32 +202,59 @@ def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 KEY = ["k1", "k2"]
 
 
+def _refined(rows: DataFrame, bucket: list[str], member: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Members that another equals (same digest), and of buckets with several
+    digests one member of each: what the next round refines."""
+    kind = [*bucket, "u1", "u2"]
+    kinds = staged(
+        rows.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct(*member)).alias("one")), f"{name}-kinds"
+    )
+    same = rows.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
+    mixed = kinds.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1").select(*bucket)
+    still = kinds.join(mixed, bucket, "left_semi").select(*bucket, "one.*", (F.col("n") > 1).alias("known"))
+    return same, still
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(k1, k2, place): runs and single strings of texts that occur elsewhere.
 
-    ``docs`` has text and its 128-bit key; place is first string * 1024 + strings.
+    ``docs`` has text, its 128-bit key and a row name.
     """
-    found = docs.select("text", *KEY).mapInPandas(find_runs, "b long, u1 long, u2 long, k1 long, k2 long, place long")
+    found = docs.select("text", *KEY).mapInPandas(find_runs, "b long, k1 long, k2 long, place long, u1 long, u2 long")
     shared = found.groupBy("b").count().where("count > 1").select("b")
     left = staged(found.join(shared, "b", "left_semi"), "suffix-buckets")
-    kinds = staged(
-        left.groupBy("b", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")),
-        "suffix-kinds",
-    )
-    whole = left.join(kinds.where("n > 1").select("b", "u1", "u2"), ["b", "u1", "u2"], "left_semi").select(*KEY, "place")
-    mixed = kinds.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b")
-    open_runs = staged(kinds.join(mixed, "b", "left_semi").select("one.*", (F.col("n") > 1).alias("known")), "suffix-open")
-    per_text = open_runs.groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+    whole, still = _refined(left, ["b"], [*KEY, "place"], "suffix-runs")
+
+    per_text = still.groupBy(*KEY).agg(F.collect_list(F.struct("b", "place", "known")).alias("runs"))
     firsts = docs.groupBy(*KEY).agg(F.min("row").alias("row"))
     wanted = staged(per_text.join(firsts, KEY), "suffix-wanted")
+    cut = docs.select("text", *KEY, "row").join(wanted, [*KEY, "row"]).select("text", "runs", *KEY).mapInPandas(
+        slices, "k1 long, k2 long, b long, place long, known boolean, data binary"
+    )
+    # Numbered once and written; rows that stand there twice would seem to repeat each other.
+    open_runs = staged(
+        cut.dropDuplicates([*KEY, "place"]).withColumn("run", F.monotonically_increasing_id()), "suffix-open"
+    )
+    split = staged(
+        open_runs.select("run", "b", "place", "data").mapInPandas(
+            parts, "run long, b long, part long, at long, u1 long, u2 long"
+        ),
+        "suffix-parts",
+    )
+    same, still = _refined(split, ["b", "part"], ["run", "at"], "suffix-parts")
+    listed = still.groupBy("run").agg(F.collect_list("at").alias("ats"))
     strings = staged(
-        docs.select("text", *KEY, "row").join(wanted, [*KEY, "row"]).select("text", "places", *KEY)
-        .mapInPandas(single_strings, "w1 long, w2 long, k1 long, k2 long, s long").distinct(),
+        open_runs.select("run", "data").join(listed, "run").mapInPandas(single_strings, "w1 long, w2 long, x long"),
         "suffix-strings",
     )
-    twice = strings.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    singles = strings.join(twice, ["w1", "w2"], "left_semi").select(*KEY, (F.col("s") * 1024 + 1).alias("place"))
-    return whole.union(singles)
+    twice = strings.groupBy("w1", "w2").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("w1", "w2")
+    singles = strings.join(twice, ["w1", "w2"], "left_semi").select(
+        F.floor(F.col("x") / 1024).alias("run"), (F.col("x") % 1024 * 1024 + 1).alias("at")
+    )
+    inside = same.select("run", "at").union(singles).join(open_runs.where(~F.col("known")).select("run", *KEY, "place"), "run")
+    first = F.shiftright("place", 20) + F.floor(F.col("at") / 1024)
+    refined = inside.select(*KEY, (F.shiftleft(first, 20) + F.col("at") % 1024).alias("place"))
+    return whole.select(*KEY, "place").union(refined)
 
 
 def without_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
