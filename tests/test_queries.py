@@ -15,7 +15,8 @@ SAMPLE = [
 def test_registry():
     queries, checks = entry.queries(), entry.oracle_sql()
     assert set(checks) <= set(queries)
-    assert set(queries) - set(checks) == {"token_counts", "decide_requests"}
+    unchecked = {q for q in set(queries) - set(checks) if q != "pipeline" and not q.startswith("op")}
+    assert unchecked == {"token_counts", "decide_requests"}
 
 
 @pytest.fixture(scope="module")
