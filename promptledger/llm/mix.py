@@ -85,7 +85,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     totals = per_range.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     goals = targets(totals, weights, share, most).select(
-        "*", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(1)).alias("epochs")
+        "*", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(1)).alias("epochs")
     ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_range.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))

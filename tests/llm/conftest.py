@@ -1,7 +1,6 @@
 import pytest
-from pyspark.sql import types as T
 
-DOCUMENTS = T.StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long")
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="session")
