@@ -69,7 +69,8 @@ def price_table(spark: SparkSession, rows=PRICES) -> DataFrame:
 
 
 def price_key(model: Column) -> Column:
-    return F.lower(F.trim(model))
+    """The model in lower case without white space of any kind around it."""
+    return F.lower(F.regexp_replace(model, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def with_prices(

@@ -127,3 +127,11 @@ def test_unregistered_encoding_falls_back(spark, counter):
 def test_fallback_vocabulary_is_required(spark):
     with pytest.raises(ValueError):
         TokenCounter(spark, {"o200k_base": Vocabulary("x")})
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    models = ["gpt-4o\t", "\n GPT-4o ", " gpt-4o\r\n", "\n", "\t 　"]
+    df = spark.createDataFrame(list(enumerate(models)), "i int, model string")
+    rows = pricing.with_prices(df).orderBy("i").collect()
+    assert [r.fallback_applied for r in rows[:3]] == [False] * 3
+    assert [r.pricing_error is not None for r in rows] == [False] * 3 + [True] * 2
