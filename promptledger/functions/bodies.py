@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptledger.functions.findings import literal
 from promptledger.session import settle
 
 @dataclass(frozen=True)
@@ -20,6 +21,8 @@ class ProviderRoute:
     path: str
     provider: str
     system_field: str | None = None
+    messages_field: str = "messages"
+    content_field: str = "content"
 
 
 # The two protected paths and their providers.
@@ -89,10 +92,16 @@ def is_object(body: Column, parsed: Column) -> Column:
     return parsed.isNotNull() & (first == "{")
 
 
-def body_error(body: Column, parsed: Column) -> Column:
+def body_error(
+    body: Column, parsed: Column, provider: Column | None = None, routes: Sequence[ProviderRoute] = ROUTES
+) -> Column:
     """The code of the first thing wrong with a body, NULL for a good one."""
     model = text_or_null(field(parsed, "model"))
     messages = list_or_null(field(parsed, "messages"))
+    for route in routes if provider is not None else ():
+        if route.messages_field != "messages":
+            own = list_or_null(field(parsed, route.messages_field))
+            messages = F.when(provider == route.provider, own).otherwise(messages)
     return (
         F.when(body.isNull() | (body == ""), "empty_body")
         .when(parsed.isNull(), "invalid_json")
@@ -130,18 +139,31 @@ def _content_sql(content: str) -> str:
         CASE WHEN parts IS NOT NULL THEN array_join(transform(parts, p -> {part}), '\n') END)[0], '')"""
 
 
-def prompt_text(parsed: str, system_first: str) -> Column:
+def _texts_sql(parsed: str, route: ProviderRoute) -> str:
+    """SQL: the texts of a body with this route's layout, system text first."""
+    message = _content_sql(f"try_variant_get(m, '$.{route.content_field}', 'variant')")
+    messages = f"""transform(try_variant_get({parsed}, '$.{route.messages_field}', 'array<variant>'),
+      m -> {message})"""
+    if route.system_field is None:
+        return messages
+    system = _content_sql(f"try_variant_get({parsed}, '$.{route.system_field}', 'variant')")
+    return f"concat(array({system}), {messages})"
+
+
+def prompt_text(parsed: str, provider: str, routes: Sequence[ProviderRoute] = ROUTES) -> Column:
     """Message texts of variant column ``parsed`` in order, joined by newlines.
 
-    Empty texts are skipped. Where boolean column ``system_first`` is true the
-    ``system`` member comes before the messages.
+    Empty texts are skipped. Column ``provider`` names the route whose fields hold
+    the system text, which comes first, and the messages; NULL gives NULL.
     """
-    message = _content_sql("try_variant_get(m, '$.content', 'variant')")
-    system = _content_sql(f"try_variant_get({parsed}, '$.system', 'variant')")
-    return F.expr(f"""array_join(filter(concat(
-      array(CASE WHEN {system_first} THEN {system} ELSE '' END),
-      transform(try_variant_get({parsed}, '$.messages', 'array<variant>'), m -> {message})),
-      t -> t <> ''), '\n')""")
+    layouts: dict[tuple, list[ProviderRoute]] = {}
+    for route in routes:
+        layouts.setdefault((route.system_field, route.messages_field, route.content_field), []).append(route)
+    cases = " ".join(
+        f"WHEN {provider} IN ({', '.join(literal(r.provider) for r in same)}) THEN {_texts_sql(parsed, same[0])}"
+        for same in layouts.values()
+    )
+    return F.expr(f"array_join(filter(CASE {cases} END, t -> t <> ''), '\n')")
 
 
 def chat_body(model: Column, text: Column) -> Column:
@@ -150,11 +172,12 @@ def chat_body(model: Column, text: Column) -> Column:
     return F.to_json(F.struct(model.alias("model"), F.array(message).alias("messages")))
 
 
-def _text_slots(document: dict, system_field: str | None) -> Iterator[tuple]:
+def _text_slots(document: dict, route: ProviderRoute) -> Iterator[tuple]:
     """(container, key) of each string that a redaction may change."""
-    holders = [(m, "content") for m in document.get("messages") or [] if isinstance(m, dict)]
-    if system_field is not None and system_field in document:
-        holders.insert(0, (document, system_field))
+    content = route.content_field
+    holders = [(m, content) for m in document.get(route.messages_field) or [] if isinstance(m, dict)]
+    if route.system_field is not None and route.system_field in document:
+        holders.insert(0, (document, route.system_field))
     for holder, key in holders:
         value = holder.setdefault(key, None)
         if isinstance(value, str):
@@ -166,21 +189,34 @@ def _text_slots(document: dict, system_field: str | None) -> Iterator[tuple]:
                 yield part, "text"
 
 
+def _encodes(text: str) -> bool:
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def rewrite_bodies(routes: Sequence[ProviderRoute] = ROUTES):
     """An Arrow UDF ``(body, provider, swaps) -> body``.
 
     It replaces inside the text fields only and keeps the shape, the member
     order and every other field. Rows without swaps should pass a NULL body,
-    which costs nothing.
+    which costs nothing. A body that Python cannot read gives NULL; one with lone
+    surrogates comes back with escapes for all but ASCII.
     """
-    system_fields = {r.provider: r.system_field for r in routes}
-
-    def rewrite(body: str, provider: str, swaps) -> str:
-        document = json.loads(body)
-        for container, key in list(_text_slots(document, system_fields.get(provider))):
+    by_provider = {r.provider: r for r in routes}
+
+    def rewrite(body: str, provider: str, swaps) -> str | None:
+        try:
+            document = json.loads(body)
+        except (ValueError, RecursionError):  # numbers of thousands of digits, deep nesting
+            return None
+        for container, key in list(_text_slots(document, by_provider[provider])):
             for swap in swaps:
                 container[key] = container[key].replace(swap["original"], swap["replacement"])
-        return json.dumps(document, ensure_ascii=False)
+        text = json.dumps(document, ensure_ascii=False)
+        return text if text.isascii() or _encodes(text) else json.dumps(document)
 
     @F.pandas_udf(T.StringType())
     def rewritten(body: pd.Series, provider: pd.Series, swaps: pd.Series) -> pd.Series:

@@ -12,7 +12,8 @@ from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.schemas import FINDINGS, empty
 
 _SPANS = "array<struct<span_start:int,span_end:int,matched:string>>"
-_SCAN = f"struct<at:int,spans:{_SPANS}>"
+#: Array elements that are added up in one go.
+BLOCK = 512
 
 HIGH_SCORE = 0.85
 MEDIUM_SCORE = 0.6
@@ -42,6 +43,21 @@ def has_marker(text: Column, markers: Sequence[str]) -> Column:
     return test
 
 
+def running_totals(lengths: str) -> str:
+    """SQL for the inclusive running totals of an array of integers.
+
+    Arrays can only grow by copying, so the totals are built in blocks: a text with
+    ten times the matches takes about ten times as long.
+    """
+    return f"""transform(array(transform(sequence(0, CAST(size({lengths}) / {BLOCK} AS INT)),
+        k -> slice({lengths}, k * {BLOCK} + 1, {BLOCK}))), blocks ->
+      flatten(zip_with(blocks,
+        slice(aggregate(blocks, array(0), (offs, b) -> array_append(offs,
+          element_at(offs, -1) + aggregate(b, 0, (x, y) -> x + y))), 1, size(blocks)),
+        (b, off) -> slice(aggregate(b, array(off), (ends, n) -> array_append(ends,
+          element_at(ends, -1) + n)), 2, size(b)))))[0]"""
+
+
 def match_spans(text: str, pattern: str, begins: str = "") -> str:
     """SQL for all matches in column ``text`` with their code-point offsets.
 
@@ -52,17 +68,11 @@ def match_spans(text: str, pattern: str, begins: str = "") -> str:
     """
     regex = literal(unicode_aware(f"(?={begins}){pattern}" if begins else pattern))
     return f"""transform(array(regexp_extract_all({text}, {regex}, 0)), hits ->
-      CASE WHEN size(hits) > 0 THEN aggregate(
-        zip_with(hits, slice(split({text}, {regex}, -1), 1, size(hits)),
-                 (hit, gap) -> struct(hit AS hit, gap AS gap)),
-        CAST(struct(0 AS at, array() AS spans) AS {_SCAN}),
-        (state, pair) -> CAST(struct(
-          state.at + length(pair.gap) + length(pair.hit) AS at,
-          array_append(state.spans, struct(
-            state.at + length(pair.gap) AS span_start,
-            state.at + length(pair.gap) + length(pair.hit) AS span_end,
-            pair.hit AS matched)) AS spans) AS {_SCAN}),
-        state -> state.spans)
+      CASE WHEN size(hits) > 0 THEN transform(array(
+          zip_with(hits, slice(split({text}, {regex}, -1), 1, size(hits)),
+                   (hit, gap) -> length(gap) + length(hit))), lens ->
+        zip_with(hits, {running_totals("lens")}, (hit, stop) -> struct(
+          stop - length(hit) AS span_start, stop AS span_end, hit AS matched)))[0]
       ELSE CAST(array() AS {_SPANS}) END)[0]"""
 
 

@@ -12,7 +12,6 @@ from promptledger.functions.findings import literal, match_spans, preview_sql, s
 from promptledger.schemas import FINDINGS, SWAPS
 
 DEFAULT_THRESHOLD = 0.5
-CONTEXT_CHARS = 50
 
 PII_HIT = (
     "struct<span_start:int,position:int,span_end:int,entity:string,score:double,matched:string>"
@@ -56,26 +55,34 @@ IBAN_VALID = f"""length({_COMPACT}) >= 15 AND aggregate(
 SSN_VALID = """left({matched}, 3) NOT IN ('000', '666') AND left({matched}, 1) <> '9'
     AND substr({matched}, 5, 2) <> '00' AND right({matched}, 4) <> '0000'"""
 
-# 0.4 alone, 0.75 when a telephone word stands shortly before.
-PHONE_SCORE = f"""CASE WHEN lower(substr({{text}}, greatest({{start}} - {CONTEXT_CHARS}, 0) + 1,
-    least({{start}}, {CONTEXT_CHARS}))) RLIKE 'phone|call|tel|mobile|cell|contact'
-    THEN 0.75D ELSE 0.4D END"""
-
-
+_LOCAL = "[A-Za-z0-9._%+-]"
+# The local part is a whole run of its characters, of any length; the bounded second
+# form is for one that follows a match directly.
 EMAIL_ADDRESS = Recogniser(
     "EMAIL_ADDRESS",
-    r"\b[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b",
+    rf"(?:(?<!{_LOCAL}){_LOCAL}++|\b{_LOCAL}{{1,64}})"
+    r"@[A-Za-z0-9-][A-Za-z0-9.-]*\.(?:[Xx][Nn]--[A-Za-z0-9-]+|[A-Za-z]{2,})\b",
     1.0,
     marker="@",
 )
-PHONE_NUMBER = Recogniser(
-    "PHONE_NUMBER",
-    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}\b",
-    0.4,
-    gate="[0-9]{3}[ .-][0-9]{4}",
-    begins="+(0-9",
-    score_sql=PHONE_SCORE,
-)
+
+
+def phone_number(context_chars: int = 50) -> Recogniser:
+    """Telephone numbers score 0.4 alone, and 0.75 when a telephone word stands in the
+    ``context_chars`` characters before. A threshold of 0.4 or less takes both kinds."""
+    before = f"""substr({{text}}, greatest({{start}} - {context_chars}, 0) + 1,
+        least({{start}}, {context_chars}))"""
+    return Recogniser(
+        "PHONE_NUMBER",
+        r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}\b",
+        0.4,
+        gate="[0-9]{3}[ .-][0-9]{4}",
+        begins="+(0-9",
+        score_sql=f"CASE WHEN lower({before}) RLIKE 'phone|call|tel|mobile|cell|contact' THEN 0.75D ELSE 0.4D END",
+    )
+
+
+PHONE_NUMBER = phone_number()
 CREDIT_CARD = Recogniser(
     "CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, gate="[0-9](?:[ -]?[0-9]){12}", begins="0-9",
     check=LUHN_VALID,

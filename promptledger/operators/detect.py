@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions import recognisers as pii
-from promptledger.functions.findings import bind, literal, secret_findings, unicode_aware
+from promptledger.functions.findings import literal, running_totals, secret_findings, unicode_aware
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.session import lookup_join, settle
 
-MAX_NAME_WORDS = 3
+#: Up to so many names stand in the plan as a hash set; the results are the same either way.
 INLINE_NAMES = 5_000
+_WORD = literal(unicode_aware(r"\w+"))
+_WHOLE = literal(unicode_aware(r"(?s)\w(?:.*\w)?"))
 
 
 def scan_secrets(
@@ -30,10 +32,9 @@ def scan_pii(
     threshold: float = pii.DEFAULT_THRESHOLD,
     names: DataFrame | None = None,
     recognisers: Sequence[pii.Recogniser] | None = None,
-    key: str = "arrival_seq",
 ) -> DataFrame:
     """Add ``findings``: personal data above the score threshold."""
-    hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers, key)
+    hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers)
     found = hit.withColumn("findings", pii.hits_to_findings("_hits")).drop("_hits")
     return settle(found, "findings")
 
@@ -46,99 +47,98 @@ def with_pii_hits(
     threshold: float = pii.DEFAULT_THRESHOLD,
     names: DataFrame | None = None,
     recognisers: Sequence[pii.Recogniser] | None = None,
-    key: str = "arrival_seq",
 ) -> DataFrame:
     """Add the transient hits array (it holds raw matches)."""
     pii.check_threshold(threshold)
     chosen = pii.choose(entities) if recognisers is None else tuple(recognisers)
     if names is None or not (entities is None or pii.PERSON in entities):
         return df.withColumn(out, pii.pii_hits(text, chosen, threshold))
-    listed = _short_list(names)
-    if listed is not None:
-        runs = settle(df.withColumn("_runs", word_runs(text)), "_runs")
-        known = F.filter("_runs", lambda r: r["name"].isin(listed)) if listed else F.array()
-        found = settle(runs.withColumn("_names", _longest(_as_hits(known))), "_names").drop("_runs")
+    listed = _name_table(names)
+    sizes = [r["n"] for r in listed.select("n").distinct().orderBy("n").collect()]
+    short = listed.limit(INLINE_NAMES + 1).collect()
+    if len(short) <= INLINE_NAMES:
+        found = _names_inline(df, text, short, sizes)
     else:
-        found = df.join(name_hits(df.select(F.col(key), F.col(text)), text, names, key), key, "left")
+        # Hits depend on the text alone, so that is what they are joined back on.
+        keyed = df.withColumn("_text", F.sha2(F.col(text).cast("binary"), 256))
+        found = keyed.join(name_hits(df, text, listed, sizes), "_text", "left").drop("_text")
     return found.withColumn(
         out, pii.pii_hits(text, chosen, threshold, more="_names")
     ).drop("_names")
 
 
-def _short_list(names: DataFrame) -> list[str] | None:
-    """The names, if there are few enough to stand in the plan as a hash set."""
-    rows = names.select("name").where(F.col("name").isNotNull()).limit(INLINE_NAMES + 1).collect()
-    return sorted({r["name"] for r in rows}) if len(rows) <= INLINE_NAMES else None
-
-
-_STARTS = "struct<at:int,starts:array<int>>"
-
-
-def _runs_of(n: int) -> str:
-    """SQL for the runs of ``n`` words in p (words, gaps, starts); no run has a NULL name."""
-    if n == 1:
-        return "transform(p.words, (w, i) -> struct(p.starts[i] AS span_start, w AS name))"
-    return f"""CASE WHEN size(p.words) >= {n} THEN
-      transform(sequence(0, size(p.words) - {n}, 1), i -> struct(
-        p.starts[i] AS span_start,
-        CASE WHEN forall(slice(p.gaps, i + 2, {n - 1}), g -> g = ' ')
-             THEN array_join(slice(p.words, i + 1, {n}), ' ') END AS name)) ELSE array() END"""
-
-
-def word_runs(text: str) -> Column:
-    """Runs of one to three words that single spaces join, with their start."""
-    word = literal(unicode_aware(r"\w+"))
-    runs = ", ".join(_runs_of(n) for n in range(1, MAX_NAME_WORDS + 1))
-    return F.expr(f"""
-      transform(transform(array(struct(
-          regexp_extract_all({text}, {word}, 0) AS words, split({text}, {word}, -1) AS gaps)),
-        t -> struct(t.words AS words, t.gaps AS gaps, aggregate(
-          zip_with(t.words, slice(t.gaps, 1, size(t.words)), (w, g) -> struct(w AS w, g AS g)),
-          CAST(struct(0 AS at, array() AS starts) AS {_STARTS}),
-          (s, x) -> CAST(struct(s.at + length(x.g) + length(x.w) AS at,
-                                array_append(s.starts, s.at + length(x.g)) AS starts) AS {_STARTS}),
-          s -> s.starts) AS starts)),
-        p -> filter(concat({runs}), r -> r.name IS NOT NULL))[0]""")
-
-
-def _as_hits(runs: Column) -> Column:
-    return F.transform(
-        runs,
-        lambda r: F.struct(
-            r["span_start"].alias("span_start"),
-            F.lit(len(pii.RECOGNISERS)).alias("position"),
-            (r["span_start"] + F.length(r["name"])).alias("span_end"),
-            F.lit(pii.PERSON).alias("entity"),
-            F.lit(pii.PERSON_SCORE).alias("score"),
-            r["name"].alias("matched"),
-        ),
-    ).cast(pii.PII_HITS)
-
-
-def _longest(hits: Column) -> Column:
-    """Hits that no longer hit covers."""
-
-    def covers(g: Column, h: Column) -> Column:
-        longer = (g["span_end"] - g["span_start"]) > (h["span_end"] - h["span_start"])
-        return (g["span_start"] <= h["span_start"]) & (g["span_end"] >= h["span_end"]) & longer
-
-    return bind(
-        hits, lambda all_hits: F.filter(all_hits, lambda h: ~F.exists(all_hits, lambda g: covers(g, h)))
-    )
-
-
-def name_hits(texts: DataFrame, text: str, names: DataFrame, key: str) -> DataFrame:
-    """PERSON hits by a join with a long names table.
-
-    ``key`` is unique, so the hits of one key are bounded by its own text. Only
-    texts with a hit come back, one row each.
+def _name_table(names: DataFrame) -> DataFrame:
+    """Distinct (name, n words, first word): from the name's first word to its last."""
+    whole = names.select(F.expr(f"regexp_extract(name, {_WHOLE}, 0)").alias("name")).where("name <> ''")
+    words = whole.withColumn("_w", F.expr(f"regexp_extract_all(name, {_WORD}, 0)"))
+    return words.select("name", F.size("_w").alias("n"), F.col("_w")[0].alias("first")).distinct()
+
+
+def words_of(text: str) -> Column:
+    """words, gaps (one more than words) and starts of a text."""
+    return F.expr(f"""transform(transform(array(struct(
+        regexp_extract_all({text}, {_WORD}, 0) AS words, split({text}, {_WORD}, -1) AS gaps)),
+      t -> struct(t.words AS words, t.gaps AS gaps, zip_with(t.words, slice(t.gaps, 1, size(t.words)),
+        (w, g) -> length(w) + length(g)) AS lens)),
+      t -> struct(t.words AS words, t.gaps AS gaps, zip_with(t.words, {running_totals("t.lens")},
+        (w, stop) -> stop - length(w)) AS starts))[0]""")
+
+
+def _runs_at(i: str, sizes: Sequence[int]) -> str:
+    """SQL for the runs of words of column ``_words`` from word ``i``, longest first, with
+    what stands between the words; a run beyond the text has a NULL name."""
+    runs = []
+    for n in sorted(sizes, reverse=True):
+        rest = f"""array_join(zip_with(slice(_words.gaps, {i} + 2, {n - 1}), slice(_words.words, {i} + 2, {n - 1}),
+            (g, w) -> concat(g, w)), '')"""
+        name = f"_words.words[{i}]" if n == 1 else f"concat(_words.words[{i}], {rest})"
+        runs.append(
+            f"struct(_words.starts[{i}] AS span_start, CASE WHEN {i} + {n} <= size(_words.words) THEN {name} END AS name)"
+        )
+    return f"array({', '.join(runs)})"
+
+
+def _names_inline(df: DataFrame, text: str, names: Sequence, sizes: Sequence[int]) -> DataFrame:
+    if not names:
+        return df.withColumn("_names", F.lit(None).cast(pii.PII_HITS))
+    firsts, listed = sorted({r["first"] for r in names}), [r["name"] for r in names]
+    words = settle(df.withColumn("_words", words_of(text)), "_words")
+    # Only words that begin a name are looked at further.
+    placed = F.transform("_words.words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    begun = words.withColumn("_at", F.filter(placed, lambda p: p["w"].isin(firsts)))
+    runs = settle(
+        begun.withColumn("_runs", F.expr(f"flatten(transform(_at, p -> {_runs_at('p.i', sizes)}))")), "_runs"
+    ).drop("_at", "_words")
+    known = runs.withColumn("_runs", F.filter("_runs", lambda r: r["name"].isin(listed)))
+    return settle(known.withColumn("_names", _longest("_runs", sizes)), "_names").drop("_runs")
+
+
+def _longest(runs: str, sizes: Sequence[int]) -> Column:
+    """Hits of runs (by start, longest first) that no longer one covers.
+
+    Only an earlier run can cover, and only one that begins within a name's words.
     """
-    runs = texts.where(F.col(text).isNotNull()).select(key, F.explode(word_runs(text)).alias("r"))
-    hits = lookup_join(
-        runs.select(key, "r.*"), names.select("name"), "name", F.struct(key, "span_start"), "left_semi"
+    reach = max(sizes) * len(sizes)
+    return F.expr(f"""CAST(transform(array(transform({runs}, r -> struct(r.span_start AS span_start,
+        {len(pii.RECOGNISERS)} AS position, r.span_start + length(r.name) AS span_end,
+        {literal(pii.PERSON)} AS entity, {pii.PERSON_SCORE}D AS score, r.name AS matched))), hits ->
+      filter(hits, (h, i) -> NOT exists(slice(hits, greatest(i + 1 - {reach}, 1), least(i, {reach})),
+        g -> g.span_end >= h.span_end)))[0] AS {pii.PII_HITS})""")
+
+
+def name_hits(texts: DataFrame, text: str, names: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(_text, _names): PERSON hits of every distinct text with one, by a join with a long
+    names table. ``_text`` is the text's SHA-256."""
+    once = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_content")).distinct()
+    words = settle(once.withColumn("_words", words_of("_content")), "_words")
+    begins = words.select(F.sha2(F.col("_content").cast("binary"), 256).alias("_text"), "_words").withColumn(
+        "_runs", F.expr(f"flatten(transform(_words.words, (x, i) -> {_runs_at('i', sizes)}))")
     )
-    listed = hits.groupBy(key).agg(F.collect_list(F.struct("span_start", "name")).alias("_all"))
-    return listed.select(key, _longest(_as_hits(F.col("_all"))).alias("_names"))
+    runs = begins.select("_text", F.explode("_runs").alias("r")).select("_text", "r.*").where("name IS NOT NULL")
+    hits = lookup_join(runs, names.select("name"), "name", F.struct("_text", "span_start"), "left_semi")
+    order = F.struct("span_start", (-F.length("name")).alias("order"), "name")
+    listed = hits.groupBy("_text").agg(F.array_sort(F.collect_list(order)).alias("_all"))
+    return listed.select("_text", _longest("_all", sizes).alias("_names"))
 
 
 def explode_findings(df: DataFrame, *keep: str, findings: str = "findings") -> DataFrame:

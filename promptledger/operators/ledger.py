@@ -91,10 +91,14 @@ def first_per_request(df: DataFrame, key: str = "request_id", order: str = "arri
     """The earliest row of each key.
 
     Copies of one key collapse on the map side before the shuffle, so a key
-    that a third of the rows share costs no more than any other.
+    that a third of the rows share costs no more than any other. Rows without a
+    key are no copies of each other and all stay.
     """
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    lone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    picked = df.withColumn("_lone", lone).groupBy(key, "_lone").agg(
+        F.min_by(F.struct(*rest), F.col(order)).alias("_row")
+    )
     return picked.select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in df.columns])
 
 

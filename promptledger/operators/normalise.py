@@ -17,17 +17,19 @@ DEAD_LETTER_COLUMNS = (
 )
 
 
-def _with_prompt(df: DataFrame, system_first: Column, provider: Column, *added: str) -> DataFrame:
+def _with_prompt(
+    df: DataFrame, provider: Column, routes: Sequence[bodies.ProviderRoute], *added: str
+) -> DataFrame:
     """Add model and content to rows without an error, and drop the parsed body."""
     good = F.col("error_code").isNull()
     parsed = F.col("_parsed")
-    out = df.withColumn("_system_first", good & system_first).withColumns(
+    out = df.withColumn("_layout", F.when(good, provider)).withColumns(
         {
             "provider": F.when(good, provider),
             "model": F.when(good, bodies.text_or_null(bodies.field(parsed, "model"))),
-            "content": F.when(good, bodies.prompt_text("_parsed", "_system_first")),
+            "content": F.when(good, bodies.prompt_text("_parsed", "_layout", routes)),
         }
-    ).drop("_parsed", "_system_first")
+    ).drop("_parsed", "_layout")
     return settle(out, "provider", "model", "content", "error_code", "error_detail", *added)
 
 
@@ -42,7 +44,6 @@ def normalise(
     content and the error columns, which are NULL for a good row: an unknown
     path is status 404, a malformed body 400.
     """
-    with_system = [r.provider for r in routes if r.system_field]
     route = bodies.provider_of_path(F.col("path"), routes)
     df = bodies.with_parsed(requests, "body", "_parsed").withColumns(
         {"_route": route, "_given_id": header(F.col("headers"), REQUEST_ID_HEADER)}
@@ -50,7 +51,7 @@ def normalise(
     df = df.withColumn(
         "error_code",
         F.when(F.col("_route").isNull(), UNKNOWN_PROVIDER).otherwise(
-            bodies.body_error(F.col("body"), F.col("_parsed"))
+            bodies.body_error(F.col("body"), F.col("_parsed"), F.col("_route"), routes)
         ),
     )
     df = df.withColumns(
@@ -70,10 +71,7 @@ def normalise(
             ).otherwise(bodies.error_text(F.col("error_code"))),
         }
     )
-    out = _with_prompt(
-        df, F.col("_route").isin(with_system), F.col("_route"),
-        "request_id", "error_status", "error",
-    )
+    out = _with_prompt(df, F.col("_route"), routes, "request_id", "error_status", "error")
     return out.drop("_route", "_given_id")
 
 
@@ -88,7 +86,7 @@ def normalise_files(files: DataFrame) -> DataFrame:
     df = df.withColumn("error_code", bodies.body_error(F.col("body"), F.col("_parsed")))
     df = df.withColumn("error_detail", bodies.error_text(F.col("error_code")))
     df = df.withColumn("_provider", bodies.detect_provider(F.col("_parsed")))
-    return _with_prompt(df, F.col("_provider") == "anthropic", F.col("_provider")).drop("_provider")
+    return _with_prompt(df, F.col("_provider"), bodies.ROUTES).drop("_provider")
 
 
 def accepted(normalised: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from promptledger.operators.detect import with_pii_hits
 from promptledger.schemas import SWAPS, empty
 from promptledger.session import settle
 
+REWRITE_FAILED = "rewrite_failed"
+
 
 def redact_texts(
     df: DataFrame,
@@ -40,9 +42,10 @@ def rewrite_requests(
     """Apply swaps inside request bodies and read the prompt again.
 
     Rows without swaps keep body and content and do not reach Python. Expects
-    body, provider, content; sets ``mutations_applied``.
+    body, provider, content; sets ``mutations_applied``. A body that cannot be
+    rewritten becomes NULL, never passes as it is, and sets ``error_code`` where
+    there is such a column.
     """
-    with_system = [r.provider for r in routes if r.system_field]
     wanted = F.coalesce(F.size(swaps) > 0, F.lit(False))
     marked = df.withColumn("_wanted", wanted)
     sent = marked.withColumn(
@@ -53,13 +56,17 @@ def rewrite_requests(
             F.when(F.col("_wanted"), F.col(swaps)).otherwise(empty(SWAPS)),
         ),
     )
-    sent = sent.withColumn("_system_first", F.col("provider").isin(with_system))
-    again = bodies.prompt_text("_parsed", "_system_first")
+    again = bodies.prompt_text("_parsed", "provider", routes)
+    failed = F.col("_wanted") & F.col("_rewritten").isNull()
+    errors = {}
+    if "error_code" in df.columns:
+        errors["error_code"] = F.coalesce("error_code", F.when(failed, REWRITE_FAILED))
     return bodies.with_parsed(sent, "_rewritten", "_parsed").withColumns(
         {
+            **errors,
             "content": F.when(F.col("_wanted"), again).otherwise(F.col("content")),
-            "body": F.coalesce("_rewritten", "body"),
+            "body": F.when(F.col("_wanted"), F.col("_rewritten")).otherwise(F.col("body")),
             "mutations_applied": F.col("mutations_applied") | F.col("_wanted")
             if "mutations_applied" in df.columns else F.col("_wanted"),
         }
-    ).drop("_wanted", "_rewritten", "_parsed", "_system_first")
+    ).drop("_wanted", "_rewritten", "_parsed")

@@ -60,7 +60,8 @@ class LedgerTable:
     Records of a batch that share an id keep the earliest, and ids the table
     already holds are skipped by an anti join on the id column alone. A copy of
     an id may be ``days_back`` days younger than the first at most; the default
-    looks at all days. Writing a batch again adds nothing.
+    looks at all days. Records without a day are always looked at, and a batch that
+    holds one is held against all days. Writing a batch again adds nothing.
     """
 
     path: str
@@ -84,8 +85,10 @@ class LedgerTable:
         if held is not None:
             if self.days_back is not None:
                 fresh = cut_lineage(fresh)
-                first_day = fresh.agg(F.min("day").alias("day")).first()["day"]
-                held = held.where(F.col("day") >= F.date_sub(F.lit(first_day), self.days_back))
+                days = fresh.agg(F.min("day").alias("first"), F.expr("bool_or(day IS NULL)").alias("unknown")).first()
+                if days["first"] is not None and not days["unknown"]:
+                    recent = F.col("day") >= F.date_sub(F.lit(days["first"]), self.days_back)
+                    held = held.where(recent | F.col("day").isNull())
             fresh = fresh.join(held.select("request_id"), "request_id", "left_anti")
         if self.findings_as_json:
             fresh = fresh.withColumn("findings", F.to_json("findings"))

@@ -182,3 +182,32 @@ def test_custom_route(spark):
     df = requests(spark, [("/v1/mine/", chat("m", "x"))])
     row = normalise.normalise(df, routes).first()
     assert (row["provider"], row["content"]) == ("mine", "x")
+
+
+def test_route_with_its_own_layout_is_scanned_and_redacted(spark):
+    from promptledger.plans.chain import Chain, PiiStage
+
+    mine = bodies.ProviderRoute("/v1/mine", "mine", "preamble", "turns", "say")
+    routes = (*bodies.ROUTES, mine)
+    body = '{"model": "m", "preamble": "mail a@b.com", "turns": [{"say": "hi"}, {"say": [{"text": "c@d.org"}]}]}'
+    bare = '{"model": "m", "preamble": "x", "messages": [{"content": "y"}]}'
+    df = normalise.normalise(requests(spark, [("/v1/mine", body), ("/v1/mine", bare)]), routes)
+    first, second = df.orderBy("arrival_seq").collect()
+    assert first["content"] == "mail a@b.com\nhi\nc@d.org"
+    assert second["error_code"] == "missing_messages"
+    decided = Chain([PiiStage("redact")], routes).decide(df).orderBy("arrival_seq").first()
+    assert decided["content"] == "mail [REDACTED:EMAIL_ADDRESS]\nhi\n[REDACTED:EMAIL_ADDRESS]"
+    assert json.loads(decided["body"])["turns"][1]["say"][0]["text"] == "[REDACTED:EMAIL_ADDRESS]"
+
+
+def test_bodies_that_resist_rewriting(spark):
+    from promptledger.plans.chain import Chain, PiiStage
+
+    lone = '{"model": "m", "messages": [{"content": "a@b.com \\\\ud800 é"}]}'.replace("\\\\", "\\")
+    digits = '{"model": "m", "n": ' + "9" * 5_000 + ', "messages": [{"content": "a@b.com"}]}'
+    df = normalise.normalise(requests(spark, [("/v1/chat/completions", b) for b in (lone, digits)]))
+    first, second = Chain([PiiStage("redact")]).decide(df).orderBy("arrival_seq").collect()
+    text = json.loads(first["body"])["messages"][0]["content"]
+    assert text == "[REDACTED:EMAIL_ADDRESS] \ud800 é"
+    assert second["error_code"] is not None and second["verdict"] is None
+    assert "a@b.com" not in (second["body"] or "") or second["error_code"] == "invalid_json"

@@ -158,3 +158,55 @@ def test_custom_recogniser(spark):
     badge = pii.Recogniser("BADGE", r"\bB-\d{4}\b", 0.7)
     (found,) = scanned(detect.scan_pii(prompts(spark, "my B-1234"), recognisers=[badge]))[0]
     assert found == ("pii_badge", "BADGE", "medium", 3, 9, "******")
+
+
+@pytest.mark.parametrize("inline", [5_000, 0], ids=["inline", "joined"])
+def test_names_of_any_form_and_rows_of_one_number(spark, monkeypatch, inline):
+    monkeypatch.setattr(detect, "INLINE_NAMES", inline)
+    listed = ["O'Brien", "Jean-Luc Picard", "Anna Maria de la Cruz", "John Smith", "Maria", " ", None]
+    names = spark.createDataFrame([(n,) for n in listed], "name string")
+    text = "John Smith, O'Brien and Jean-Luc Picard met Anna Maria de la Cruz; Maria, O Brien."
+    found = scanned(detect.scan_pii(prompts(spark, text), names=names))[0]
+    assert [text[f[3] : f[4]] for f in found] == [
+        "John Smith", "O'Brien", "Jean-Luc Picard", "Anna Maria de la Cruz", "Maria",
+    ]
+    twice = spark.createDataFrame([(1, text), (1, "nobody"), (1, text)], "arrival_seq long, content string")
+    sizes = [len(r["findings"]) for r in detect.scan_pii(twice, names=names).collect()]
+    assert sorted(sizes) == [0, 5, 5]
+
+
+@pytest.mark.parametrize(
+    "address",
+    ["x" * 70 + "@mail.org", "a@" + "b." * 13 + "com", "a@b.xn--p1ai", "a.b-c%d+e_f@g.museum", "q@" + "d" * 90 + ".de"],
+)
+def test_addresses_of_any_length(spark, address):
+    text = f"to {address}, and on"
+    (found,) = scanned(detect.scan_pii(prompts(spark, text), entities=["EMAIL_ADDRESS"]))[0]
+    assert text[found[3] : found[4]] == address
+
+
+def test_address_right_after_an_address(spark):
+    text = "a@b.com.x@y.com"
+    found = scanned(detect.scan_pii(prompts(spark, text), entities=["EMAIL_ADDRESS"]))[0]
+    assert [text[f[3] : f[4]] for f in found] == ["a@b.com", ".x@y.com"]  # a dot may begin a local part
+
+
+def test_spans_beyond_one_block_of_offsets(spark):
+    text = " ".join(f"é{i} mail{i}@host.org" for i in range(1_300))
+    found = scanned(detect.scan_pii(prompts(spark, text), entities=["EMAIL_ADDRESS"]))[0]
+    assert [text[f[3] : f[4]] for f in found] == [f"mail{i}@host.org" for i in range(1_300)]
+
+
+def test_time_grows_with_the_length_of_a_text(spark):
+    import time
+
+    names = spark.createDataFrame([("Ana Silva",)], "name string")
+
+    def seconds(n):
+        df = prompts(spark, " ".join(f"word{i} a{i}@b.org" for i in range(n)))
+        started = time.monotonic()
+        detect.scan_pii(df, names=names).selectExpr("sum(size(findings))").collect()
+        return time.monotonic() - started
+
+    seconds(1_000)
+    assert seconds(40_000) < 3 * seconds(20_000) + 1

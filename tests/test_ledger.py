@@ -189,3 +189,14 @@ def test_sink_choice():
     assert chosen.sinks == [
         ledgers.Ring("r", 5), ledgers.JsonLines("j"), ledgers.LedgerTable("t"), ledgers.LogEvents("l"),
     ]
+
+
+@pytest.mark.parametrize("days_back", [None, 1])
+def test_records_without_a_time_or_an_id(spark, tmp_path, days_back):
+    sink = ledgers.LedgerTable(str(tmp_path), days_back=days_back)
+    rows = frame(spark, record(1), record(2)).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    for _ in range(2):
+        sink.write(rows)
+    assert ids(ledgers.read_table(spark, sink.path)) == ["id-1", "id-2"]
+    nameless = frame(spark, record(3), record(4)).withColumn("request_id", F.lit(None).cast("string"))
+    assert ledger.first_per_request(nameless).count() == 2

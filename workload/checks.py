@@ -60,6 +60,12 @@ _SCORES = {
 }
 
 
+# What the recogniser means, in a form without look-behind.
+_PATTERNS = {
+    "EMAIL_ADDRESS": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.(?:[Xx][Nn]--[A-Za-z0-9-]+|[A-Za-z]{2,})\b"
+}
+
+
 def pii_hits(source: str, threshold: float = 0.5, entities=None) -> str:
     """Scored matches: arrival_seq, pos, entity, score, s, e, m."""
     parts = []
@@ -68,7 +74,7 @@ def pii_hits(source: str, threshold: float = 0.5, entities=None) -> str:
         score = _SCORES.get(r.entity, str(r.score))
         parts.append(
             f"""SELECT * FROM (SELECT arrival_seq, {i} AS pos, {quote(r.entity)} AS entity,
-                CAST({score} AS DOUBLE) AS score, s, e, m FROM ({spans(source, r.pattern)})
+                CAST({score} AS DOUBLE) AS score, s, e, m FROM ({spans(source, _PATTERNS.get(r.entity, r.pattern))})
                 WHERE {_CHECKS.get(r.entity, 'TRUE')}) WHERE score >= {threshold}"""
         )
     return " UNION ALL ".join(parts)
