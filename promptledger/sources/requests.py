@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from promptledger.functions.bodies import chat_body
 from promptledger.schemas import PROMPT_FILE, REQUEST
 
 DEFAULT_MODEL = "gpt-4o"
-_LISTED = "label string, position bigint"
 
 
 def read_requests(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
@@ -32,7 +32,42 @@ def stream_requests(
 
 
 def _plain_path(uri):
-    return F.regexp_replace(uri, "^file:(//)?", "")
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its terms."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
+def _missing(error: Py4JJavaError) -> bool:
+    return "FileNotFoundException" in str(error.java_exception.getClass().getName())
+
+
+def _exact(path: str) -> str:
+    """A path as a glob that means itself only."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _empty_files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> list[str]:
+    """Names of the files of no bytes that a folder or glob holds, as Spark would read them."""
+    fs, named = _file_system(spark, path)
+    wanted = spark._jvm.org.apache.hadoop.fs.GlobFilter(pattern)
+    found, open_folders = [], []
+    for status in fs.globStatus(named) or ():
+        (open_folders if status.isDirectory() else found).append(status)
+    while open_folders:
+        for status in fs.listStatus(open_folders.pop().getPath()):
+            if status.getPath().getName()[0] in "._":
+                continue
+            if not status.isDirectory():
+                found.append(status)
+            elif recursive:
+                open_folders.append(status)
+    return [
+        s.getPath().toUri().toString() for s in found if s.getLen() == 0 and wanted.accept(s.getPath())
+    ]
 
 
 def read_prompt_files(
@@ -40,8 +75,8 @@ def read_prompt_files(
 ) -> DataFrame:
     """One body per file under a folder or glob; nothing found gives no rows.
 
-    All share position 0, so a report orders them by name. Spark does not list
-    files of no bytes; :func:`read_prompt_list` reports them.
+    All share position 0, so a report orders them by name. A file of no bytes has a
+    NULL body, which is an input error.
     """
     try:
         files = (
@@ -53,35 +88,42 @@ def read_prompt_files(
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], PROMPT_FILE)
-    named = files.select(
-        _plain_path(F.col("_metadata.file_path")).alias("label"), F.col("value").alias("body")
-    )
-    return named.select("label", F.lit(0).cast("bigint").alias("position"), "body")
+    named = files.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("body"))
+    # Spark leaves files of no bytes out of a scan.
+    empty = _empty_files(spark, path, pattern, recursive)
+    if empty:
+        named = named.union(spark.createDataFrame([(uri, None) for uri in empty], "uri string, body string"))
+    return named.select(_plain_path(F.col("uri")).alias("label"), F.lit(0).cast("bigint").alias("position"), "body")
 
 
 def read_prompt_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Listed files, numbered in list order; an empty list gives no rows.
 
-    A file that is missing or has no bytes keeps its row, with a NULL body,
-    which is an input error.
+    The label is the path as the caller wrote it: relative, with a scheme, with
+    blanks. A file that is missing, a folder or of no bytes keeps its row, with a
+    NULL body, which is an input error.
     """
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], _LISTED)
-    files = _read_existing(spark, list(paths))
-    return order.join(files, "label", "left").select("label", "position", "body")
-
-
-def _read_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
-    while paths:
+    rows, names = [], {}
+    for position, path in enumerate(paths):
+        fs, named = _file_system(spark, path)
         try:
-            return spark.read.text(paths, wholetext=True).select(
-                _plain_path(F.col("_metadata.file_path")).alias("label"), F.col("value").alias("body")
-            )
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
+            status = fs.getFileStatus(named)
+        except Py4JJavaError as error:
+            if not _missing(error):
                 raise
-            gone = re.sub("^file:(//)?", "", missing.getMessageParameters()["path"])
-            paths = [p for p in paths if p != gone]
-    return spark.createDataFrame([], PROMPT_FILE).select("label", "body")
+            rows.append((path, position, None))
+            continue
+        name = re.sub("^file:(//)?", "", status.getPath().toString())
+        rows.append((path, position, name))
+        if not status.isDirectory() and status.getLen() > 0:
+            names[name] = _exact(status.getPath().toString())
+    order = spark.createDataFrame(rows, "label string, position bigint, name string")
+    if not names:
+        return order.select("label", "position", F.lit(None).cast("string").alias("body"))
+    files = spark.read.text(list(names.values()), wholetext=True).select(
+        _plain_path(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("body")
+    )
+    return order.join(files, "name", "left").select("label", "position", "body")
 
 
 def text_prompts(

@@ -146,3 +146,25 @@ def test_plain_text_prompts(spark):
     assert [r["content"] for r in direct.collect()] == ['say "hi"\n😀', ""]
     _, out = batch_chain(), batch_chain().decide(direct)
     assert out.where(F.col("verdict") == "allowed").count() == 2
+
+
+def test_listed_paths_of_any_form(spark, tmp_path, monkeypatch):
+    path = folder(tmp_path, **{"a b": chat("m", "x"), "c+d%20[e]": chat("m", "y"), "f": ""})
+    monkeypatch.chdir(tmp_path)
+    odd, plain = f"{path}/c+d%20[e].json", f"file://{path}/a b.json"
+    listed = [odd, plain, "gone.json", "file:///nowhere/x.json", f"{path}/f.json", path, odd]
+    rows = sources.read_prompt_list(spark, listed).orderBy("position").collect()
+    assert [r["label"] for r in rows] == listed
+    assert [r["body"] for r in rows] == [chat("m", "y"), chat("m", "x"), None, None, None, None, chat("m", "y")]
+
+
+def test_empty_files_of_a_folder_are_input_errors(spark, tmp_path):
+    path = folder(tmp_path, **{"a b": chat("m", "fine"), "c": ""})
+    (tmp_path / "deep").mkdir()
+    for name in ("deep/d.json", "e.txt", "_f.json"):
+        (tmp_path / name).write_text("")
+    files = sources.read_prompt_files(spark, path)
+    rows = {r["label"]: r["body"] for r in files.collect()}
+    assert rows == {f"{path}/a b.json": chat("m", "fine"), f"{path}/c.json": None, f"{path}/deep/d.json": None}
+    assert reports.gate(scan(files)[1]).first()["gate"] == 2
+    assert sources.read_prompt_files(spark, path, recursive=False).count() == 2
