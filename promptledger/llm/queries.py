@@ -21,6 +21,5 @@ CHECKS = {
     "op3_topk": topk.OP3_SQL,
     "op7_chat_trees": chat.OP7_SQL,
     "op8_url_rules": urlrules.OP8_SQL,
-    "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mix.OP10_SQL,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from promptledger.llm import chat, langid, mix, quality, shards, topk, urlrules
+from promptledger.llm import chat, langid, mix, quality, queries, shards, topk, urlrules
 
 
 def plain_targets(sizes, weights=(3, 1, 2)):
@@ -179,3 +179,8 @@ def test_quality(spark, documents):
     none = quality.scores(docs, marks.limit(0)).collect()
     assert {r.quality_score for r in none} == {0.5}
     assert quality.scores(docs.limit(0), marks).count() == 0
+
+
+def test_checks_are_sql_of_registered_queries():
+    assert set(queries.CHECKS) <= set(queries.QUERIES)
+    assert all(isinstance(sql, str) for sql in queries.CHECKS.values())
