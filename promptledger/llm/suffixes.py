@@ -13,9 +13,10 @@ suffixes soonest, without losing any:
    all its bytes. If a run occurs twice, all its strings are repeated.
 3. In buckets with several different runs, one of each kind is refined: its strings
    are cut into parts of 16 by their distance from the representing suffix, the
-   same for equal strings, and parts with the same digest are repeated.
-4. What is still mixed is refined to the 400-byte buckets of its single strings;
-   those that meet another are repeated.
+   same for equal strings. A part's bucket is refined by its core, the 385 bytes
+   that all strings at these distances share; parts with the same digest are repeated.
+4. What is still mixed, parts of one core with different ends, is refined to the
+   400-byte buckets of its single strings; those that meet another are repeated.
 
 A byte is removed if a repeated string covers it. Strings never cross texts and
 are judged on the input. Final identifiers have 128 bits.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,8 +158,9 @@ def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A run cut by distance from its suffix: (run, b, part, at) and digest; at is
-    first string of the part within the run * 1024 + strings."""
+    """A run cut by distance from its suffix: (run, core, at) and digest; at is first
+    string of the part within the run * 1024 + strings. Equal strings have equal
+    cores, whatever the run's ends; unequal cores that collide are told apart later."""
     for batch in batches:
         rows, digests = [], []
         for run, b, place, data in zip(batch["run"], batch["b"], batch["place"], batch["data"]):
@@ -165,8 +168,11 @@ def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = (back - np.arange(n)) // PART
             firsts = np.flatnonzero(np.diff(part, prepend=part[0] + 1))
             for f, c in zip(firsts.tolist(), np.diff(firsts, append=n).tolist()):
-                rows.append((run, b, int(part[f]), f * 1024 + c)), digests.append(digest(data[f : f + c + LENGTH - 1]))
-        yield _frame(["run", "b", "part", "at"], rows, digests)
+                p = int(part[f])
+                core = data[back - p * PART : back - p * PART + LENGTH - PART + 1]
+                bucket = int.from_bytes(xxhash.xxh3_64_digest(core, (b + p) % (1 << 64)), "big", signed=True)
+                rows.append((run, bucket, f * 1024 + c)), digests.append(digest(data[f : f + c + LENGTH - 1]))
+        yield _frame(["run", "core", "at"], rows, digests)
 
 
 def single_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,11 +243,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     split = staged(
         open_runs.select("run", "b", "place", "data").mapInPandas(
-            parts, "run long, b long, part long, at long, u1 long, u2 long"
+            parts, "run long, core long, at long, u1 long, u2 long"
         ),
         "suffix-parts",
     )
-    same, still = _refined(split, ["b", "part"], ["run", "at"], "suffix-parts")
+    same, still = _refined(split, ["core"], ["run", "at"], "suffix-parts")
     listed = still.groupBy("run").agg(F.collect_list("at").alias("ats"))
     strings = staged(
         open_runs.select("run", "data").join(listed, "run").mapInPandas(single_strings, "w1 long, w2 long, x long"),

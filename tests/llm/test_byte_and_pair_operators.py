@@ -53,6 +53,17 @@ def test_repeats_against_brute_force(spark, documents):
     assert [tuple(r)[1:] for r in got] == brute_removed(texts)
 
 
+def test_repeats_of_edited_copies(spark, documents):
+    """Copies with an edit anywhere and cut anywhere: equal strings in runs with different ends."""
+    rng = random.Random(9)
+    base, texts = words(rng, 220), []
+    for _ in range(60):
+        at, begin = rng.randrange(len(base)), rng.randrange(60)
+        texts.append((base[:at] + rng.choice(["", "#", "##"]) + base[at + 1 :])[begin : len(base) - rng.randrange(60)])
+    got = suffixes.without_repeats(documents(*enumerate(texts))).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_removed(texts)
+
+
 def test_repeats_across_pieces(spark, documents, monkeypatch):
     rng = random.Random(5)
     text = words(rng, 60_000)
