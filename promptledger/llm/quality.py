@@ -235,7 +235,11 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     telling = vocabulary(staged(chosen.select("text", *TARGETS), "quality-sample"))
     words = list(dict.fromkeys(w for c in TARGETS for w in telling[c]))
     seen = staged(features(narrow, words), "quality-features")
-    rows = seen.join(marks.withColumn("drawn", drawn), "doc_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))
+    # Written: every fit and every round reads it again, and would shuffle the features each time.
+    rows = staged(
+        seen.join(marks.withColumn("drawn", drawn), "doc_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(False))),
+        "quality-rows",
+    )
     views = Views()
     for target in TARGETS:
         co_train(rows, len(words), [words.index(w) for w in telling[target]], target, views=views)
