@@ -34,9 +34,6 @@ SHINGLE = 3
 SEED = 42
 TILE = 16_384
 SLICE = 256
-#: For near-duplicates in general: five words, 128 bits. A similarity (Jaccard) of
-#: 0.8 is a cosine of 0.89, so about 19 differing bits, give or take 4.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_RADIUS = 5, 2, 24
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
@@ -276,19 +273,18 @@ def component_ids(fps: DataFrame, radius: int = RADIUS, words: int = 1) -> DataF
     return fps.join(classes, "fp", "left").select("doc_id", "fp", named.alias("component_id"))
 
 
-def deduplicated(
-    docs: DataFrame, doc_id="doc_id", text="text", size: int = NEAR_SHINGLE,
-    radius: int = NEAR_RADIUS, words: int = NEAR_WORDS,
-) -> DataFrame:
-    """The documents with one of each near-duplicate group: its smallest id.
+def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """The documents with one of each near-duplicate group (see ``near``): its smallest id.
 
     Rows with a null id stay. Rows of one id are one document, which stays if any
     of its texts does.
     """
-    ids = component_ids(fingerprints(docs, doc_id, text, size, words), radius, words)
+    from promptledger.llm import near  # it builds on this module
+
+    ids = near.groups(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     gone = staged(
         ids.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("_gone")),
-        "simhash-gone",
+        "near-gone",
     )
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
 
