@@ -16,6 +16,7 @@ from promptledger.session import lookup_join, settle
 INLINE_NAMES = 5_000
 _WORD = literal(unicode_aware(r"\w+"))
 _WHOLE = literal(unicode_aware(r"(?s)\w(?:.*\w)?"))
+_SPACE = literal(unicode_aware(r"\s+"))
 
 
 def scan_secrets(
@@ -32,9 +33,13 @@ def scan_pii(
     threshold: float = pii.DEFAULT_THRESHOLD,
     names: DataFrame | None = None,
     recognisers: Sequence[pii.Recogniser] | None = None,
+    any_space: bool = False,
 ) -> DataFrame:
-    """Add ``findings``: personal data above the score threshold."""
-    hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers)
+    """Add ``findings``: personal data above the score threshold.
+
+    ``any_space``: a listed name is also found with other white space between its words.
+    """
+    hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers, any_space)
     found = hit.withColumn("findings", pii.hits_to_findings("_hits")).drop("_hits")
     return settle(found, "findings")
 
@@ -47,29 +52,39 @@ def with_pii_hits(
     threshold: float = pii.DEFAULT_THRESHOLD,
     names: DataFrame | None = None,
     recognisers: Sequence[pii.Recogniser] | None = None,
+    any_space: bool = True,
 ) -> DataFrame:
-    """Add the transient hits array (it holds raw matches)."""
+    """Add the transient hits array (it holds raw matches).
+
+    ``any_space``: any run of white space in a name is like any other.
+    """
     pii.check_threshold(threshold)
     chosen = pii.choose(entities) if recognisers is None else tuple(recognisers)
     if names is None or not (entities is None or pii.PERSON in entities):
         return df.withColumn(out, pii.pii_hits(text, chosen, threshold))
-    listed = _name_table(names)
+    listed = _name_table(names, any_space)
     sizes = [r["n"] for r in listed.select("n").distinct().orderBy("n").collect()]
     short = listed.limit(INLINE_NAMES + 1).collect()
     if len(short) <= INLINE_NAMES:
-        found = _names_inline(df, text, short, sizes)
+        found = _names_inline(df, text, short, sizes, any_space)
     else:
         # Hits depend on the text alone, so that is what they are joined back on.
         keyed = df.withColumn("_text", F.sha2(F.col(text).cast("binary"), 256))
-        found = keyed.join(name_hits(df, text, listed, sizes), "_text", "left").drop("_text")
+        found = keyed.join(name_hits(df, text, listed, sizes, any_space), "_text", "left").drop("_text")
     return found.withColumn(
         out, pii.pii_hits(text, chosen, threshold, more="_names")
     ).drop("_names")
 
 
-def _name_table(names: DataFrame) -> DataFrame:
+def _compared(name: str, any_space: bool) -> str:
+    """SQL for the form in which a name is compared."""
+    return f"regexp_replace({name}, {_SPACE}, ' ')" if any_space else name
+
+
+def _name_table(names: DataFrame, any_space: bool) -> DataFrame:
     """Distinct (name, n words, first word): from the name's first word to its last."""
     whole = names.select(F.expr(f"regexp_extract(name, {_WHOLE}, 0)").alias("name")).where("name <> ''")
+    whole = whole.select(F.expr(_compared("name", any_space)).alias("name"))
     words = whole.withColumn("_w", F.expr(f"regexp_extract_all(name, {_WORD}, 0)"))
     return words.select("name", F.size("_w").alias("n"), F.col("_w")[0].alias("first")).distinct()
 
@@ -98,7 +113,7 @@ def _runs_at(i: str, sizes: Sequence[int]) -> str:
     return f"array({', '.join(runs)})"
 
 
-def _names_inline(df: DataFrame, text: str, names: Sequence, sizes: Sequence[int]) -> DataFrame:
+def _names_inline(df: DataFrame, text: str, names: Sequence, sizes: Sequence[int], any_space: bool) -> DataFrame:
     if not names:
         return df.withColumn("_names", F.lit(None).cast(pii.PII_HITS))
     firsts, listed = sorted({r["first"] for r in names}), [r["name"] for r in names]
@@ -109,7 +124,8 @@ def _names_inline(df: DataFrame, text: str, names: Sequence, sizes: Sequence[int
     runs = settle(
         begun.withColumn("_runs", F.expr(f"flatten(transform(_at, p -> {_runs_at('p.i', sizes)}))")), "_runs"
     ).drop("_at", "_words")
-    known = runs.withColumn("_runs", F.filter("_runs", lambda r: r["name"].isin(listed)))
+    form = F.expr(f"transform(_runs, r -> struct(r.span_start, r.name, {_compared('r.name', any_space)} AS form))")
+    known = runs.withColumn("_runs", F.filter(form, lambda r: r["form"].isin(listed)))
     return settle(known.withColumn("_names", _longest("_runs", sizes)), "_names").drop("_runs")
 
 
@@ -126,7 +142,7 @@ def _longest(runs: str, sizes: Sequence[int]) -> Column:
         g -> g.span_end >= h.span_end)))[0] AS {pii.PII_HITS})""")
 
 
-def name_hits(texts: DataFrame, text: str, names: DataFrame, sizes: Sequence[int]) -> DataFrame:
+def name_hits(texts: DataFrame, text: str, names: DataFrame, sizes: Sequence[int], any_space: bool) -> DataFrame:
     """(_text, _names): PERSON hits of every distinct text with one, by a join with a long
     names table. ``_text`` is the text's SHA-256."""
     once = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_content")).distinct()
@@ -135,7 +151,8 @@ def name_hits(texts: DataFrame, text: str, names: DataFrame, sizes: Sequence[int
         "_runs", F.expr(f"flatten(transform(_words.words, (x, i) -> {_runs_at('i', sizes)}))")
     )
     runs = begins.select("_text", F.explode("_runs").alias("r")).select("_text", "r.*").where("name IS NOT NULL")
-    hits = lookup_join(runs, names.select("name"), "name", F.struct("_text", "span_start"), "left_semi")
+    runs = runs.withColumn("form", F.expr(_compared("name", any_space)))
+    hits = lookup_join(runs, names.select(F.col("name").alias("form")), "form", F.struct("_text", "span_start"), "left_semi")
     order = F.struct("span_start", (-F.length("name")).alias("order"), "name")
     listed = hits.groupBy("_text").agg(F.array_sort(F.collect_list(order)).alias("_all"))
     return listed.select("_text", _longest("_all", sizes).alias("_names"))

@@ -175,6 +175,24 @@ def test_names_of_any_form_and_rows_of_one_number(spark, monkeypatch, inline):
     assert sorted(sizes) == [0, 5, 5]
 
 
+@pytest.mark.parametrize("inline", [5_000, 0], ids=["inline", "joined"])
+def test_names_with_any_white_space_between_words(spark, monkeypatch, inline):
+    from promptledger.operators.redact import redact_texts
+    from promptledger.plans.chain import PiiStage
+
+    monkeypatch.setattr(detect, "INLINE_NAMES", inline)
+    names = spark.createDataFrame([("John Smith",), ("Anna\tde  la Cruz",)], "name string")
+    forms = ["John Smith", "John  Smith", "John\nSmith", "John\tSmith", "John\u00a0Smith", "Anna de\r\nla Cruz"]
+    text = "; ".join(forms) + "; JohnSmith, John, Smith"
+    found = scanned(detect.scan_pii(prompts(spark, text), names=names, any_space=True))[0]
+    assert [text[f[3] : f[4]] for f in found] == forms
+    (row,) = redact_texts(prompts(spark, text), names=names).collect()
+    assert row["content"] == "; ".join(["[REDACTED:PERSON]"] * 6) + "; JohnSmith, John, Smith"
+    stage = PiiStage(names=names)
+    (row,) = stage.apply(prompts(spark, text).withColumn("open_content", F.col("content"))).collect()
+    assert row["pii_scan"]["finding_count"] == 6 and row["pii_scan_reject"] is not None
+
+
 @pytest.mark.parametrize(
     "address",
     ["x" * 70 + "@mail.org", "a@" + "b." * 13 + "com", "a@b.xn--p1ai", "a.b-c%d+e_f@g.museum", "q@" + "d" * 90 + ".de"],
