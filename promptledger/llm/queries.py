@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from promptledger.llm import chat, decontam, langid, mix, quality, shards, simhash, suffixes, topk, urlrules
+from promptledger.llm import (
+    bytebpe, chat, decontam, langid, lexical, mix, quality, shards, simhash, spelling, suffixes, topk, urlrules,
+)
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_url_rules": urlrules.op8_url_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mix.op10_mixing,
+    "op11_byte_bpe": bytebpe.op11_byte_bpe,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 CHECKS = {
@@ -22,4 +27,6 @@ CHECKS = {
     "op7_chat_trees": chat.OP7_SQL,
     "op8_url_rules": urlrules.OP8_SQL,
     "op10_mixing": mix.OP10_SQL,
+    "op12_spelling": spelling.OP12_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }
