@@ -9,7 +9,7 @@ one pre-token and is encoded for itself, so no merge crosses a match. Decoding m
 pieces back to characters and those to bytes, which are joined.
 
 The rank file is read by the driver and the model (at most ``MAX_MODEL`` bytes) goes
-to the tasks as a broadcast; a task keeps the ids of the pre-tokens it met in a
+to the tasks as a broadcast; a worker keeps the ids of the pre-tokens it met in a
 memory of ``MEMORY`` entries, which bears on time only.
 
 Null and empty texts have no ids and decode to no bytes. Special tokens are ordinary
@@ -27,30 +27,33 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from promptledger.llm.common import table
+from promptledger.session import settle
 
-FIRST = 0x100  # the character of byte 0; those of all bytes are letters, none is a blank
-UNKNOWN = "<unk>"  # a model must have one; its characters stand for no byte
+UNKNOWN = "\u2047"  # a model must have one; it stands for no byte
+ZERO = "\u0100"  # stands for byte 0, which a piece cannot hold
 MAX_MODEL = 32 * 1024 * 1024
-MEMORY = 200_000
+MEMORY = 400_000
 LONG = 64  # longer pre-tokens are not remembered
+SLICE = 1 << 18  # bytes of texts, or ids, that a task handles at a time
 
 
 def to_chars(data: bytes) -> str:
-    """One character per byte."""
-    return (np.frombuffer(data, np.uint8).astype("<u2") + FIRST).tobytes().decode("utf-16-le")
+    """One character per byte, that of the byte's value."""
+    return data.decode("latin-1").replace("\0", ZERO)
 
 
 def to_bytes(chars: str) -> bytes:
-    return (np.frombuffer(chars.encode("utf-16-le"), "<u2") - FIRST).astype(np.uint8).tobytes()
+    return chars.replace(ZERO, "\0").encode("latin-1")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,39 +85,70 @@ def model_of(ranks: dict[bytes, int]) -> bytes:
 
 
 class Encoder:
-    """A task's model and the ids of the pre-tokens that it met."""
+    """A model and the ids of the pre-tokens that were met, as bytes of 32-bit numbers."""
 
     def __init__(self, model: bytes, pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str | None) -> np.ndarray:
-        tokens = self.cut(text or "")
-        different = set(tokens)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, tokens: list[str]) -> None:
+        ids = self.pieces.encode([to_chars(t.encode()) for t in tokens], num_threads=1)
+        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
+        flat = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+        self.known.update(zip(tokens, (flat[a:b] for a, b in zip([0, *ends], ends))))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what the texts have that is new is encoded in one call."""
+        tokens = [self.cut(text or "") for text in texts]
+        different = set().union(*tokens)
         fresh = [t for t in different if t not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > MEMORY:
-                self.known = {t: self.known[t] for t in different if t in self.known}
-            self.known.update(zip(fresh, self.pieces.encode([to_chars(t.encode()) for t in fresh], num_threads=1)))
-        ids = np.fromiter(chain.from_iterable(map(self.known.__getitem__, tokens)), np.int32)
+        if len(self.known) + len(fresh) > MEMORY:
+            self.known = {t: self.known[t] for t in different if t in self.known}
+        self._learn(fresh)
+        ids = [b"".join(map(self.known.__getitem__, row)) for row in tokens]
         for t in fresh:
             if len(t) > LONG:
                 del self.known[t]
         return ids
 
-
-def encode_texts(texts: list[str | None], encoder: Encoder) -> pa.Array:
-    """A list array of ids, one list per text."""
-    rows = [encoder.ids(text) for text in texts]
-    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
-
-
-def decode_ids(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
-    """The joined bytes of each list's tokens."""
-    rows = (None if row is None else b"".join(map(tokens.__getitem__, row)) for row in ids.to_pylist())
-    return pa.array(rows, pa.binary())
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """A list array of ids, one list per text."""
+        out = []
+        for part in slices(texts, pc.fill_null(pc.binary_length(texts), 0)):
+            rows = self.ids(part.to_pylist())
+            ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+
+def slices(rows: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """The rows, a few at a time: up to ``SLICE`` by size, one row at least."""
+    ends, start = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(rows):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield rows.slice(start, stop - start)
+        start = stop
+
+
+def decode_ids(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The joined bytes of each list's tokens; null for a null list."""
+    out = []
+    for part in slices(ids, pc.fill_null(pc.list_value_length(ids), 0)):
+        flat = tokens.take(part.flatten())
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        lists = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+        offsets = ends[np.concatenate([[0], np.cumsum(lists)])].astype(np.int64)
+        # The tokens taken lie in one buffer in order, so joining them is a matter of offsets.
+        data = flat.buffers()[2] or pa.py_buffer(b"")
+        joined = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets), data])
+        out.append(pc.if_else(part.is_valid(), joined, pa.scalar(None, pa.large_binary())).cast(pa.binary()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+
+#: Encoders of this worker by their model's place, so that its tasks share what was learnt.
+_encoders: dict[tuple[int, str], Encoder] = {}
 
 
 class ByteBpe:
@@ -124,51 +158,51 @@ class ByteBpe:
         self.model: Broadcast = spark.sparkContext.broadcast(model_of(read_ranks(ranks_path)))
         self.pattern = pattern
 
-    @staticmethod
-    def _with(df: DataFrame, source: str, name: str, kind: T.DataType, rows) -> DataFrame:
-        """``df`` with column ``name``, made of the arrays of ``source`` in each Arrow batch."""
-        row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name)).alias("row")
-        packed = df.select(row, F.col(source).alias("source"))
-        schema = T.StructType([packed.schema["row"], T.StructField(name, kind)])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, made in rows(batches):
-                yield pa.RecordBatch.from_arrays([batch.column("row"), made], names=["row", name])
-
-        return packed.mapInArrow(run, schema).select("row.*", name)
-
-    def encoded(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """``df`` with ``ids``, an array of the text's token ids."""
+    def encode(self, text: Column) -> Column:
+        """The array of the text's token ids."""
         model, pattern = self.model, self.pattern
 
-        def rows(batches):
-            encoder = Encoder(model.value, pattern)
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            data = model.value
+            key = hash(data), pattern
+            if key not in _encoders:
+                _encoders.clear()
+                _encoders[key] = Encoder(data, pattern)
             for batch in batches:
-                yield batch, encode_texts(batch.column("source").to_pylist(), encoder)
+                yield _encoders[key].encode(batch)
 
-        return self._with(df, text, "ids", T.ArrayType(T.IntegerType()), rows)
+        return run(text)
 
-    def decoded(self, df: DataFrame, ids: str = "ids") -> DataFrame:
-        """``df`` with ``decoded``, the bytes that the ids stand for."""
+    def decode(self, ids: Column) -> Column:
+        """The bytes that the ids stand for."""
         model = self.model
 
-        def rows(batches):
+        @F.arrow_udf(T.BinaryType())
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pieces = sentencepiece.SentencePieceProcessor(model_proto=model.value)
             known = pieces.get_piece_size() - 1  # without the unknown piece
-            tokens = [to_bytes(p) for p in pieces.id_to_piece(list(range(known)))]
+            tokens = pa.array([to_bytes(p) for p in pieces.id_to_piece(list(range(known)))], pa.large_binary())
             for batch in batches:
-                yield batch, decode_ids(batch.column("source"), tokens)
+                yield decode_ids(batch, tokens)
+
+        return run(ids)
 
-        return self._with(df, ids, "decoded", T.BinaryType(), rows)
+    def encoded(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """``df`` with ``ids``."""
+        return settle(df.withColumn("ids", self.encode(F.col(text))), "ids")
+
+    def decoded(self, df: DataFrame, ids: str = "ids") -> DataFrame:
+        """``df`` with ``decoded``."""
+        return settle(df.withColumn("decoded", self.decode(F.col(ids))), "decoded")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     codec = ByteBpe(spark, ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    both = codec.decoded(coded.select("doc_id", "ids"))
-    return both.select(
+    coded = codec.decoded(codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
