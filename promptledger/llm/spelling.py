@@ -24,23 +24,29 @@ without an id loses a code point.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 from os.path import commonprefix
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import ranged, staged, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LETTERS = r"[A-Za-zÀ-ÿ]"
+LETTERS = r"[A-Za-z\u00C0-\u00FF]"
+_LOWERED = str.maketrans(UPPER, LOWER)
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 #: A form is at least RATIO times as frequent as its word, so a chain of forms has fewer links.
 MOST_FORMS = 20
+#: Different words that a task counts before it passes them on.
+HELD = 100_000
 #: Numbers of a range start at its own multiple of this.
 RANGE = 1 << 40
 
@@ -98,7 +104,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     """(word, n, place, n_near, best): the number of neighbours of each of the distinct words
     (word, n), and the most frequent one as (n, -place); null if there is none."""
     forward = staged(numbered(words, "spelling-words"), "spelling-forward")
-    backward = staged(numbered(words.select(F.reverse("word").alias("word")), "spelling-reversed"), "spelling-backward")
+    turned = forward.select(F.reverse("word").alias("word"))
+    backward = numbered(turned, "spelling-reversed")
     both = forward.withColumnRenamed("nodes", "heads").join(
         backward.select(F.reverse("word").alias("word"), F.reverse("nodes").alias("tails")), "word"
     )
@@ -137,7 +144,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     if ratio < 2:
         raise ValueError("a form must be at least twice as frequent as its word")
     distinct = words.where("word IS NOT NULL AND word <> '' AND n IS NOT NULL").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
-    near = neighbours(staged(distinct, "spelling-distinct"))
+    near = neighbours(distinct)
     has_form = F.col("best.n") >= ratio * F.col("n")
     near = near.withColumn("to", F.when(has_form, -F.col("best.order"))).withColumn("form_n", F.when(has_form, F.col("best.n")))
     near = staged(near.drop("best"), "spelling-near")
@@ -155,26 +162,46 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return out.select("word", "form", F.coalesce("last", "word").alias("root"), "n", "n_near", "form_n")
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def occurrences(doc_id: int | None, text: str | None, find) -> Iterator[tuple[str, int]]:
+    """The words of a text with their numbers: lower-cased runs, less one code point
+    where 31 divides the checksum of the run with the document's id."""
+    start = None if doc_id is None else crc32(b"%d:" % doc_id)
+    for run, times in Counter(find(text or "")).items():
+        run = run.lower() if run.isascii() else run.translate(_LOWERED)
+        if start is not None and (h := crc32(run.encode(), start)) % 31 == 0:
+            at = h % len(run)
+            run = run[:at] + run[at + 1 :]
+        yield run, times
 
 
-def misspelt(doc_id: Column, run: Column) -> Column:
-    """The lower-cased run, less one code point if 31 divides its checksum with the id."""
-    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), run).cast("binary"))
-    at = (h % F.char_length(run)).cast("int")
-    cut = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))
-    return F.when(h % 31 == 0, cut).otherwise(run)
+def counted(docs: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
+    """(word, n) of (doc_id, text): words of ``least`` code points or more in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Shorter runs give shorter words, with a code point deleted or not.
+        find, counts = re.compile(LETTERS + "{%d,}" % least).findall, defaultdict(int)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                for word, times in occurrences(doc_id.as_py(), text.as_py(), find):
+                    if len(word) >= least:
+                        counts[word] += times
+                if len(counts) >= HELD:
+                    yield from _flushed(counts)
+        yield from _flushed(counts)
+
+    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _flushed(counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"]
+    )
+    counts.clear()
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # Shorter runs give shorter words, with a code point deleted or not.
-    runs = F.regexp_extract_all("text", F.lit(LETTERS + "{%d,}" % MIN_LENGTH), F.lit(0))
-    each = docs.select("doc_id", F.explode(runs).alias("run")).select("doc_id", lowered(F.col("run")).alias("run"))
-    words = each.select(misspelt(F.col("doc_id"), F.col("run")).alias("word")).where(F.char_length("word") >= MIN_LENGTH)
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COUNT)
-    return variants(counted)
+    words = counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return variants(words.where(F.col("n") >= MIN_COUNT))
 
 
 #: The checksum is linear: each byte's share depends on its distance from the end only.
