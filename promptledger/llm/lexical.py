@@ -5,8 +5,9 @@ frequency; a query is a vector of term weights; the score is their inner product
 Only components of the queries' terms matter, so documents keep those (and their
 whole length). Every task builds ball trees over blocks of its documents: a node has a
 centroid c and a radius r that no document under it exceeds, so none scores more
-than q.c + |q| r. Both are rounded up by far more than doubles can err, so pruning is
-safe. Per query the nodes are visited from the best bound down until it falls below
+than q.c + |q| r, |q| being taken over the terms that occur under the node. Both are
+rounded up by far more than doubles can err, so pruning is safe. Where the sum of the
+largest components under the node is lower, that integer is the bound. Per query the nodes are visited from the best bound down until it falls below
 the k-th best score the task has seen; the documents of visited leaves are scored in
 64-bit integers. The tasks' best are merged in two steps, first within hash buckets.
 
@@ -38,7 +39,7 @@ from promptledger.llm.common import ranged, staged, table, with_prefix
 K = 20
 QUERY_TERMS = 200_000
 #: Documents of one tree, and of one leaf at most (more if they are equal).
-BLOCK, LEAF = 4_096, 32
+BLOCK, LEAF = 4_096, 16
 MERGES = 64
 #: Bounds are raised by this share; sums of a million doubles err by less than a billionth.
 SLACK = 1e-8
@@ -133,7 +134,7 @@ class BallTree:
         self.width = width
         self.children: list[tuple[int, int] | None] = []
         self.leaves: list[tuple[np.ndarray, Rows] | None] = []
-        centroids, radii = [], []
+        centroids, radii, tops = [], [], []
         squares = np.add.reduceat(rows.val.astype(float) ** 2, rows.start[:-1])
         dense = np.zeros(width)
         open_ = [(np.arange(len(rows.start) - 1), None)]
@@ -149,6 +150,9 @@ class BallTree:
             slack = SLACK * (square.max() + norm)
             far = square - 2 * part.dot(centroid) + norm
             centroids.append((used, centroid[used]))
+            top = np.zeros(width, np.int64)
+            np.maximum.at(top, part.col, part.val)
+            tops.append(top[used])
             radii.append(math.sqrt(max(far.max(), 0) + slack))
             if len(members) <= leaf or far.max() <= slack:
                 self.children.append(None)
@@ -171,13 +175,17 @@ class BallTree:
             open_ += [(members[order[half:]], node), (members[order[:half]], node)]
         self.centroids = Rows.of(*zip(*centroids))
         self.radii = np.array(radii)
+        self.tops = Rows(self.centroids.start, self.centroids.col, np.concatenate(tops))
 
     def search(self, col: np.ndarray, weight: np.ndarray, best: Best, ids: np.ndarray) -> int:
         """Offer every row that can be among the best; returns the number of rows scored."""
         exact = np.zeros(self.width, np.int64)
         exact[col] = weight
-        norm = math.sqrt(float((weight.astype(float) ** 2).sum()))
-        bounds = (self.centroids.dot(exact.astype(float)) + norm * self.radii) * (1 + SLACK) + 1
+        asked = exact.astype(float)[self.centroids.col]
+        parts = self.centroids.start[:-1]
+        norms = np.sqrt(np.add.reduceat(asked**2, parts))
+        balls = np.add.reduceat(asked * self.centroids.val, parts) + norms * self.radii
+        bounds = np.minimum(balls * (1 + SLACK) + 1, self.tops.dot(exact))
         heap, scored = [(-bounds[0], 0)], 0
         while heap and -heap[0][0] >= best.least:
             _, node = heapq.heappop(heap)
