@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from promptledger.operators.ledger import first_per_request, json_ready
+from promptledger.functions.findings import literal
+from promptledger.operators.ledger import json_ready
 from promptledger.operators.stats import RING_CAPACITY, ring
 from promptledger.schemas import LEDGER, LEDGER_FINDINGS, MONEY, table
 from promptledger.session import cut_lineage
@@ -53,48 +55,103 @@ class JsonLines:
         return writer.option("ignoreNullFields", "false")
 
 
+#: Copies of one record without an id that are numbered from one row at a time.
+COPIES = 4_096
+
+
+def record_keys(ledger: DataFrame) -> DataFrame:
+    """One row per record, with ``record_key``.
+
+    The key is the request id; of records that share one the earliest stays. A record
+    without an id is known by its content and its number among equal ones, so all
+    stay and get the same keys whenever the same batch is written. Copies collapse on
+    the map side first, whatever share of the rows they have.
+    """
+    content = F.sha2(F.to_json(F.struct(*ledger.columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    named = ledger.withColumn("_key", F.coalesce("request_id", F.concat(F.lit("content-"), content)))
+    last = F.lit(2**63 - 1).cast("long")
+    picked = named.groupBy("_key").agg(
+        F.min_by(F.struct(*ledger.columns), F.coalesce("arrival_seq", last)).alias("_row"), F.count("*").alias("_n")
+    )
+    times = F.when(F.col("_row.request_id").isNull(), F.col("_n")).otherwise(1)
+    blocks = picked.withColumn("_times", times).withColumn(
+        "_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"), F.lit(COPIES).cast("long")))
+    )
+    stop = F.least(F.col("_from") + (COPIES - 1), "_times")
+    numbered = blocks.withColumn("_no", F.explode(F.sequence("_from", stop)))
+    key = F.when(F.col("_row.request_id").isNull(), F.concat("_key", F.lit("-"), F.col("_no").cast("string")))
+    return numbered.select("_row.*", F.coalesce(key, "_key").alias("record_key"))
+
+
 @dataclass(frozen=True)
 class LedgerTable:
-    """Parquet by day under ``path/table``; a request id is stored once.
+    """Parquet by day under ``path/table``, in buckets by record key; a record is stored once.
 
-    Records of a batch that share an id keep the earliest, and ids the table
-    already holds are skipped by an anti join on the id column alone. A copy of
-    an id may be ``days_back`` days younger than the first at most; the default
-    looks at all days. Records without a day are always looked at, and a batch that
-    holds one is held against all days. Writing a batch again adds nothing.
+    Keys the table already holds (see :func:`record_keys`) are skipped by an anti join
+    with the key column alone. Batch and table are joined bucket by bucket, so what was
+    stored before is not shuffled. Writing a batch again adds nothing, and adds what is
+    missing where a write was cut short. A copy of a key may be ``days_back`` days
+    younger than the first at most; the default looks at all days. Records without a
+    day are always looked at, and a batch that holds one is held against all days.
+
+    The table is known to the session's catalog as ``catalog_name``; data and buckets
+    lie in the folder, so any session finds them. ``buckets`` holds for a table's life.
     """
 
     path: str
     table: str = DEFAULT_TABLE
     findings_as_json: bool = True
     days_back: int | None = None
+    buckets: int = 16
 
     def __post_init__(self):
         if not re.fullmatch(r"\w*[^\W_]\w*", self.table):
             raise ValueError("a table name has letters, digits and underscores only")
+        if self.buckets < 1:
+            raise ValueError("a table has one bucket at least")
 
     @property
     def folder(self) -> str:
         return f"{self.path.rstrip('/')}/{self.table}"
 
-    def write(self, ledger: DataFrame) -> None:
-        fresh = first_per_request(ledger).withColumn("day", F.to_date("timestamp"))
-        held = _load(
-            ledger.sparkSession, self.folder, table(request_id=T.StringType(), day=T.DateType())
+    @property
+    def catalog_name(self) -> str:
+        return f"ledger_{hashlib.sha256(self.folder.encode()).hexdigest()[:24]}"
+
+    def _columns(self) -> list[T.StructField]:
+        text = lambda f: T.StructField(f.name, T.StringType())
+        stored = [text(f) if f.name == "findings" and self.findings_as_json else f for f in LEDGER.fields]
+        return [*stored, T.StructField("record_key", T.StringType()), T.StructField("day", T.DateType())]
+
+    def _open(self, spark: SparkSession) -> DataFrame:
+        """The table as the catalog knows it, with the days that other sessions added."""
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self._columns())
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.catalog_name} ({columns}) USING parquet PARTITIONED BY (day) "
+            f"CLUSTERED BY (record_key) INTO {self.buckets} BUCKETS LOCATION {literal(self.folder)}"
         )
-        if held is not None:
-            if self.days_back is not None:
-                fresh = cut_lineage(fresh)
-                days = fresh.agg(F.min("day").alias("first"), F.expr("bool_or(day IS NULL)").alias("unknown")).first()
-                if days["first"] is not None and not days["unknown"]:
-                    recent = F.col("day") >= F.date_sub(F.lit(days["first"]), self.days_back)
-                    held = held.where(recent | F.col("day").isNull())
-            fresh = fresh.join(held.select("request_id"), "request_id", "left_anti")
+        if _load(spark, self.folder, table(record_key=T.StringType())) is not None:
+            spark.catalog.recoverPartitions(self.catalog_name)
+        return spark.table(self.catalog_name)
+
+    def missing(self, ledger: DataFrame) -> DataFrame:
+        """The records that the table doesn't hold, in its columns and buckets."""
+        fresh = record_keys(ledger.select(*LEDGER.names)).withColumn("day", F.to_date("timestamp"))
         if self.findings_as_json:
             fresh = fresh.withColumn("findings", F.to_json("findings"))
-        # One file per day and task at most, and a day of any size in many tasks.
-        by_day = fresh.hint("rebalance", "day")
-        by_day.write.mode("append").partitionBy("day").parquet(self.folder)
+        held = self._open(ledger.sparkSession)
+        if self.days_back is not None:
+            fresh = cut_lineage(fresh)
+            days = fresh.agg(F.min("day").alias("first"), F.expr("bool_or(day IS NULL)").alias("unknown")).first()
+            if days["first"] is not None and not days["unknown"]:
+                recent = F.col("day") >= F.date_sub(F.lit(days["first"]), self.days_back)
+                held = held.where(recent | F.col("day").isNull())
+        in_buckets = fresh.repartition(self.buckets, "record_key")
+        new = in_buckets.join(held.select("record_key"), "record_key", "left_anti")
+        return new.select(*(f.name for f in self._columns()))
+
+    def write(self, ledger: DataFrame) -> None:
+        self.missing(ledger).write.insertInto(self.catalog_name)
 
 
 @dataclass(frozen=True)

@@ -200,3 +200,61 @@ def test_records_without_a_time_or_an_id(spark, tmp_path, days_back):
     assert ids(ledgers.read_table(spark, sink.path)) == ["id-1", "id-2"]
     nameless = frame(spark, record(3), record(4)).withColumn("request_id", F.lit(None).cast("string"))
     assert ledger.first_per_request(nameless).count() == 2
+
+
+def _history_is_shuffled(df):
+    """Whether an exchange stands between the join and the table's scan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*!()0123456789"))
+    (at,) = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+    above, found = depth(lines[at]), False
+    for line in reversed(lines[:at]):
+        if depth(line) < above:
+            above = depth(line)
+            if "Join" in line:
+                return found
+            found = found or "Exchange" in line
+    raise AssertionError("no join above the scan")
+
+
+@pytest.mark.parametrize("days_back", [None, 1])
+def test_table_writes_again_add_nothing(spark, tmp_path, days_back):
+    sink = ledgers.LedgerTable(str(tmp_path), days_back=days_back, buckets=4)
+    named = frame(spark, *[record(i) for i in range(20)])
+    nameless = named.withColumn("request_id", F.lit(None).cast("string"))
+    timeless = nameless.withColumn("timestamp", F.lit(None).cast("timestamp"))
+    equal = nameless.limit(1).withColumn("arrival_seq", F.lit(None).cast("long"))
+    many = equal.crossJoin(spark.range(ledgers.COPIES + 5)).drop("id")
+    batches = [named, nameless, timeless, many, named.unionByName(nameless).unionByName(timeless)]
+    for _ in range(2):
+        for batch in batches:
+            sink.write(batch)
+    stored = ledgers.read_table(spark, sink.path)
+    assert stored.where("request_id IS NOT NULL").count() == 20
+    assert stored.where("request_id IS NULL AND day IS NOT NULL AND arrival_seq IS NOT NULL").count() == 20
+    assert stored.where("day IS NULL").count() == 20
+    assert stored.where("arrival_seq IS NULL").count() == ledgers.COPIES + 5
+    if days_back is None:  # the few rows of two days are broadcast
+        assert not _history_is_shuffled(sink.missing(named))
+
+
+def test_table_outlives_its_session(spark, tmp_path):
+    sink = ledgers.LedgerTable(str(tmp_path), buckets=3)
+    rows = frame(spark, *[record(i) for i in range(30)]).withColumn(
+        "timestamp", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("arrival_seq") * 40_000)
+    )
+    sink.write(rows.where("arrival_seq < 20"))
+    spark.sql(f"DROP TABLE {sink.catalog_name}")  # what a new session's catalog knows
+    sink.write(rows)
+    assert ids(ledgers.read_table(spark, sink.path)) == sorted(f"id-{i}" for i in range(30))
+
+
+def test_a_write_cut_short_is_made_whole(spark, tmp_path):
+    sink = ledgers.LedgerTable(str(tmp_path), buckets=2)
+    rows = frame(spark, *[record(i, request_id=None if i % 3 else f"id-{i}") for i in range(30)])
+    sink.write(rows.where("arrival_seq < 11"))  # as much as became visible
+    sink.write(rows)
+    assert ledgers.read_table(spark, sink.path).count() == 30
+    assert sink.missing(rows).count() == 0 and sink.missing(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        ledgers.LedgerTable("p", buckets=0)

@@ -795,6 +795,33 @@ def table_ledger(spark, sf_dir):
     )
 
 
+_NAMELESS = f"""SELECT *, arrival_seq % 5 = 0 AS no_id, arrival_seq % 7 = 0 AS no_day FROM ({LEDGER_SQL})"""
+
+
+@register(
+    "ledger_rewrites",
+    f"""SELECT no_id, no_day, count(*) AS n, CAST(sum(len_findings) AS BIGINT) AS findings FROM (
+          SELECT no_id, no_day, n_pii + CASE WHEN has_secret THEN 1 ELSE 0 END AS len_findings FROM ({_NAMELESS}))
+        GROUP BY no_id, no_day""",
+)
+def ledger_rewrites(spark, sf_dir):
+    """Three overlapping batches, then all again; records without an id or a day included."""
+    sink = ledgers.LedgerTable(fresh_folder(spark, "ledger-rewrites"), "audit_records")
+    records = event_ledger(spark, sf_dir).withColumns(
+        {
+            "request_id": F.when(F.col("arrival_seq") % 5 != 0, F.col("request_id")),
+            "timestamp": F.when(F.col("arrival_seq") % 7 != 0, F.col("timestamp")),
+        }
+    )
+    third = F.col("arrival_seq") % 3
+    for batch in (records.where(third < 2), records.where(third > 0), records):
+        sink.write(batch)
+    rows = ledgers.read_table(spark, sink.path, sink.table)
+    return rows.groupBy(F.col("request_id").isNull().alias("no_id"), F.col("day").isNull().alias("no_day")).agg(
+        F.count("*").alias("n"), F.sum(F.size("findings").cast("long")).alias("findings")
+    )
+
+
 @register(
     "log_events",
     f"""SELECT 'audit.request' AS event, 'info' AS level, verdict, count(*) AS n
