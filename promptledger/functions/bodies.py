@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -172,21 +172,99 @@ def chat_body(model: Column, text: Column) -> Column:
     return F.to_json(F.struct(model.alias("model"), F.array(message).alias("messages")))
 
 
-def _text_slots(document: dict, route: ProviderRoute) -> Iterator[tuple]:
-    """(container, key) of each string that a redaction may change."""
+@dataclass
+class _Slot:
+    """A string that a redaction may change, and where the joined prompt has it."""
+
+    container: dict | list
+    key: str | int
+    start: int = -1
+
+    @property
+    def text(self) -> str:
+        return self.container[self.key]
+
+    @text.setter
+    def text(self, text: str) -> None:
+        self.container[self.key] = text
+
+
+def _text_slots(document: dict, route: ProviderRoute) -> list[list[_Slot]]:
+    """The strings of each message, system text first."""
     content = route.content_field
     holders = [(m, content) for m in document.get(route.messages_field) or [] if isinstance(m, dict)]
     if route.system_field is not None and route.system_field in document:
         holders.insert(0, (document, route.system_field))
+    groups = []
     for holder, key in holders:
         value = holder.setdefault(key, None)
-        if isinstance(value, str):
-            yield holder, key
+        slots = [_Slot(holder, key)] if isinstance(value, str) else []
         for at, part in enumerate(value if isinstance(value, list) else ()):
             if isinstance(part, str):
-                yield value, at
+                slots.append(_Slot(value, at))
             elif isinstance(part, dict) and isinstance(part.get("text"), str):
-                yield part, "text"
+                slots.append(_Slot(part, "text"))
+        groups.append(slots)
+    return groups
+
+
+def _joined(groups: list[list[_Slot]]) -> str:
+    """The prompt, joined as :func:`prompt_text` does; slots learn their places."""
+    texts, end = [], 0
+    for slots in groups:
+        text = "\n".join(slot.text for slot in slots)
+        at = end
+        for slot in slots:
+            slot.start = at
+            at += len(slot.text) + 1
+        if text:
+            texts.append(text)
+            end += len(text) + 1
+    return "\n".join(texts)
+
+
+def _cut(slot: _Slot, swaps: Sequence[dict]) -> None:
+    """Replace what the swaps' spans cover in this slot; where they overlap, the whole
+    is replaced. A span that began in an earlier slot leaves nothing here."""
+    stop = slot.start + len(slot.text)
+    merged: list[tuple[int, int, list[str]]] = []
+    for swap in sorted(swaps, key=lambda s: (s["span_start"], s["span_end"])):
+        begin, end = max(swap["span_start"], slot.start), min(swap["span_end"], stop)
+        if begin >= end:
+            continue
+        said = [swap["replacement"]] if begin == swap["span_start"] else []
+        if merged and begin < merged[-1][1]:
+            first, last, earlier = merged.pop()
+            merged.append((first, max(last, end), earlier + [t for t in said if t not in earlier]))
+        else:
+            merged.append((begin, end, said))
+    for begin, end, said in reversed(merged):
+        text = slot.text
+        slot.text = text[: begin - slot.start] + "".join(said) + text[end - slot.start :]
+
+
+def _redact(groups: list[list[_Slot]], swaps: Sequence[dict]) -> bool:
+    """Make the swaps; false if a match that spans slots is still there."""
+    joined, slots = _joined(groups), [slot for group in groups for slot in group]
+
+    def spans_slots(swap) -> bool:
+        begin, end = swap["span_start"], swap["span_end"]
+        if begin is None or end is None or joined[begin:end] != swap["original"]:
+            return "\n" in swap["original"] and not any(swap["original"] in slot.text for slot in slots)
+        return not any(slot.start <= begin and end <= slot.start + len(slot.text) for slot in slots)
+
+    across = [swap for swap in swaps if spans_slots(swap)]
+    if across:
+        placed = [s for s in swaps if s["span_start"] is not None and joined[s["span_start"] : s["span_end"]] == s["original"]]
+        for slot in slots:
+            _cut(slot, placed)
+    for slot in slots:
+        for swap in swaps:
+            slot.text = slot.text.replace(swap["original"], swap["replacement"])
+    if not across:
+        return True
+    left = _joined(groups)
+    return not any(swap["original"] in left for swap in across)
 
 
 def _encodes(text: str) -> bool:
@@ -202,7 +280,9 @@ def rewrite_bodies(routes: Sequence[ProviderRoute] = ROUTES):
 
     It replaces inside the text fields only and keeps the shape, the member
     order and every other field. Rows without swaps should pass a NULL body,
-    which costs nothing. A body that Python cannot read gives NULL; one with lone
+    which costs nothing. A match that spans several text fields is cut out of each,
+    its replacement standing where it began. A body that Python cannot read gives NULL,
+    and so does one that still holds such a match; one with lone
     surrogates comes back with escapes for all but ASCII.
     """
     by_provider = {r.provider: r for r in routes}
@@ -212,9 +292,8 @@ def rewrite_bodies(routes: Sequence[ProviderRoute] = ROUTES):
             document = json.loads(body)
         except (ValueError, RecursionError):  # numbers of thousands of digits, deep nesting
             return None
-        for container, key in list(_text_slots(document, by_provider[provider])):
-            for swap in swaps:
-                container[key] = container[key].replace(swap["original"], swap["replacement"])
+        if not _redact(_text_slots(document, by_provider[provider]), swaps):
+            return None
         text = json.dumps(document, ensure_ascii=False)
         return text if text.isascii() or _encodes(text) else json.dumps(document)
 

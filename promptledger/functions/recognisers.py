@@ -200,7 +200,7 @@ def hits_to_findings(hits: str) -> Column:
 def hits_to_swaps(hits: str) -> Column:
     """What to replace by what, in finding order; empty originals are left out."""
     return F.expr(f"""CAST(filter(transform({hits}, h -> struct(
-      h.matched AS original, concat('[REDACTED:', h.entity, ']') AS replacement)),
+      h.matched AS original, concat('[REDACTED:', h.entity, ']') AS replacement, h.span_start, h.span_end)),
       s -> s.original <> '') AS {SWAPS})""")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptledger.functions import bodies
 from promptledger.functions import recognisers as pii
@@ -36,13 +37,29 @@ def redact_texts(
     return settle(out, text, "mutations_applied")
 
 
+def _placed(df: DataFrame, swaps: str) -> Column:
+    """The swaps with their spans, NULL where a stage gives none."""
+    given = df.schema[swaps].dataType
+    known = given.elementType.names if isinstance(given, T.ArrayType) else []
+    span = lambda s, name: s[name] if name in known else F.lit(None)
+    full = F.transform(
+        swaps,
+        lambda s: F.struct(
+            s["original"], s["replacement"],
+            span(s, "span_start").alias("span_start"), span(s, "span_end").alias("span_end"),
+        ),
+    )
+    return full.cast(SWAPS)
+
+
 def rewrite_requests(
     df: DataFrame, swaps: str, routes: Sequence[bodies.ProviderRoute] = bodies.ROUTES
 ) -> DataFrame:
     """Apply swaps inside request bodies and read the prompt again.
 
     Rows without swaps keep body and content and do not reach Python. Expects
-    body, provider, content; sets ``mutations_applied``. A body that cannot be
+    body, provider, content; sets ``mutations_applied``. A match that spans several
+    message parts is cut out of each of them. A body that cannot be
     rewritten becomes NULL, never passes as it is, and sets ``error_code`` where
     there is such a column.
     """
@@ -53,7 +70,7 @@ def rewrite_requests(
         bodies.rewrite_bodies(routes)(
             F.when(F.col("_wanted"), F.col("body")),
             F.col("provider"),
-            F.when(F.col("_wanted"), F.col(swaps)).otherwise(empty(SWAPS)),
+            F.when(F.col("_wanted"), _placed(df, swaps)).otherwise(empty(SWAPS)),
         ),
     )
     again = bodies.prompt_text("_parsed", "provider", routes)

@@ -15,7 +15,8 @@ LEDGER_FINDING = (
 )
 LEDGER_FINDINGS = f"array<{LEDGER_FINDING}>"
 REJECT = "struct<status_code:int,reason:string,detail:string>"
-SWAPS = "array<struct<original:string,replacement:string>>"
+#: Spans are places in the joined prompt; a swap without one is made wherever its text stands.
+SWAPS = "array<struct<original:string,replacement:string,span_start:int,span_end:int>>"
 
 _STRING, _LONG, _INT, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
 

@@ -1,10 +1,12 @@
+import json
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import SECRETS, chat, requests
-from promptledger.functions.recognisers import EMAIL_ADDRESS
+from promptledger.functions.recognisers import EMAIL_ADDRESS, Recogniser
 from promptledger.operators import ledger, normalise
 from promptledger.operators.pricing import BATCH_POLICY, DEFAULT_POLICY, ThresholdPolicy
 from promptledger.plans.chain import (
@@ -190,3 +192,46 @@ def test_ledger_record(spark):
     assert second["reject_status_code"] == 403 and second["estimated_cost_usd"] is None
     assert KEY not in str(second) and "a@b.com" not in str(first)
     assert ledger.leaks(records).count() == 0 and ledger.leaks(out).count() == 1
+
+
+PAIR = Recogniser("PAIR", r"AB\s+CD(?:\s+EF)?", 1.0)
+WIDE = Recogniser("WIDE", r"x+AB", 1.0)
+
+
+def redacting(*recognisers):
+    return Chain([PiiStage(REDACT, recognisers=recognisers)])
+
+
+@pytest.mark.parametrize(
+    "contents, want",
+    [
+        (("one AB", "CD two"), ["one [REDACTED:PAIR]", " two"]),
+        (("AB CD", "AB", "CD", "AB CD"), ["[REDACTED:PAIR]"] * 2 + ["", "[REDACTED:PAIR]"]),
+        (("AB", "", "CD", "EF z"), ["[REDACTED:PAIR]", "", "", " z"]),
+        (("é😀 AB\n", "\nCD"), ["é😀 [REDACTED:PAIR]", ""]),
+        (("xxAB", "CD"), ["[REDACTED:WIDE][REDACTED:PAIR]", ""]),
+        (("xxAB", "no CD"), ["[REDACTED:WIDE]", "no CD"]),
+        ((["AB", "CD"], [{"type": "text", "text": "a AB"}, {"type": "image"}, "CD b"]),
+         [["[REDACTED:PAIR]", ""], [{"type": "text", "text": "a [REDACTED:PAIR]"}, {"type": "image"}, " b"]]),
+    ],
+)
+def test_matches_across_message_parts(spark, contents, want):
+    (row,) = decided(spark, redacting(PAIR, WIDE), chat("gpt-4o", *contents))
+    assert row["mutations_applied"] and row["verdict"] == "allowed"
+    assert [m["content"] for m in json.loads(row["body"])["messages"]] == want
+    assert not re.search(PAIR.pattern, row["content"]) and row["error_code"] is None
+
+
+def test_a_match_of_the_joint_alone_is_an_error(spark):
+    """Nothing can be cut out of a message, so the request doesn't pass."""
+    (row,) = decided(spark, redacting(Recogniser("JOINT", r"\n", 1.0)), chat("gpt-4o", "a", "b"))
+    assert row["body"] is None and row["error_code"] == "rewrite_failed" and row["verdict"] is None
+
+
+def test_names_across_messages(spark):
+    names = spark.createDataFrame([("Ada Lovelace",), ("Grace Hopper",)], "name string")
+    chain = Chain([PiiStage(REDACT, names=names)])
+    system = json.dumps({"model": "m", "system": "ask Grace", "messages": [{"role": "user", "content": "Hopper or Ada"}, {"content": "Lovelace a@b.com"}]})
+    df = normalise.normalise(requests(spark, [("/v1/messages", system)]))
+    (row,) = chain.decide(df).collect()
+    assert row["content"] == "ask [REDACTED:PERSON]\n or [REDACTED:PERSON]\n [REDACTED:EMAIL_ADDRESS]"

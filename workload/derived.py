@@ -163,6 +163,28 @@ FROM (SELECT conv_id, seq, {json_text(f"({model_of('seq')})")} AS model,
                               THEN {planted_pii('(conv_id * 1024 + turn)')} ELSE 'none' END AS pii
                   FROM {{conversations}}) AS pieces) AS texts) AS members"""
 
+# Names that begin in one message and end in the next, or are not names after all.
+SPLIT_NAMES = f"""
+SELECT seq AS arrival_seq, CASE WHEN seq % 2 = 0 THEN '/v1/chat/completions' ELSE '/v1/messages' END AS path,
+       said || opening AS first_text, closing AS second_text, name,
+       {obj(
+           model=json_text("'gpt-4o'"),
+           messages=arr(
+               obj(role=json_text("'user'"), content=json_text("said || opening")),
+               obj(
+                   role=json_text("'assistant'"),
+                   content=f"CASE WHEN seq % 3 = 0 THEN {arr(_TEXT_PART(json_text('closing')), _IMAGE_PART)} "
+                   f"ELSE {json_text('closing')} END",
+               ),
+           ),
+       )} AS body
+FROM (SELECT seq, said, first || ' ' || last AS name,
+             CASE seq % 4 WHEN 1 THEN '' WHEN 3 THEN ' call ' || first || ' ' || last ELSE ' call ' || first END AS opening,
+             CASE seq % 4 WHEN 0 THEN last || ' now' WHEN 2 THEN last || 'x now' ELSE 'nobody' END AS closing
+      FROM (SELECT conv_id * 1024 + turn AS seq, coalesce(text, '') AS said,
+                   'Vera' || CAST(conv_id AS STRING) AS first, 'Holm' || CAST(conv_id AS STRING) AS last
+            FROM {{conversations}}) AS turns) AS parts"""
+
 PROVIDER = "CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END"
 EVENT_ID = "md5(CAST(event_id AS STRING))"
 
@@ -202,6 +224,7 @@ TEXTS = {
     "pii_prompts": PII_PROMPTS,
     "mixed_prompts": MIXED_PROMPTS,
     "chat_requests": CHAT_REQUESTS,
+    "split_names": SPLIT_NAMES,
     "upstream_calls": UPSTREAM_CALLS,
     "ledger_rows": LEDGER_ROWS,
 }

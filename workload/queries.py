@@ -15,7 +15,7 @@ from promptledger.functions.findings import worst_severity
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.functions.tokens import TokenCounter, Vocabulary
 from promptledger.operators import detect, ledger, normalise, outages, pricing, redact, reports, stats
-from promptledger.plans.chain import BLOCK, REDACT, Chain, batch_chain, live_chain
+from promptledger.plans.chain import BLOCK, REDACT, Chain, PiiStage, batch_chain, live_chain
 from promptledger.schemas import LEDGER_FINDINGS, empty
 from promptledger.session import cut_lineage, shared_dir
 from promptledger.sources import ledgers, requests
@@ -557,6 +557,36 @@ def decide_redact(spark, sf_dir):
     )
 
 
+_SPLIT = checked("split_names")
+
+
+@register(
+    "decide_redact_across_parts",
+    f"""SELECT arrival_seq, 'allowed' AS verdict, arrival_seq % 4 IN (0, 3) AS mutations_applied,
+          md5(CASE WHEN first_text = '' THEN '' ELSE replace(CASE WHEN arrival_seq % 4 = 0
+              THEN left(first_text, length(first_text) - length(split_part(name, ' ', 1))) || '[REDACTED:PERSON]'
+              ELSE first_text END, name, '[REDACTED:PERSON]') || chr(10) END
+            || CASE WHEN arrival_seq % 4 = 0 THEN ' now' ELSE second_text END) AS content_hash,
+          CAST(0 AS INT) AS hits_left
+        FROM ({_SPLIT})""",
+)
+def decide_redact_across_parts(spark, sf_dir):
+    """Listed names, some of them running over the end of a message."""
+    sent = derive(spark, sf_dir, "split_names")
+    log = sent.select(
+        "arrival_seq", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("arrival_seq")).alias("arrival_ts"),
+        "path", F.lit(None).cast("map<string,string>").alias("headers"), "body",
+    )
+    names = sent.select("name").distinct()
+    chain = Chain([PiiStage(REDACT, entities=[pii.PERSON], names=names)])
+    out = live.decide_requests(log, chain)
+    again = detect.scan_pii(out, entities=[pii.PERSON], names=names, any_space=True)
+    return again.select(
+        "arrival_seq", "verdict", "mutations_applied", F.md5("content").alias("content_hash"),
+        F.size("findings").alias("hits_left"),
+    )
+
+
 @register("accept_all", f"SELECT 'allowed' AS verdict, count(*) AS n FROM ({MIXED})")
 def accept_all(spark, sf_dir):
     return Chain().decide(mixed_prompts(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
