@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.operators.ledger import plain_decimal
-from promptledger.schemas import MONEY
+from promptledger.schemas import LEDGER_FINDINGS, MONEY
 
 RING_CAPACITY = 1_000
 RECENT_DEFAULT = 50
@@ -46,6 +46,39 @@ def summary(ledger: DataFrame) -> DataFrame:
     return ledger.agg(*summary_columns())
 
 
+def category_marks(ledger: DataFrame) -> DataFrame:
+    """(by, category, place): what a record adds to the three breakdowns, one row each."""
+    mark = lambda by, category, nth: F.struct(
+        F.lit(by).alias("by"), category.alias("category"),
+        F.struct(F.col("arrival_seq"), nth.alias("finding_no")).alias("place"),
+    )
+    one = F.lit(0)
+    marks = F.concat(
+        F.array(mark(BY_MIDDLEWARE, F.col(BY_MIDDLEWARE), one), mark(BY_MODEL, F.col(BY_MODEL), one)),
+        F.transform(
+            F.coalesce("findings", F.array().cast(LEDGER_FINDINGS)),
+            lambda f, i: mark(BY_SCANNER, f["scanner"], i),
+        ),
+    )
+    return ledger.select(F.inline(marks)).where(F.col("category").isNotNull())
+
+
+def category_counts(ledger: DataFrame) -> DataFrame:
+    """(by, category, n, first_place) of all three breakdowns: counts and first places merge,
+    so a stream keeps one short row per category."""
+    return category_marks(ledger).groupBy("by", "category").agg(
+        F.count("*").alias("n"), F.min("place").alias("first_place")
+    )
+
+
+def ranked_categories(counts: DataFrame, by: str) -> DataFrame:
+    """One breakdown of the counts: most first, ties by first seen."""
+    if by not in (BY_MIDDLEWARE, BY_MODEL, BY_SCANNER):
+        raise ValueError(f"unknown breakdown: {by}")
+    chosen = counts.where(F.col("by") == by).orderBy(F.desc("n"), F.asc("first_place"))
+    return chosen.select("category", "n", F.col("first_place.arrival_seq").alias("first_seen"))
+
+
 def breakdown(ledger: DataFrame, by: str, ordered: bool = True) -> DataFrame:
     """Counts per middleware, model or scanner: most first, ties by first seen."""
     if by == BY_SCANNER:

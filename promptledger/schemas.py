@@ -55,8 +55,10 @@ LEDGER = table(
     upstream_error=_STRING,
 )
 OUTAGE_STATE = table(
-    provider=_STRING, after_seq=_LONG, failures=_LONG, opened_seq=_LONG, opened_ts=_TS,
-    version=_LONG,
+    provider=_STRING, after_seq=_LONG, failures=_LONG, opened_seq=_LONG, opened_ts=_TS
+)
+CATEGORY_COUNTS = table(
+    by=_STRING, category=_STRING, n=_LONG, first_place=table(arrival_seq=_LONG, finding_no=_INT)
 )
 AUDIT_COLUMNS = [f.name for f in LEDGER.fields if f.name != "arrival_seq"]
 

@@ -19,6 +19,7 @@ from promptledger.operators.ledger import json_ready
 from promptledger.operators.stats import RING_CAPACITY, ring
 from promptledger.schemas import LEDGER, LEDGER_FINDINGS, MONEY, table
 from promptledger.session import cut_lineage
+from promptledger.sources.versions import Versions
 
 EVENT = "audit.request"
 DEFAULT_TABLE = "audit_records"
@@ -174,11 +175,7 @@ class LogEvents:
 
 @dataclass(frozen=True)
 class Ring:
-    """The last records, kept as numbered versions; the highest one holds.
-
-    Writing version N reads the highest version below N, so repeating a write
-    gives the same result.
-    """
+    """The last records, replaced version by version (see :class:`Versions`)."""
 
     path: str
     capacity: int = RING_CAPACITY
@@ -187,28 +184,20 @@ class Ring:
         if self.capacity <= 0:
             raise ValueError("capacity must be positive")
 
-    def _versions(self, spark: SparkSession) -> DataFrame | None:
-        schema = T.StructType([*LEDGER.fields, T.StructField("version", T.LongType())])
-        return _load(spark, self.path, schema)
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.path, LEDGER)
 
     def read(self, spark: SparkSession, below: int | None = None) -> DataFrame:
-        versions = self._versions(spark)
-        if versions is None:
-            return spark.createDataFrame([], LEDGER)
-        if below is not None:
-            versions = versions.where(F.col("version") < below)
-        newest = versions.agg(F.max("version").alias("v")).first()["v"]
-        return versions.where(F.col("version") == F.lit(newest)).drop("version")
+        return self.versions.read(spark, below)
 
     def write(self, ledger: DataFrame, version: int | None = None) -> None:
         spark = ledger.sparkSession
         if version is None:
-            versions = self._versions(spark)
-            last = None if versions is None else versions.agg(F.max("version")).first()[0]
+            last = self.versions.newest(spark)
             version = 0 if last is None else last + 1
-        columns = [f.name for f in LEDGER.fields]
-        merged = self.read(spark, version).unionByName(ledger.select(*columns))
-        ring(merged, self.capacity).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        merged = self.read(spark, version).unionByName(ledger.select(*LEDGER.names))
+        self.versions.write(ring(merged, self.capacity), version)
 
 
 @dataclass(frozen=True)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from promptledger.operators import stats
 from promptledger.operators.ledger import build_ledger
 from promptledger.operators.normalise import normalise
 from promptledger.operators.stats import REFRESH_SECONDS, summary_columns
 from promptledger.plans.chain import Chain
+from promptledger.schemas import CATEGORY_COUNTS
 from promptledger.sources.ledgers import Ring, Sink
+from promptledger.sources.versions import Versions
 
 
 def decide_requests(requests: DataFrame, chain: Chain, source: str = "live") -> DataFrame:
@@ -109,13 +112,32 @@ def start_summary(
 ) -> StreamingQuery:
     """Refresh the summary every five seconds; version N is the state after batch N."""
 
-    def refresh(totals: DataFrame, batch_id: int) -> None:
-        totals.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    return _start_totals(live_summary(ledger), path, checkpoint, once)
 
+
+def live_breakdowns(ledger: DataFrame) -> DataFrame:
+    """Running counts of all three breakdowns as one streaming aggregate; orders are
+    taken when it is read (``stats.ranked_categories``)."""
+    return stats.category_counts(ledger)
+
+
+def start_breakdowns(
+    ledger: DataFrame, path: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Refresh the breakdowns every five seconds; version N is the state after batch N."""
+    return _start_totals(live_breakdowns(ledger), path, checkpoint, once)
+
+
+def read_breakdown(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """The newest state of one breakdown, in its order."""
+    return stats.ranked_categories(Versions(path, CATEGORY_COUNTS).read(spark), by)
+
+
+def _start_totals(totals: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    versions = Versions(path, totals.schema)
     writer = (
-        live_summary(ledger)
-        .writeStream.outputMode("complete")
-        .foreachBatch(refresh)
+        totals.writeStream.outputMode("complete")
+        .foreachBatch(versions.write)
         .option("checkpointLocation", checkpoint)
     )
     return _triggered(writer, once).start()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +15,7 @@ from promptledger.operators.outages import (
     number_failures,
 )
 from promptledger.schemas import OUTAGE_STATE
+from promptledger.sources.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class OutageTracker:
 
     Each batch runs the table operator over its calls, spread over ranges of
     arrival numbers; between batches only one row per provider is kept, as a
-    version numbered by the batch. Ended outages of batch N go to
+    version numbered by the batch (the last few of them). Ended outages of batch N go to
     ``path/ended/batch=N``. Writing a batch again gives the same files.
     """
 
@@ -32,18 +32,13 @@ class OutageTracker:
     threshold: int = FAILURE_THRESHOLD
     range_size: int = RANGE_SIZE
 
+    @property
+    def versions(self) -> Versions:
+        return Versions(f"{self.path}/state", OUTAGE_STATE)
+
     def state(self, spark: SparkSession, below: int | None = None) -> DataFrame:
         """The unfinished run of each provider (failures 0: none)."""
-        try:
-            versions = spark.read.schema(OUTAGE_STATE).parquet(f"{self.path}/state")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], OUTAGE_STATE).drop("version")
-        if below is not None:
-            versions = versions.where(F.col("version") < below)
-        newest = versions.agg(F.max("version").alias("v")).first()["v"]
-        return versions.where(F.col("version") == F.lit(newest)).drop("version")
+        return self.versions.read(spark, below)
 
     def ended(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/ended").drop("batch")
@@ -71,9 +66,7 @@ class OutageTracker:
         runs.where(F.col("closed_seq").isNotNull()).drop("after_seq").write.mode(
             "overwrite"
         ).parquet(f"{self.path}/ended/batch={batch_id}")
-        self._next_state(numbered, runs, held).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/state/version={batch_id}"
-        )
+        self.versions.write(self._next_state(numbered, runs, held).coalesce(1), batch_id)
 
     def _next_state(self, numbered: DataFrame, runs: DataFrame, held: DataFrame) -> DataFrame:
         """One row per provider; a provider without calls keeps its row."""

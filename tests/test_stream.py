@@ -10,8 +10,10 @@ from promptledger.plans.chain import REDACT, live_chain
 from promptledger.schemas import LEDGER
 from promptledger.sources import ledgers
 from promptledger.sources.requests import read_requests, stream_requests
+from promptledger.sources.versions import Versions
 from promptledger.streaming import live
-from records import frame, record
+from promptledger.streaming.outages import OutageTracker
+from records import finding, frame, record, rejected
 
 PATH = "/v1/chat/completions"
 
@@ -116,3 +118,41 @@ def test_stream_join_with_closing_pass_records_everything_once(spark, tmp_path):
     assert outcome["id-0"] == (None, "refused") and outcome["id-540"] == (200, None)
     assert outcome["id-180"] == (None, None) and outcome["id-60"] == (None, None)
     assert rows["id-540"]["latency_ms"] == 3.0
+
+
+def _versions(folder):
+    return sorted(int(p.name.removeprefix("version=")) for p in folder.glob("version=*"))
+
+
+def test_live_breakdowns_equal_the_table_ones(spark, tmp_path):
+    found = [finding(), finding("secret_scan"), finding()]
+    rows = [record(i, model="abc"[i % 3], findings=found[: i % 4]) for i in range(14)]
+    rows += [rejected(20 + i, stage=("tokenomics", "secret_scan")[i % 2]) for i in range(4)]
+    df = frame(spark, *rows)
+    for part in range(3):
+        df.where(F.col("arrival_seq") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.start_breakdowns(arriving, str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination(60)
+    for by in (stats.BY_MIDDLEWARE, stats.BY_MODEL, stats.BY_SCANNER):
+        got = live.read_breakdown(spark, str(tmp_path / "out"), by).collect()
+        assert got == stats.breakdown(df, by).collect() and got
+    with pytest.raises(ValueError):
+        live.read_breakdown(spark, str(tmp_path / "out"), "verdict")
+
+
+def test_states_stay_bounded_and_repeat_no_row(spark, tmp_path):
+    ring, tracker = ledgers.Ring(str(tmp_path / "ring"), 3), OutageTracker(str(tmp_path / "t"), threshold=2)
+    calls = "provider string, arrival_seq long, ts timestamp, failed boolean"
+    for batch in range(12):
+        repeats = 2 if batch % 5 == 4 else 1  # as after a restart
+        for _ in range(repeats):
+            ring.write(frame(spark, record(batch)), batch)
+            tracker.write(spark.createDataFrame([("a", batch, None, batch not in (3, 9))], calls), batch)
+    assert [r["arrival_seq"] for r in ring.read(spark).collect()] == [11, 10, 9]
+    assert _versions(tmp_path / "ring") == _versions(tmp_path / "t" / "state") == [9, 10, 11]
+    ended = [(r["failures"], r["opened_seq"], r["closed_seq"]) for r in tracker.ended(spark).orderBy("closed_seq").collect()]
+    assert ended == [(3, 1, 3), (5, 5, 9)]
+    (still,) = tracker.open(spark).collect()
+    assert (still["failures"], still["opened_seq"]) == (2, 11)
+    with pytest.raises(ValueError):
+        Versions("p", LEDGER, kept=1)

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptledger.functions import bodies
@@ -1286,6 +1286,38 @@ def live_summary(spark, sf_dir):
     return rounded(versions.where(F.col("version") == newest).drop("version"))
 
 
+_BREAKDOWNS = {
+    stats.BY_MIDDLEWARE: _ranked("rejecting_middleware", LEDGER_SQL),
+    stats.BY_MODEL: _ranked("model", LEDGER_SQL),
+    stats.BY_SCANNER: _ranked("scanner", _SCANNERS),
+}
+
+
+@register(
+    "live_breakdowns",
+    " UNION ALL ".join(
+        f"SELECT '{by}' AS breakdown, row_number() OVER (ORDER BY n DESC, first_seen) AS place, category, n FROM ({sql})"
+        for by, sql in _BREAKDOWNS.items()
+    ),
+)
+def live_breakdowns(spark, sf_dir):
+    """One stream feeds the three breakdowns, each in its order."""
+    folder = fresh_folder(spark, "live-breakdowns")
+    query = live.start_breakdowns(
+        _arriving_ledger(spark, sf_dir, folder), f"{folder}/out", f"{folder}/checkpoint", once=True
+    )
+    query.awaitTermination()
+    # A breakdown has one short row per category.
+    placed = F.row_number().over(Window.orderBy(F.desc("n"), "first_seen")).cast("long")
+    shown = [
+        live.read_breakdown(spark, f"{folder}/out", by).select(
+            F.lit(by).alias("breakdown"), placed.alias("place"), "category", "n"
+        )
+        for by in _BREAKDOWNS
+    ]
+    return shown[0].union(shown[1]).union(shown[2])
+
+
 @register("live_ring", f"SELECT arrival_seq, request_id, verdict FROM {_RING}")
 def live_ring(spark, sf_dir):
     folder = fresh_folder(spark, "live-ring")
