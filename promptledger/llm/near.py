@@ -4,36 +4,46 @@ Two texts are linked if their sets of five-word shingles have a similarity of at
 least 4/5; components of links are the groups. Candidates come from prefixes: with
 all shingles in one order, two sets so similar share one among the first
 n - ceil(4n/5) + 1 of each, so no linked pair is missed, whatever the length of the
-texts. The order puts shingles that are common in a sample of documents last, which
-bears on the cost only. Each candidate's similarity is counted on the whole sets.
+texts. The order puts shingles that begin many documents' sets last; they are counted
+over all documents, and the order bears on the cost only.
 
-Texts of one shingle set are one node from the start. A bucket (the nodes with one
-prefix shingle) first compares its nodes with a few of its own; pairs are then formed
-only between nodes that are not in one component yet, so a large group of near
-copies doesn't make the square of its size in pairs.
+The number of prefix shingles that a pair shares bounds what its sets can share: what
+the set whose prefix ends first has beyond its prefix can at most be added. Pairs that
+the bound rules out (two documents of one passage, mostly) end there; of the others
+the whole texts are compared, so similarities are exact.
+
+Texts of one shingle set are one node from the start. Where a bucket (the nodes with one
+prefix shingle) has many nodes, each is first compared with one of its own, and pairs
+are then formed only between nodes that are not in one component yet, so a large group
+of near copies doesn't make the square of its size in pairs.
 
 A shingle is known by its XXH64. Texts with fewer words than a shingle are one
-shingle; those without a word are one node. Rows with a null id take no part.
+shingle; those without a word are one node. Rows with a null id take no part; rows of
+one id and different texts are documents of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import staged
 from promptledger.llm.simhash import components, shingle_hashes
 
 SHINGLE = 5
-#: Documents whose shingles are counted for the order; a shingle of so many of them is common.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 5, 200_000
-#: Rounds of comparing buckets with a few of their nodes, and the pairs per row at which they end.
-ROUNDS, FEW = 4, 2
+#: A shingle at the head of so many sets goes last in the order; no more than MOST_COMMON
+#: of them do (8 bytes each), the most common first.
+COMMON, MOST_COMMON = 64, 1_000_000
+#: Rounds of comparing nodes with one of their bucket, and the pairs per row at which they end.
+ROUNDS, FEW = 4, 8
+#: Ids up to so many are broadcast; beyond it texts are shuffled to them.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -45,26 +55,32 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The most common shingles of a sample of the documents, sorted."""
+    """The shingles that are most often among a set's first by hash, sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"key": shingle_set(text, size).view(np.int64)})
+            sets = [shingle_set(text, size) for text in batch["text"]]
+            heads = [s[: _prefix(len(s))] for s in sets]
+            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)})
 
-    every = max(1, docs.count() // SAMPLE)
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    counts = part.mapInPandas(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
+    counts = docs.select("text").mapInPandas(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
     top = counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toPandas()
     return np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
 
 
+def _prefix(n: int) -> int:
+    return n - -(-4 * n // 5) + 1 if n else 0
+
+
 def prefixes(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, node, n, prefix): the set's number, size and first shingles."""
+    """(doc_id, node, n, prefix, last): the set's number and size, its first shingles in
+    the order, and the place of the last of them in it."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = sent.value
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, lasts = [], [], [], []
             for text in batch["text"]:
                 shingles = shingle_set(text, size)
                 n = len(shingles)
@@ -72,75 +88,107 @@ def prefixes(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                 if len(common):
                     at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
                     late = common[at] == shingles
-                ordered = np.concatenate([shingles[~late], shingles[late]])
+                first = np.concatenate([shingles[~late], shingles[late]])[: _prefix(n)]
                 nodes.append(_node(shingles))
                 sizes.append(n)
-                firsts.append(ordered[: n - -(-4 * n // 5) + 1].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes, "n": sizes, "prefix": firsts}).astype(
-                {"node": "int64", "n": "int32"}
-            )
+                firsts.append(first.view(np.int64))
+                is_late = len(first) > n - int(late.sum())
+                lasts.append(bytes([is_late]) + first[-1:].astype(">u8").tobytes())
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"], "node": nodes, "n": sizes, "prefix": firsts, "last": lasts}
+            ).astype({"node": "int64", "n": "int32"})
+
+    return docs.mapInPandas(run, "doc_id long, node long, n int, prefix array<long>, last binary")
+
 
-    return docs.mapInPandas(run, "doc_id long, node long, n int, prefix array<long>")
+def _possible(n: Column, m: Column) -> Column:
+    """Whether sets of n and m can be similar."""
+    return F.least(n, m) * 9 >= (n + m) * 4
 
 
-def _possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Whether sets of n and m that first meet at these places (from 0) can be similar."""
-    return F.least(n - pos, m - at) * 9 >= (n + m) * 4
+def _survivors(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of the meetings (a, b, at_a, at_b), one per shared prefix shingle: those whose
+    sets can be similar by the number of meetings.
 
+    All of the prefix that ends first that the other set holds is in the other's prefix,
+    so the sets share the meetings and at most what either has beyond them.
+    """
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("last").alias(f"last_{s}"))
+    known = counted.join(side("a"), "a").join(side("b"), "b")
+    beyond = lambda x, y: F.least(F.expr(f"(4 * n_{x} + 4) div 5 - 1").cast("int"), F.col(f"n_{y}") - F.col(f"at_{y}") - 1)
+    more = F.when(F.col("last_a") <= F.col("last_b"), beyond("a", "b")).otherwise(beyond("b", "a"))
+    return known.where((F.col("c") + more) * 9 >= (F.col("n_a") + F.col("n_b")) * 4).select("a", "b")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): the pairs whose sets have a similarity of at least 4/5."""
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(a, b): the pairs whose sets have a similarity of at least 4/5, from (node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = lambda v: np.frombuffer(v, np.uint64)
+        text, x = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(map(read, batch["x"]), map(read, batch["y"])):
+            for left, right in zip(batch["x"], batch["y"]):
+                if x is None or left != text:
+                    text, x = left, shingle_set(left, size)
+                y = shingle_set(right, size)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(9 * both >= 4 * (len(x) + len(y)))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The documents with (or, ``left_anti``, without) one of the distinct ids (doc_id);
+    few enough ids are broadcast, so that texts stay where they are."""
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "doc_id", how)
+    return docs.join(ids.hint("merge"), "doc_id", how)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the documents with the given ids."""
+def texts_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, text) of the nodes in the pairs, from one document each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch["text"]]
-            yield pd.DataFrame({"node": [_node(s) for s in sets], "shingles": [s.tobytes() for s in sets]}).astype({"node": "int64"})
+            yield pd.DataFrame({"node": [_node(shingle_set(t, size)) for t in batch["text"]], "text": batch["text"]})
 
-    found = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    return found.mapInPandas(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "near-asked")
+    found = with_ids(docs.select("doc_id", "text"), asked.select("doc_id").distinct(), "left_semi")
+    # A document id can stand for several texts; those of other nodes go here.
+    named = found.select("text").mapInPandas(run, "node long, text string")
+    return named.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _stars(rows: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each node of a bucket with one that the seed picks, where they can be similar."""
+    """Meetings of each node of a bucket with one that the seed picks."""
     row = F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "n", "pos", "comp")
     hub = rows.groupBy("key").agg(F.min(row).alias("hub"))
-    met = rows.join(hub, "key").where("comp <> hub.comp")
-    met = met.where(_possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    return _meetings(rows.join(hub, "key").select("*", *(F.col(f"hub.{c}").alias(f"_{c}") for c in ("node", "n", "pos", "comp"))))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket's nodes in different components that can be similar."""
+    """Meetings of all nodes of a bucket in different components."""
     left = rows.select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "comp")))
-    met = left.join(rows, "key").where("_node < node AND _comp <> comp")
-    met = met.where(_possible(F.col("_n"), F.col("_pos"), F.col("n"), F.col("pos")))
-    return met.select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
+    return _meetings(left.join(rows, "key").where("_node < node"))
+
+
+def _meetings(met: DataFrame) -> DataFrame:
+    met = met.where("_comp <> comp").where(_possible(F.col("_n"), F.col("n")))
+    first = F.col("_node") < F.col("node")
+    at = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.select(at("_node", "node", "a"), at("node", "_node", "b"), at("_pos", "pos", "at_a"), at("pos", "_pos", "at_b"))
 
 
 def _apart(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold more than one component."""
     if roots is None:
-        comp = rows.withColumn("comp", F.col("node"))
-    else:
-        comp = rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        comp = staged(comp, "near-named")
+        return rows.withColumn("comp", F.col("node"))
+    comp = rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    comp = staged(comp, "near-named")
     open_ = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     return staged(comp.join(open_, "key", "left_semi"), "near-open")
 
@@ -149,14 +197,12 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id) of (doc_id, text): the smallest id of each row's group."""
     docs = docs.where("doc_id IS NOT NULL")
     named = staged(prefixes(docs, size, common_shingles(docs, size)), "near-prefixes")
-    nodes = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = nodes.select("node", "n", "doc_id", F.posexplode("prefix").alias("pos", "key"))
-    # Minima by key instead of a window: no bucket is gathered.
-    rows = staged(rows, "near-rows")
-    shared = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    rows = staged(rows.join(shared, "key", "left_semi"), "near-shared")
-    sets = staged(sets_of(docs, rows.select("doc_id"), size), "near-sets")
-    rows = rows.drop("doc_id")
+    nodes = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("last").alias("last"))
+    nodes = staged(nodes, "near-nodes")
+    rows = named.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = rows.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    alone = F.count("*").over(Window.partitionBy("key")) == 1
+    rows = staged(rows.withColumn("alone", alone).where("NOT alone").drop("alone"), "near-shared")
     links, roots = None, None
     for seed in range(ROUNDS + 1):
         left = _apart(rows, roots)
@@ -165,7 +211,9 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         )
         n, many = per_bucket.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") ** 2 - F.col("q")) / 2), F.lit(0))).first()
         last = seed == ROUNDS or many <= FEW * n
-        found = staged(verified(staged(_pairs(left) if last else _stars(left, seed), "near-pairs"), sets), "near-links")
+        pairs = staged(_survivors(_pairs(left) if last else _stars(left, seed), nodes), "near-pairs")
+        alike = verified if size == SHINGLE else partial(verified, size=size)
+        found = staged(alike(pairs, texts_of(docs, pairs, nodes, size)), "near-links")
         links = found if links is None else links.union(found)
         roots = components(links).select("node", "root")
         if last:

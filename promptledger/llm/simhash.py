@@ -282,11 +282,9 @@ def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     from promptledger.llm import near  # it builds on this module
 
     ids = near.groups(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    gone = staged(
-        ids.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("_gone")),
-        "near-gone",
-    )
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    gone = ids.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select("doc_id")
+    packed = docs.select(F.col(doc_id).alias("doc_id"), F.struct("*").alias("row"))
+    return near.with_ids(packed, staged(gone, "near-gone"), "left_anti").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
