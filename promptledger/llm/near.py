@@ -40,8 +40,9 @@ SHINGLE = 5
 #: A shingle at the head of so many sets goes last in the order; no more than MOST_COMMON
 #: of them do (8 bytes each), the most common first.
 COMMON, MOST_COMMON = 64, 1_000_000
-#: Rounds of comparing nodes with one of their bucket, and the pairs per row at which they end.
-ROUNDS, FEW = 4, 8
+#: Rounds of comparing nodes with one of their bucket, at most; they end at so many pairs
+#: per row, or when a round has left more than half of them.
+ROUNDS, FEW = 4, 16
 #: Ids up to so many are broadcast; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -203,14 +204,14 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = rows.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     alone = F.count("*").over(Window.partitionBy("key")) == 1
     rows = staged(rows.withColumn("alone", alone).where("NOT alone").drop("alone"), "near-shared")
-    links, roots = None, None
+    links, roots, before = None, None, float("inf")
     for seed in range(ROUNDS + 1):
         left = _apart(rows, roots)
         per_bucket = left.groupBy("key", "comp").count().groupBy("key").agg(
             F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q")
         )
         n, many = per_bucket.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") ** 2 - F.col("q")) / 2), F.lit(0))).first()
-        last = seed == ROUNDS or many <= FEW * n
+        last, before = seed == ROUNDS or many <= FEW * n or many > before / 2, many
         pairs = staged(_survivors(_pairs(left) if last else _stars(left, seed), nodes), "near-pairs")
         alike = verified if size == SHINGLE else partial(verified, size=size)
         found = staged(alike(pairs, texts_of(docs, pairs, nodes, size)), "near-links")
