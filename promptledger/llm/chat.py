@@ -4,8 +4,8 @@ Messages that point to the message they answer form trees. Self-joins of the
 (message, ancestor) table double the distance they look back in each round, so
 paths of any length from the leaves to their root take few joins; they carry
 numbers only. Paths (branches) of one conversation are ranked by the mean score
-of their messages, the best ``keep`` are formatted as one text each. DataFrame
-functions only.
+of their messages, which the joins add up, and only the best ``keep`` are walked
+and formatted, as one text each. DataFrame functions only.
 
 Template: ``<|turn|>role\\ntext<|end|>\\n`` per turn. Inside texts every control
 string gets a backslash after its first character, and one more if it already
@@ -14,7 +14,8 @@ Roles are percent-encoded. The loss mask is a list of (first, last + 1) places o
 assistant texts in the formatted text.
 
 Null texts are empty, null roles too. Messages without a valid parent are
-roots; messages on a cycle belong to no path and are left out. Equal turn
+roots; messages on a cycle, or below one, belong to no path and are left out, as are
+messages without a number. Repeated messages are one (see ``one_per_node``). Equal turn
 numbers are ordered by role and text. Messages of a null conversation form one
 conversation. Extra columns are ignored. Empty tables give empty results.
 """
@@ -51,53 +52,83 @@ def as_chain(rows: DataFrame, conv="conv_id", turn="turn", role="role", text="te
     )
 
 
-def branches(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(conv, leaf, node, back): every root-to-leaf path, ``back`` steps up from the leaf.
+def one_per_node(nodes: DataFrame) -> DataFrame:
+    """One row per message: of repeated ones the least by parent (null first), role, text, score."""
+    rest = [c for c in ("parent", "role", "text", "score") if c in nodes.columns]
+    picked = nodes.groupBy("conv", "node").agg(F.min(F.struct(*rest)).alias("row"))
+    return picked.select("conv", "node", "row.*")
 
-    ``nodes`` needs conv (not null), node, parent. Round k adds the ancestors
-    2**k .. 2**(k+1) - 1 steps up by one self-join and then doubles the jump.
+
+def reached(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(conv, node, sum, n) of every message that a root is above, with its path's sum and
+    number of scores, and the jumps (conv, node, up): the k-th looks 2**k steps up.
+
+    Each round joins the messages that have not reached their root with all; sums and
+    jumps double their reach. A round after which as many are left as before it has only
+    messages on or below cycles left, since paths to a root lose the message whose
+    distance has just been covered. Those belong to no tree.
     """
-    ids = nodes.select("conv", "node", "parent")
-    answered = ids.select("conv", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    paths = ids.join(answered, ["conv", "node"], "left_anti").select(
-        "conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")
+    known = nodes.select("conv", F.col("node").alias("parent")).withColumn("up", F.col("parent"))
+    scored = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")
+    step = nodes.join(known, ["conv", "parent"], "left").select(
+        "conv", "node", "up", scored, F.col("score").isNotNull().cast("long").alias("n")
     )
-    known = ids.select("conv", F.col("node").alias("parent"))
-    jump = ids.join(known, ["conv", "parent"]).select("conv", "node", F.col("parent").alias("up"))
-    for k in range(most_rounds):
+    jumps, left = [], None
+    while True:
+        step = staged(step, "chat-steps")
+        open_ = step.where("up IS NOT NULL")
+        before, left = left, open_.count()
+        if left == before:
+            break
+        jumps.append(open_.select("conv", "node", "up"))
+        if not left:
+            break
+        above = step.select("conv", F.col("node").alias("up"), F.col("up").alias("higher"), F.col("sum").alias("s"), F.col("n").alias("m"))
+        farther = open_.join(above, ["conv", "up"]).select(
+            "conv", "node", F.col("higher").alias("up"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("n") + F.col("m")).alias("n")
+        )
+        step = step.where("up IS NULL").union(farther)
+    return step.where("up IS NULL").drop("up"), jumps
+
+
+def branches(nodes: DataFrame, keep: int | None = None) -> DataFrame:
+    """(conv, leaf, node, back, branch, score): root-to-leaf paths, ``back`` steps up from
+    the leaf, of the ``keep`` best branches of each conversation (all, if none is given).
+
+    ``nodes`` needs conv (not null), node, parent; score counts as null where there is none.
+    Branches are ranked by the mean score of their messages before any path is walked;
+    round k of the walk adds the ancestors 2**k .. 2**(k+1) - 1 steps up.
+    """
+    if "score" not in nodes.columns:
+        nodes = nodes.withColumn("score", F.lit(None).cast("double"))
+    ids = one_per_node(nodes.select("conv", "node", "parent", "score"))
+    rooted, jumps = reached(ids)
+    answered = rooted.join(jumps[0], ["conv", "node"]).select("conv", F.col("up").alias("node")).distinct()
+    leaves = rooted.join(answered, ["conv", "node"], "left_anti").withColumn("score", F.try_divide("sum", F.col("n").cast("double")))
+    by_score = Window.partitionBy("conv").orderBy(F.desc("score"), "node")
+    chosen = leaves.withColumn("branch", F.row_number().over(by_score))
+    if keep is not None:
+        chosen = chosen.where(F.col("branch") <= keep)
+    paths = chosen.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"), "branch", "score")
+    for k, jump in enumerate(jumps):
         farther = paths.join(jump, ["conv", "node"]).select(
-            "conv", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")
+            "conv", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"), "branch", "score"
         )
         paths = staged(paths.union(farther), "chat-paths")
-        nearer = jump.select("conv", F.col("node").alias("n"), F.col("up").alias("node"))
-        jump = staged(nearer.join(jump, ["conv", "node"]).select("conv", F.col("n").alias("node"), "up"), "chat-jumps")
-        if jump.isEmpty() or not _open(paths, jump):
-            break
     return paths
 
 
-def _open(paths: DataFrame, jump: DataFrame) -> bool:
-    return not paths.join(jump, ["conv", "node"], "left_semi").isEmpty()
-
-
 def formatted(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """(conv_id, branch, score, formatted, loss): the ``keep`` best branches of each tree."""
-    nodes = staged(
+    nodes = one_per_node(
         nodes.select(
             F.struct(F.col("conv_id")).alias("conv"), "node", "parent",
             F.url_encode(F.coalesce("role", F.lit(""))).alias("role"),
             escaped(F.coalesce("text", F.lit(""))).alias("text"), "score",
-        ),
-        "chat-nodes",
-    )
-    paths = branches(nodes)
-    scored = paths.join(nodes.select("conv", "node", "score"), ["conv", "node"])
-    by_score = Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")
-    chosen = (
-        scored.groupBy("conv", "leaf").agg(F.avg("score").alias("score"))
-        .withColumn("branch", F.row_number().over(by_score)).where(F.col("branch") <= keep)
+        )
     )
-    messages = paths.join(chosen, ["conv", "leaf"]).join(nodes.drop("score", "parent"), ["conv", "node"])
+    nodes = staged(nodes.where("node IS NOT NULL"), "chat-nodes")
+    messages = branches(nodes, keep).join(nodes.select("conv", "node", "role", "text"), ["conv", "node"])
     turns = messages.groupBy("conv", "branch", "score").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text"))).alias("turns")
     )
