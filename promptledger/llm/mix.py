@@ -4,13 +4,14 @@ Every document gets a hash-random key. Within a source the keys, cut into ranges
 are its random order; prefix sums of word counts over the ranges, and over the
 rows of the one range in which the budget ends, give the key at which the budget
 is used up. So a document is taken by comparing its key with its source's cut:
-the texts are never sorted or shuffled. A budget above the source's size repeats
+the texts are never sorted or shuffled (but those of rows equal to a cut). A budget above the source's size repeats
 the whole source first.
 
 Empty tables give empty results. A null text has size 0, a null source is a
 source of its own (last in order), a null id is allowed. Rows equal in id and
-text share one key, so they are taken or left together. Extra columns are kept
-by ``mixed`` and ignored by ``plan``.
+text share one key; where the budget ends among them, as many are taken as fit, so
+repeated rows count like any others. Extra columns are kept by ``mixed``, whatever
+their names, and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -97,47 +98,71 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     last = rows.join(
         e, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("range") == F.col("e_range"))
     )
-    upto = Window.partitionBy("source", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    # A document counts if at least half of it lies within the budget.
-    cuts = last.withColumn("middle", F.sum("size").over(upto) - F.col("size") / 2).groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.col("middle") <= F.col("need"), F.col("key"))), F.first("range")).alias("cut")
+    # Equal keys are one row with their number; a document counts if at least half of it
+    # lies within the budget, so of equal ones the first few may count.
+    keys = last.groupBy("source", "range", "key", "size", "need").agg(F.count("*").alias("copies"))
+    before = Window.partitionBy("source", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.withColumn("used", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0)))
+    fits = lambda j: F.col("used") + F.col("size") * j - F.col("size") / 2 <= F.col("need")
+    guess = F.floor(F.try_divide(F.col("need") - F.col("used"), F.col("size").cast("double")) + 0.5)
+    near = F.greatest(F.lit(0).cast("long"), F.least(F.coalesce(guess, F.lit(0)), F.col("copies")))
+    # The quotient is rounded; the test is the one that a single row is put to.
+    some = F.when(fits(F.col("near") + 1), F.col("near") + 1).when(fits(F.col("near")), F.col("near")).otherwise(F.col("near") - 1)
+    keys = keys.withColumn("near", near).withColumn(
+        "taken", F.when(fits(F.col("copies")), F.col("copies")).otherwise(F.greatest(some, F.lit(0)))
+    )
+    ends_at = F.max(F.when(F.col("taken") > 0, F.struct("key", "taken", "copies"))).alias("at")
+    cuts = keys.groupBy("source").agg(ends_at, F.first("range").alias("range")).select(
+        "source", F.coalesce("at.key", "range").alias("cut"), F.coalesce("at.taken", F.lit(0)).alias("cut_taken"),
+        F.coalesce("at.copies", F.lit(0)).alias("cut_copies"),
     )
     c = cuts.withColumnRenamed("source", "c_source")
     return g.join(c, F.col("g_source").eqNullSafe(F.col("c_source")), "left").select(
         F.col("g_source").alias("p_source"), "source_size", "target", "epochs",
-        F.coalesce("cut", F.lit("")).alias("cut"),
+        F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("cut_taken", F.lit(0)).alias("cut_taken"),
+        F.coalesce("cut_copies", F.lit(0)).alias("cut_copies"),
     )
 
 
-def _planned(rows: DataFrame, source: str, sources: DataFrame, spread: str) -> DataFrame:
-    """Add each row's plan: one row per source, broadcast if measured small, else
-    joined on source and salt, since a source may be hot."""
-    by = sources.withColumn("_source", F.struct(F.col("p_source").alias("source"))).drop("p_source")
-    facts = rows.withColumn("_source", F.struct(F.col(source).alias("source")))
-    return lookup_join(facts, by, "_source", F.col(spread), "inner").drop("_source")
+def _taken(rows: DataFrame, source: str, sources: DataFrame, key: Column, spread: Column) -> DataFrame:
+    """(row, plan, times): every row with its source's plan and how often the mix has it.
+
+    Rows equal to a source's cut key are taken in part where the plan says so. Equal
+    rows are counted first, whatever their number; rows that differ in other columns
+    come in the order of those.
+    """
+    by = sources.select(F.struct(F.col("p_source").alias("source")).alias("by"), F.struct("*").alias("plan"))
+    facts = rows.select(F.struct("*").alias("row"), F.struct(F.col(source).alias("source")).alias("by"), key.alias("key"), spread.alias("spread"))
+    planned = lookup_join(facts, by, "by", F.col("spread"), "inner")
+    epochs, cut = F.col("plan.epochs"), F.col("plan.cut")
+    split = sources.where("cut_taken < cut_copies").select("cut").limit(1)
+    partly = F.col("key").eqNullSafe(cut) & (F.col("plan.cut_taken") < F.col("plan.cut_copies"))
+    whole = planned.withColumn("times", (epochs + (F.col("key") <= cut).cast("int")).cast("int"))
+    if split.isEmpty():
+        return whole.select("row", "plan", "times")
+    # The cut keys of few sources: one group each, of rows that are equal or nearly so.
+    some = planned.where(partly).groupBy("plan", "key", "row").agg(F.count("*").alias("copies"))
+    before = Window.partitionBy("plan", "key").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("copies").over(before), F.lit(0))
+    some = some.withColumn("more", F.greatest(F.lit(0).cast("long"), F.least(F.col("copies"), F.col("plan.cut_taken") - earlier)))
+    number = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    some = some.withColumn("nth", F.explode(number)).withColumn("times", (epochs + (F.col("nth") <= F.col("more")).cast("int")).cast("int"))
+    return whole.where(~partly).select("row", "plan", "times").union(some.select("row", "plan", "times"))
 
 
 def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: int = SEED, **options) -> DataFrame:
     """The documents of the mix, with their columns; one taken twice stands there twice."""
     sources = staged(plan(staged(sized(docs, doc_id, text, source, seed), "mix-sizes"), **options), "mix-plan")
-    sources = sources.select("p_source", F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    once_more = (key_of(doc_id, text, seed) <= F.col("_cut")).cast("int")
-    times = (F.col("_epochs") + once_more).cast("int")
-    return (
-        _planned(docs, source, sources, doc_id)
-        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_again"))
-        .drop("_again")
-    )
+    taken = _taken(docs, source, sources, key_of(doc_id, text, seed), F.xxhash64(doc_id))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(sized(table(spark, sf_dir, "documents")), "mix-sizes")
     sources = staged(plan(rows), "mix-plan")
-    once_more = (F.col("key") <= F.col("cut")).cast("long")
-    return _planned(rows, "source", sources, "key").select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * (F.col("epochs") + once_more)).cast("long").alias("taken"),
-        "source",
+    return _taken(rows, "source", sources, F.col("key"), F.col("key")).select(
+        "row.doc_id", "row.size", "plan.source_size", "plan.target",
+        (F.col("row.size") * F.col("times")).cast("long").alias("taken"), "row.source",
     )
 
 
