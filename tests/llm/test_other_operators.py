@@ -184,3 +184,53 @@ def test_quality(spark, documents):
 def test_checks_are_sql_of_registered_queries():
     assert set(queries.CHECKS) <= set(queries.QUERIES)
     assert all(isinstance(sql, str) for sql in queries.CHECKS.values())
+
+
+def test_cycles_end_and_repeats_count_once(spark):
+    """Replies below a cycle, repeated messages, a long chain, all beside plain trees."""
+    rows = [("c", 1, 2, 9.0), ("c", 2, 1, 9.0), ("c", 3, 1, 9.0), ("c", 4, 3, 9.0)]
+    rows += [("r", 1, None, 0.0)] * 3 + [("r", i, i - 1, 0.0) for i in range(2, 8) for _ in range(2)]
+    rows += [("deep", i, i - 1 if i else None, 1.0) for i in range(300)] + [("deep", -1, 150, 5.0)]
+    rows += [("self", 1, 1, 0.0), ("self", 2, 7, 1.0), ("none", None, None, 1.0), (None, 1, None, None)]
+    nodes = spark.createDataFrame(
+        [(c, n, p, "user" if (n or 0) % 2 else "assistant", f"t{n}", s) for c, n, p, s in rows],
+        "conv_id string, node long, parent long, role string, text string, score double",
+    ).withColumn("leaf", F.lit("clash"))
+    out = chat.formatted(nodes, keep=2).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    got = {(r.conv_id, r.branch): [t.text for t in r.turns] for r in out}
+    deep = [f"t{i}" for i in range(300)]
+    assert got == {
+        ("r", 1): [f"t{i}" for i in range(1, 8)], ("self", 1): ["t2"], (None, 1): ["t1"],
+        ("deep", 1): [*deep[:151], "t-1"], ("deep", 2): deep,
+    }
+    scores = {(r.conv_id, r.branch): r.score for r in out}
+    assert scores["deep", 1] == pytest.approx((151 + 5) / 152) and scores[None, 1] is None
+    assert chat.formatted(nodes.limit(0)).count() == 0
+
+
+def test_conversations_with_repeated_rows_and_without_any(spark, folder):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, None, "x")]
+    sf = folder(conversations=spark.createDataFrame(rows, schema))
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.op7_chat_trees(spark, sf).collect()}
+    assert got == {1: (3, 0), None: (1, 0), -1: (2, len(chat.PROBE))}
+
+
+def test_budget_that_ends_among_repeated_rows(spark, documents, folder):
+    rows = [(7, "a b c d", None, "copies")] * 300 + [(i, "x y", None, "other") for i in range(100, 400)]
+    rows += [(8, "a b c d", None, "none"), (9, None, None, "empty")]
+    docs = documents(*rows)
+    sf = folder(documents=docs)
+    out = mix.op10_mixing(spark, sf).toPandas()
+    part = out[out["source"] == "copies"]
+    assert len(part) == 300 and abs(part["taken"].sum() - part["target"].iloc[0]) <= 4
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    want = con.execute(mix.OP10_SQL).df()[list(out.columns)]
+    tidy = lambda df: sorted(df.itertuples(index=False, name=None), key=str)
+    assert tidy(out.astype(str)) == tidy(want.astype({"taken": "int64", "size": "int64"}).astype(str))
+    clash = docs.withColumns({"_again": F.lit(1), "_source": F.lit("x"), "_cut": F.lit(2), "_epochs": F.lit(3)})
+    again = mix.mixed(clash)
+    assert again.columns == clash.columns and abs(again.where("source = 'copies'").count() * 4 - part["target"].iloc[0]) <= 4
