@@ -6,10 +6,11 @@ of equal bytes. Neighbours on the curve are close in every column, so a shard
 covers a narrow interval of each, and readers skip files by their minima and
 maxima. DataFrame functions only.
 
-Numbers are scaled between their minimum and maximum, texts by their first six
-bytes; null is level 0. Rows of equal curve number are ordered by id and
+Numbers are scaled between their minimum and maximum, texts by the place of their
+value among all rows, so that frequent values lie on levels of their own; null is level 0. Rows of equal curve number are ordered by id and
 checksum. Empty tables give empty results; all rows of a single shard, huge texts
-and repeated rows are ordinary cases. Extra columns are kept by ``sharded``.
+and repeated rows are ordinary cases. Extra columns are kept by ``sharded``; an
+earlier column ``shard`` is replaced.
 """
 
 from __future__ import annotations
@@ -18,24 +19,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import n_bytes, ranged, staged, table, with_prefix
+from promptledger.session import lookup_join
 
 N_SHARDS = 24
 BITS = 5
 ORDER = ["curve", "doc_id", "text_crc32"]
 
 
-def _leading_bytes(name: str) -> Column:
-    """The first six bytes of a text as a number that sorts as the text does."""
-    code = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(code, 16, 10).cast("double")
+#: The text columns of ``documents`` that readers filter on.
+TEXTS = ("source", "lang")
 
 
-def dimensions() -> list[Column]:
-    """The columns of ``documents`` that readers filter on."""
-    return [
-        _leading_bytes("source"), _leading_bytes("lang"),
-        F.log2(n_bytes(F.col("text")) + 1), F.col("doc_id").cast("double"),
-    ]
+def ranks(docs: DataFrame, column: str) -> DataFrame:
+    """(value, rank): each value of a text column and the rows before the middle of its
+    own, values being in order. So values get apart as far as they have rows."""
+    counted = docs.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    sorted_ = ranged(counted.where("value IS NOT NULL"), "shard-values", "value")
+    placed = with_prefix(sorted_, ["value"], {"before": "n"})
+    return staged(placed.select("value", (F.col("before") + F.col("n") / 2).alias("rank")), "shard-ranks")
+
+
+def with_dimensions(docs: DataFrame, ranked: list[DataFrame]) -> DataFrame:
+    """(row, dims): every document, packed, with the numbers that place it."""
+    values = [F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(TEXTS)]
+    size, number = F.log2(n_bytes(F.col("text")) + 1), F.col("doc_id").cast("double")
+    out = docs.select(F.struct("*").alias("row"), *values, size.alias("size"), number.alias("number"), F.xxhash64("doc_id").alias("spread"))
+    for i, dim in enumerate(ranked):
+        named = dim.select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        # A value may have a third of the rows; many values are joined on a salt too.
+        out = lookup_join(out, named, f"v{i}", F.col("spread"))
+    dims = F.array(*(F.col(f"r{i}").cast("double") for i in range(len(ranked))), F.col("size"), F.col("number"))
+    return out.select("row", dims.alias("dims"))
 
 
 def level(value: Column, low: Column, high: Column, bits: int = BITS) -> Column:
@@ -87,27 +101,26 @@ def hilbert(levels: Column, n: int, bits: int = BITS) -> Column:
     return F.get(F.transform(F.array(gray), finish), F.lit(0))
 
 
-def measured(docs: DataFrame, dims: list[Column], name: str = "shard-rows") -> DataFrame:
+def measured(placed: DataFrame, name: str = "shard-rows") -> DataFrame:
     """(doc_id, size, text_crc32, dims): one narrow row per document, written once."""
-    crc = F.crc32(F.col("text").cast("binary"))
-    return staged(
-        docs.select(
-            "doc_id", (n_bytes(F.col("text")) + 8).alias("size"), crc.alias("text_crc32"),
-            F.array(*(d.cast("double") for d in dims)).alias("dims"),
-        ),
-        name,
-    )
+    crc = F.crc32(F.col("row.text").cast("binary"))
+    size = (n_bytes(F.col("row.text")) + 8).alias("size")
+    return staged(placed.select("row.doc_id", size, crc.alias("text_crc32"), "dims"), name)
 
 
-def bounds(rows: DataFrame, n: int) -> list[tuple[float | None, float | None]]:
+def bounds(rows: DataFrame, n: int = len(TEXTS) + 2) -> list[tuple[float | None, float | None]]:
     """Minimum and maximum of each dimension: 2 numbers per dimension."""
     got = rows.agg(*(f(F.get("dims", F.lit(i))) for i in range(n) for f in (F.min, F.max))).first()
     return [(got[2 * i], got[2 * i + 1]) for i in range(n)]
 
 
-def curve(dims: list[Column], limits: list[tuple[float | None, float | None]], bits: int = BITS) -> Column:
-    levels = [level(d, F.lit(lo).cast("double"), F.lit(hi).cast("double"), bits) for d, (lo, hi) in zip(dims, limits)]
-    return hilbert(F.array(*levels), len(dims), bits)
+def curve(limits: list[tuple[float | None, float | None]], bits: int = BITS) -> Column:
+    """The place on the curve of the numbers in column ``dims``."""
+    levels = [
+        level(F.get("dims", F.lit(i)), F.lit(lo).cast("double"), F.lit(hi).cast("double"), bits)
+        for i, (lo, hi) in enumerate(limits)
+    ]
+    return hilbert(F.array(*levels), len(limits), bits)
 
 
 def cut_runs(rows: DataFrame, n_shards: int) -> DataFrame:
@@ -124,10 +137,10 @@ def sharded(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) -> Data
     The ends of the runs (one key per shard) are found on narrow rows; documents
     are then assigned by comparing their key with the ends, without moving texts.
     """
-    dims = dimensions()
-    rows = measured(docs, dims)
-    limits = bounds(rows, len(dims))
-    keyed = rows.withColumn("curve", curve([F.get("dims", F.lit(i)) for i in range(len(dims))], limits, bits)).drop("dims")
+    placed = with_dimensions(docs, [ranks(docs, c) for c in TEXTS])
+    rows = measured(placed)
+    limits = bounds(rows)
+    keyed = rows.withColumn("curve", curve(limits, bits)).drop("dims")
     key = F.struct(*(F.col(c).cast("long").alias(c) for c in ORDER))
     # One row per shard.
     ends = cut_runs(keyed, n_shards).groupBy("shard").agg(F.max(key).alias("end")).orderBy("shard").collect()
@@ -137,13 +150,13 @@ def sharded(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) -> Data
         *(F.struct(F.lit(e.shard).alias("shard"), F.struct(*(number(v).alias(c) for c, v in zip(ORDER, e.end))).alias("end")) for e in ends),
     )
     own = F.struct(
-        curve(dims, limits, bits).alias("curve"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-    )
-    fits = F.filter(literal, lambda e: e["end"] >= F.col("_own"))
-    return docs.withColumn("_own", own).select(
-        *docs.columns, F.coalesce(F.get(fits, F.lit(0))["shard"], F.lit(n_shards - 1)).alias("shard")
+        curve(limits, bits).alias("curve"), F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.crc32(F.col("row.text").cast("binary")).alias("text_crc32"),
     )
+    fits = F.filter(literal, lambda e: e["end"] >= F.col("own"))
+    shard = F.coalesce(F.get(fits, F.lit(0))["shard"], F.lit(n_shards - 1)).alias("shard")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "shard"]
+    return placed.withColumn("own", own).select("row", shard).select(*kept, "shard")
 
 
 def write_shards(docs: DataFrame, path: str) -> None:
@@ -154,10 +167,9 @@ def write_shards(docs: DataFrame, path: str) -> None:
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dims = dimensions()
-    rows = measured(table(spark, sf_dir, "documents"), dims)
-    place = curve([F.get("dims", F.lit(i)) for i in range(len(dims))], bounds(rows, len(dims)))
-    runs = cut_runs(rows.withColumn("curve", place).drop("dims"), N_SHARDS)
+    docs = table(spark, sf_dir, "documents")
+    rows = measured(with_dimensions(docs, [ranks(docs, c) for c in TEXTS]))
+    runs = cut_runs(rows.withColumn("curve", curve(bounds(rows))).drop("dims"), N_SHARDS)
     # Slots: rows of the same shard in earlier ranges, then the place inside the range.
     counts = runs.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
