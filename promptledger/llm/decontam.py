@@ -34,6 +34,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Most distinct benchmark shingles that are sent to every executor (8 bytes each).
 BROADCAST_SHINGLES = 1_000_000
+#: Documents to leave out that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_LEAKS = 1_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -185,9 +187,12 @@ def leaks(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", **options) -> DataFrame:
     """The documents that hold no benchmark item."""
     found = leaks(docs, benchmark, doc_id, text, **options)
-    gone = staged(found.select(F.struct("doc_id", "text_key").alias("_gone")).distinct(), "leaks")
+    gone = staged(found.select(F.struct("doc_id", "text_key").alias("gone")).distinct(), "leaks")
     own = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"))
-    return docs.withColumn("_own", own).join(gone, F.col("_own") == F.col("_gone"), "left_anti").drop("_own")
+    packed = docs.select(own.alias("own"), F.struct("*").alias("row"))
+    # Few enough documents to leave out are broadcast, so that texts stay where they are.
+    listed = F.broadcast(gone) if gone.count() <= BROADCAST_LEAKS else gone
+    return packed.join(listed, F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

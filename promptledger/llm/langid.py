@@ -145,10 +145,15 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     return model
 
 
+ADDED = ("lang_pred", "score", "ambiguous")
+
+
 def predicted(docs: DataFrame, model: Model | None, text="text") -> DataFrame:
-    """Add (lang_pred, score, ambiguous) from the text alone."""
+    """Add (lang_pred, score, ambiguous) from the text alone; earlier columns of these
+    names are replaced."""
+    docs_kept = [c for c in docs.columns if c not in ADDED]
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "ambiguous": F.lit(True)})
+        return docs.select(*docs_kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -157,7 +162,7 @@ def predicted(docs: DataFrame, model: Model | None, text="text") -> DataFrame:
 
     out = docs.withColumn("_p", predict(F.col(text)))
     return out.select(
-        *docs.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"),
+        *docs_kept, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"),
         (F.col("_p.score") < AMBIGUOUS).alias("ambiguous"),
     )
 

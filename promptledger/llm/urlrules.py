@@ -128,8 +128,11 @@ def judge(rules, wildcards):
     return place
 
 
+ADDED = ("host", "path", "rule", "verdict")
+
+
 def judged(df: DataFrame, url: str, rules=RULES, wildcards=WILDCARDS) -> DataFrame:
-    """Add host, path, rule and verdict."""
+    """Add host, path, rule and verdict; earlier columns of these names are replaced."""
     host, path = host_path(F.col(url))
     place = judge(rules, wildcards)(F.concat(F.lit("."), host, path))
     names = F.array(*(F.lit(h + p) for _, h, p in rules)).cast("array<string>")
@@ -138,7 +141,7 @@ def judged(df: DataFrame, url: str, rules=RULES, wildcards=WILDCARDS) -> DataFra
     return (
         df.withColumn("_place", place)
         .select(
-            *df.columns, host.alias("host"), path.alias("path"), F.get(names, F.col("_place")).alias("rule"),
+            *(F.col(f"`{c}`") for c in df.columns if c not in ADDED), host.alias("host"), path.alias("path"), F.get(names, F.col("_place")).alias("rule"),
             F.coalesce(F.get(verdicts, F.col("_place")), own).alias("verdict"),
         )
     )
