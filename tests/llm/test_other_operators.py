@@ -1,6 +1,7 @@
 """Mixing, sharding, top-k, URLs, chat, language and quality on hand-made rows."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from promptledger.llm import chat, langid, mix, quality, queries, shards, topk, urlrules
+from promptledger.llm import chat, decontam, langid, mix, quality, queries, shards, simhash, topk, urlrules
 
 
 def plain_targets(sizes, weights=(3, 1, 2)):
@@ -234,3 +235,50 @@ def test_budget_that_ends_among_repeated_rows(spark, documents, folder):
     clash = docs.withColumns({"_again": F.lit(1), "_source": F.lit("x"), "_cut": F.lit(2), "_epochs": F.lit(3)})
     again = mix.mixed(clash)
     assert again.columns == clash.columns and abs(again.where("source = 'copies'").count() * 4 - part["target"].iloc[0]) <= 4
+
+
+def test_sources_get_levels_of_their_own(spark, documents):
+    docs = documents(*((i, "t", ["en", "es"][i % 2], f"src{i % 20}") for i in range(400)))
+    placed = shards.with_dimensions(docs, [shards.ranks(docs, c) for c in shards.TEXTS])
+    rows = shards.measured(placed)
+    limits = shards.bounds(rows)
+    found = rows.select(
+        *(shards.level(F.get("dims", F.lit(i)), F.lit(lo), F.lit(hi)).alias(f"l{i}") for i, (lo, hi) in enumerate(limits[:2]))
+    ).distinct().collect()
+    assert len({r.l0 for r in found}) == 20 and len({r.l1 for r in found}) == 2
+
+
+def test_cuts_equal_a_plain_walk_of_the_curve(spark, documents):
+    rng = random.Random(2)
+    docs = documents(*((i, "x" * rng.randrange(200), rng.choice(["en", None]), rng.choice("abc")) for i in range(300)))
+    placed = shards.with_dimensions(docs, [shards.ranks(docs, c) for c in shards.TEXTS])
+    rows = shards.measured(placed)
+    keyed = rows.withColumn("curve", shards.curve(shards.bounds(rows))).drop("dims")
+    order = sorted(keyed.collect(), key=lambda r: (r.curve, r.doc_id, r.text_crc32))
+    total, before, want = sum(r["size"] for r in order), 0, {}
+    for r in order:
+        want[r.doc_id] = min(math.floor((before + r["size"] / 2) * 8 / total), 7)
+        before += r["size"]
+    assert {r.doc_id: r.shard for r in shards.sharded(docs, 8).collect()} == want
+    assert {r.doc_id: r.shard for r in shards.cut_runs(keyed, 8).collect()} == want
+
+
+def test_columns_of_any_name_stay(spark, documents):
+    names = ("_own", "_gone", "own", "gone", "row", "dims", "r0", "v0", "size", "number", "spread", "text_key", "h", "_p", "_doc", "by", "plan")
+    docs = documents((1, "some plain words here and more of them", "en", "a"), (2, None, None, None)).withColumns(
+        {n: F.lit(n) for n in names}
+    )
+    items = spark.createDataFrame([(1, "some plain words here and more of them", "x")], "item_id long, text string, own string")
+    kept = decontam.decontaminated(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    out = shards.sharded(docs.withColumn("shard", F.lit("old")))
+    assert out.columns == [*docs.columns, "shard"] and out.count() == 2 and dict(out.dtypes)["shard"] == "int"
+    left = simhash.deduplicated(docs)
+    assert left.columns == docs.columns and left.count() == 2
+    mixed = mix.mixed(docs)
+    assert mixed.columns == docs.columns and {r["by"] for r in mixed.collect()} == {"by"}
+    guessed = langid.predicted(docs.withColumn("score", F.lit("old")), None)
+    assert guessed.columns[-3:] == ["lang_pred", "score", "ambiguous"] and guessed.columns.count("score") == 1
+    pages = spark.createDataFrame([(1, "http://a.net/x", "old")], "page_id long, url string, host string")
+    (judged,) = urlrules.judged(pages, "url").collect()
+    assert judged.asDict() == {"page_id": 1, "url": "http://a.net/x", "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}
