@@ -15,7 +15,7 @@ from promptledger.functions.findings import worst_severity
 from promptledger.functions.rules import CATALOGUE, SecretRule
 from promptledger.functions.tokens import TokenCounter, Vocabulary
 from promptledger.operators import detect, ledger, normalise, outages, pricing, redact, reports, stats
-from promptledger.plans.chain import BLOCK, REDACT, Chain, PiiStage, batch_chain, live_chain
+from promptledger.plans.chain import BLOCK, REDACT, Chain, PiiStage, batch_chain, live_chain, reject
 from promptledger.schemas import LEDGER_FINDINGS, empty
 from promptledger.session import cut_lineage, shared_dir
 from promptledger.sources import ledgers, requests
@@ -1187,6 +1187,216 @@ def gate(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- settings and extensions
+
+
+def _files_of(spark, sf_dir, folder: str) -> list[str]:
+    """One file per conversation turn under ``folder``; its paths in the order of the numbers."""
+    rows = chat_requests(spark, sf_dir).select("arrival_seq", "body")
+    rows.write.partitionBy("arrival_seq").text(folder)
+    found = spark.read.option("pathGlobFilter", "*.txt").text(folder).select(
+        F.col("_metadata.file_path").alias("uri"), "arrival_seq"
+    )
+    return [r["uri"] for r in found.distinct().orderBy("arrival_seq").collect()]
+
+
+@register(
+    "prompt_list",
+    f"""SELECT CAST(row_number() OVER (ORDER BY arrival_seq DESC) AS BIGINT) AS position, arrival_seq, error_code
+        FROM (SELECT arrival_seq, {_FILE_ERROR} AS error_code FROM ({CHAT}) WHERE arrival_seq % 1024 < 2)
+        UNION ALL SELECT 0, NULL, 'empty_body'""",
+)
+def prompt_list(spark, sf_dir):
+    """Files named one by one, last first, after one that is missing; order and labels stay."""
+    folder = fresh_folder(spark, "prompt-list")
+    number = lambda path: int(path.split("arrival_seq=")[1].split("/")[0])
+    paths = [p for p in _files_of(spark, sf_dir, folder) if number(p) % 1024 < 2]
+    listed = requests.read_prompt_list(spark, [f"{folder}/missing.txt", *reversed(paths)])
+    out = normalise.normalise_files(listed)
+    named = F.regexp_extract("label", "arrival_seq=([0-9]+)", 1)
+    return out.select("position", F.nullif(named, F.lit("")).cast("long").alias("arrival_seq"), "error_code")
+
+
+@register(
+    "empty_glob",
+    f"""SELECT 'all' AS files, count(*) AS scanned, CAST(2 AS INT) AS gate FROM ({CHAT})
+        UNION ALL SELECT 'none', 0, 0""",
+)
+def empty_glob(spark, sf_dir):
+    """A pattern that matches no file is a batch of nothing, which passes the gate."""
+    folder = fresh_folder(spark, "empty-glob")
+    _files_of(spark, sf_dir, folder)
+
+    def scanned(pattern: str, name: str) -> DataFrame:
+        files = normalise.normalise_files(requests.read_prompt_files(spark, folder, pattern=pattern))
+        out = batch_chain().decide(files)
+        total = out.where(F.col("body").isNotNull()).agg(F.count("*").alias("scanned"))
+        return reports.gate(out).select("gate").join(F.broadcast(total)).select(F.lit(name).alias("files"), "scanned", "gate")
+
+    return scanned("*.txt", "all").unionByName(scanned("*.json", "none"))
+
+
+_LIMITS = {
+    "tokens": pricing.ThresholdPolicy(500),
+    "cost": pricing.ThresholdPolicy(max_cost_usd=Decimal("0.01")),
+    "both": pricing.ThresholdPolicy(500, Decimal("0.01")),
+    "live default": pricing.DEFAULT_POLICY,
+    "batch default": pricing.BATCH_POLICY,
+}
+_MOST_TOKENS = {"tokens": "500", "both": "500", "live default": "8000", "batch default": "100000"}
+_MOST_USD = {"cost": "0.01", "both": "0.01", "live default": "0.05"}
+
+
+def _limit_counts(name: str) -> str:
+    tokens = f"known_tokens > {_MOST_TOKENS[name]}" if name in _MOST_TOKENS else "FALSE"
+    spent = f"cost > CAST('{_MOST_USD[name]}' AS DECIMAL(38,18))" if name in _MOST_USD else "FALSE"
+    return f"""SELECT '{name}' AS policy, count(*) FILTER ({tokens}) AS over_tokens, count(*) FILTER ({spent}) AS over_cost,
+        count(*) FILTER (NOT ({tokens}) AND NOT ({spent})) AS allowed FROM priced"""
+
+
+@register(
+    "threshold_policies",
+    f"WITH priced AS ({checks.priced(f'({MIXED})', 'known_tokens')}) " + " UNION ALL ".join(map(_limit_counts, _LIMITS)),
+)
+def threshold_policies(spark, sf_dir):
+    """One bound, both, and the defaults; a policy without a bound cannot be made."""
+    prompts = mixed_prompts(spark, sf_dir).select("model", F.col("known_tokens").alias("token_count"))
+    held = lambda name: F.count_if(F.array_contains("violations", name))
+    counted = [
+        pricing.evaluate(prompts, policy).agg(
+            F.lit(name).alias("policy"), held(pricing.TOKEN_LIMIT).alias("over_tokens"),
+            held(pricing.COST_LIMIT).alias("over_cost"), F.count_if("is_allowed").alias("allowed"),
+        )
+        for name, policy in _LIMITS.items()
+    ]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@register(
+    "enforced_limits",
+    f"""WITH priced AS ({checks.priced(f'({MIXED})', 'known_tokens')}),
+        n AS (SELECT count(*) FILTER (known_tokens > 500) AS t,
+                     count(*) FILTER (cost > CAST('0.01' AS DECIMAL(38,18))) AS c FROM priced)
+        SELECT 'all' AS prompts, CASE WHEN t + c > 0 THEN t || ' rows exceed the token limit, ' || c || ' the cost limit' END
+          AS refusal, (SELECT count(*) FROM priced) AS rows FROM n
+        UNION ALL SELECT 'within', NULL, count(*) FROM priced
+          WHERE known_tokens <= 500 AND cost <= CAST('0.01' AS DECIMAL(38,18))""",
+)
+def enforced_limits(spark, sf_dir):
+    """Prompts beyond a limit raise; those within pass."""
+    prompts = mixed_prompts(spark, sf_dir).select("model", F.col("known_tokens").alias("token_count"))
+    decided = pricing.evaluate(prompts, _LIMITS["both"])
+
+    def refusal(rows: DataFrame) -> str | None:
+        try:
+            pricing.assert_no_violations(rows)
+        except pricing.ThresholdExceeded as error:
+            return str(error)
+        return None
+
+    named = {"all": decided, "within": decided.where("is_allowed")}
+    said = [rows.agg(F.lit(n).alias("prompts"), F.lit(refusal(rows)).cast("string").alias("refusal"), F.count("*").alias("rows")) for n, rows in named.items()]
+    return said[0].unionByName(said[1])
+
+
+@register(
+    "chosen_sinks",
+    f"""WITH n AS (SELECT count(*) AS total FROM ({LEDGER_SQL}))
+        SELECT 'json' AS sink, total AS records FROM n UNION ALL SELECT 'log', total FROM n
+        UNION ALL SELECT 'ring', least(total, 100) FROM n UNION ALL SELECT 'table', total FROM n
+        UNION ALL SELECT 'switched off', 0 FROM n""",
+)
+def chosen_sinks(spark, sf_dir):
+    """Settings name the sinks; a ledger that is switched off writes nothing."""
+    folder, off = fresh_folder(spark, "chosen"), fresh_folder(spark, "not-chosen")
+    records = event_ledger(spark, sf_dir)
+    named = lambda at: {f"{kind}_path": f"{at}/{kind}" for kind in ("ring", "json", "table", "log")}
+    ledgers.choose_sinks(ring_capacity=100, **named(folder)).write(records)
+    ledgers.choose_sinks(enabled=False, **named(off)).write(records)
+    written = {
+        "json": ledgers.read_json_lines(spark, f"{folder}/json"), "log": spark.read.text(f"{folder}/log"),
+        "ring": ledgers.Ring(f"{folder}/ring", 100).read(spark), "table": ledgers.read_table(spark, f"{folder}/table"),
+        "switched off": ledgers.Ring(f"{off}/ring").read(spark),
+    }
+    counted = [rows.agg(F.lit(name).alias("sink"), F.count("*").alias("records")) for name, rows in written.items()]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class LongWords:
+    """A check of a caller's own: prompts with a word of ``most`` letters or more are refused."""
+
+    name = "long_words"
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        longest = F.array_max(F.transform(F.split("open_content", " "), F.length))
+        return df.withColumn(self.name, F.struct(longest.alias("longest"))).withColumn(
+            f"{self.name}_reject", F.when(longest >= self.most, reject(422, "long_word", longest.cast("string")))
+        )
+
+
+@register(
+    "custom_stage",
+    f"""SELECT arrival_seq, CASE WHEN longest >= 24 THEN 'rejected' ELSE 'allowed' END AS verdict,
+          CASE WHEN longest >= 24 THEN 'long_words' END AS rejecting_middleware,
+          CAST(CASE WHEN longest >= 24 THEN 422 END AS INT) AS status_code, longest
+        FROM (SELECT arrival_seq, CAST(list_max(list_transform(string_split(content, ' '), lambda w: length(w))) AS INT)
+                AS longest FROM ({MIXED}))""",
+)
+def custom_stage(spark, sf_dir):
+    out = Chain([LongWords(24)]).decide(mixed_prompts(spark, sf_dir))
+    return out.select(
+        "arrival_seq", "verdict", "rejecting_middleware", F.col("reject.status_code").alias("status_code"),
+        F.col("long_words.longest").alias("longest"),
+    )
+
+
+@register(
+    "custom_route",
+    f"""SELECT arrival_seq, CASE WHEN arrival_seq % 3 = 0 THEN 'own' END AS provider,
+          CASE WHEN arrival_seq % 3 <> 0 THEN 'unknown_provider' END AS error_code,
+          arrival_seq % 3 = 0 AND arrival_seq % 2 = 0 AS mutations_applied,
+          CASE WHEN arrival_seq % 3 = 0 THEN md5(CASE WHEN arrival_seq % 2 = 0
+            THEN 'mail [REDACTED:EMAIL_ADDRESS] now' ELSE 'no mail' END || chr(10) || 'turn ' || arrival_seq) END AS content_hash
+        FROM (SELECT conv_id * 1024 + turn AS arrival_seq FROM conversations)""",
+)
+def custom_route(spark, sf_dir):
+    """A provider of a caller's own, with other field names, read and redacted."""
+    own = bodies.ProviderRoute("/own/generate", "own", system_field="preamble", messages_field="history", content_field="says")
+    seq = (F.col("conv_id") * 1024 + F.col("turn")).alias("arrival_seq")
+    preamble = F.when(F.col("arrival_seq") % 2 == 0, "mail a.b@example.com now").otherwise("no mail")
+    turns = F.array(F.struct(F.concat(F.lit("turn "), F.col("arrival_seq").cast("string")).alias("says")))
+    log = read(spark, sf_dir, "conversations").select(seq).select(
+        "arrival_seq", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("arrival_seq")).alias("arrival_ts"),
+        F.when(F.col("arrival_seq") % 3 == 0, "/own/generate/").otherwise("/other").alias("path"),
+        F.lit(None).cast("map<string,string>").alias("headers"),
+        F.to_json(F.struct(F.lit("m").alias("model"), preamble.alias("preamble"), turns.alias("history"))).alias("body"),
+    )
+    out = live.decide_requests(log, Chain([PiiStage(REDACT, entities=["EMAIL_ADDRESS"])], routes=(own,)))
+    return out.select("arrival_seq", "provider", "error_code", "mutations_applied", F.md5("content").alias("content_hash"))
+
+
+@register(
+    "custom_recogniser",
+    f"""WITH found AS (SELECT arrival_seq, unnest(regexp_extract_all(content, 'of|and')) AS hit FROM ({MIXED}))
+        SELECT 'CONJUNCTION' AS label, CASE WHEN hit = 'of' THEN 'low' ELSE 'medium' END AS severity, count(*) AS n
+        FROM found GROUP BY ALL""",
+)
+def custom_recogniser(spark, sf_dir):
+    """A pattern and a score of a caller's own take the place of the catalogue."""
+    own = pii.Recogniser("CONJUNCTION", "of|and", 0.5, score_sql="CASE WHEN {matched} = 'and' THEN 0.7D ELSE 0.5D END")
+    found = detect.scan_pii(mixed_prompts(spark, sf_dir), threshold=0.4, recognisers=[own])
+    return detect.explode_findings(found, "arrival_seq").groupBy("label", "severity").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- outages
 
 
