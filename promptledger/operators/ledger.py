@@ -102,20 +102,25 @@ def first_per_request(df: DataFrame, key: str = "request_id", order: str = "arri
     return picked.select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in df.columns])
 
 
-def attach_upstream(decisions: DataFrame, calls: DataFrame) -> DataFrame:
+def attach_upstream(decisions: DataFrame, calls: DataFrame, answer_within: str | None = None) -> DataFrame:
     """Add the upstream outcome to allowed decisions; rejected ones were never sent.
 
     Both sides are reduced to one row per request first, so every decision
-    comes out exactly once.
+    comes out exactly once. ``answer_within`` (such as ``1 hour``) bounds the time from
+    the decision's ``timestamp`` to the call's ``ts``, as the stream form does; a call
+    outside it is no answer.
     """
     outcome = first_per_request(calls, order="call_seq").select(
         "request_id",
         F.col("upstream_status_code").alias("_status"),
         F.col("upstream_error").alias("_error"),
         F.col("latency_ms").alias("_latency"),
+        *([F.col("ts").alias("_ts")] if answer_within else []),
     )
     joined = first_per_request(decisions).join(outcome, "request_id", "left")
     sent = F.col("verdict") == "allowed"
+    if answer_within:
+        sent = sent & F.coalesce(in_time(F.col("timestamp"), F.col("_ts"), answer_within), F.lit(False))
     failed = F.col("_error").isNotNull()
     return joined.withColumns(
         {
@@ -126,6 +131,11 @@ def attach_upstream(decisions: DataFrame, calls: DataFrame) -> DataFrame:
     ).select(*decisions.columns)
 
 
+def in_time(decided: Column, called: Column, answer_within: str) -> Column:
+    """Whether a call is the answer to a decision: not before it, and not too long after."""
+    return (called >= decided) & (called <= decided + F.expr(f"INTERVAL {answer_within}"))
+
+
 def response_status(decided: DataFrame) -> Column:
     """404 or 400 for bad requests, the reject status, 502, or the upstream's own."""
     columns = set(decided.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from promptledger.operators import stats
-from promptledger.operators.ledger import build_ledger
+from promptledger.operators.ledger import build_ledger, in_time
 from promptledger.operators.normalise import normalise
 from promptledger.operators.stats import REFRESH_SECONDS, summary_columns
 from promptledger.plans.chain import Chain
@@ -56,11 +56,10 @@ def attach_upstream(
         .withWatermark("call_ts", delay)
         .dropDuplicatesWithinWatermark(["call_id"])
     )
-    in_time = F.expr(
-        "call_id = request_id AND verdict = 'allowed' AND call_ts >= timestamp "
-        f"AND call_ts <= timestamp + INTERVAL {answer_within}"
-    )
-    joined = left.join(right, in_time, "left_outer")
+    answers = F.col("call_id") == F.col("request_id")
+    sent = F.col("verdict") == "allowed"
+    bound = in_time(F.col("timestamp"), F.col("call_ts"), answer_within)
+    joined = left.join(right, answers & sent & bound, "left_outer")
     return joined.withColumns(
         {
             "upstream_status_code": F.when(F.col("call_error").isNull(), F.col("call_status")),

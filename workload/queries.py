@@ -1539,6 +1539,60 @@ def live_ring(spark, sf_dir):
     return ring.read(spark).select("arrival_seq", "request_id", "verdict")
 
 
+_ANSWERS = f"""SELECT d.request_id, verdict,
+      CAST(CASE WHEN c.upstream_error IS NULL THEN c.upstream_status_code END AS INT) AS upstream_status_code,
+      c.upstream_error, coalesce(c.latency_ms, 0.5) AS latency_ms, CAST(0 AS BIGINT) AS late_rows
+    FROM ({LEDGER_SQL}) d
+    LEFT JOIN (SELECT * FROM ({checked('upstream_calls')}) WHERE arrival_seq % 3 <> 0) c
+      ON d.request_id = c.request_id AND verdict = 'allowed' AND c.arrival_seq % 90 <= 60"""
+
+
+def _decisions_and_calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Decisions, and calls that answer up to an hour and a half later; a third has none."""
+    decisions = event_ledger(spark, sf_dir).withColumns(
+        {
+            "upstream_status_code": F.lit(None).cast("int"), "upstream_error": F.lit(None).cast("string"),
+            "latency_ms": F.lit(0.5),
+        }
+    )
+    calls = derive(spark, sf_dir, "upstream_calls").where(F.col("arrival_seq") % 3 != 0)
+    later = F.make_dt_interval(mins=(F.col("arrival_seq") % 90).cast("int"))
+    return decisions, calls.withColumn("ts", F.col("ts") + later)
+
+
+@register("upstream_in_time", _ANSWERS)
+def upstream_in_time(spark, sf_dir):
+    out = ledger.attach_upstream(*_decisions_and_calls(spark, sf_dir), answer_within="1 hour")
+    return out.select(
+        "request_id", "verdict", "upstream_status_code", "upstream_error", "latency_ms",
+        F.lit(0).cast("long").alias("late_rows"),
+    )
+
+
+@register("live_upstream", _ANSWERS)
+def live_upstream(spark, sf_dir):
+    """Both sides as streams; what still waits at the end is added by the closing pass."""
+    folder = fresh_folder(spark, "live-upstream")
+    decisions, calls = _decisions_and_calls(spark, sf_dir)
+    arriving = {}
+    for name, rows in {"decisions": decisions, "calls": calls}.items():
+        _as_files(rows, f"{folder}/{name}", "parquet")
+        arriving[name] = (
+            spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+            .option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+        )
+    joined = live.attach_upstream(arriving["decisions"], arriving["calls"], "2 hours", "1 hour")
+    sink = ledgers.JsonLines(f"{folder}/records")
+    query = live.start_sinks(joined, {"records": sink}, f"{folder}/checkpoints", once=True)["records"]
+    query.awaitTermination()
+    recorded = ledgers.read_json_lines(spark, sink.path)
+    rest = live.unmatched_decisions(ledger.first_per_request(decisions), recorded)
+    return recorded.unionByName(rest).select(
+        "request_id", "verdict", "upstream_status_code", "upstream_error", "latency_ms",
+        F.lit(live.late_rows(query)).cast("long").alias("late_rows"),
+    )
+
+
 @register("live_outages", _outage_check(3))
 def live_outages(spark, sf_dir):
     folder = fresh_folder(spark, "live-outages")
