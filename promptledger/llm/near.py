@@ -15,7 +15,9 @@ the whole texts are compared, so similarities are exact.
 Texts of one shingle set are one node from the start. Where a bucket (the nodes with one
 prefix shingle) has many nodes, each is first compared with one of its own, and pairs
 are then formed only between nodes that are not in one component yet, so a large group
-of near copies doesn't make the square of its size in pairs.
+of near copies doesn't make the square of its size in pairs. The nodes of a very large
+bucket are compared as tiles, whole sets against whole sets, so that no pair of them is
+moved on its own; pairs that share no such bucket are counted as above.
 
 A shingle is known by its XXH64. Texts with fewer words than a shingle are one
 shingle; those without a word are one node. Rows with a null id take no part; rows of
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import staged
-from promptledger.llm.simhash import components, shingle_hashes
+from promptledger.llm.simhash import Forest, components, shingle_hashes
 
 SHINGLE = 5
 #: A shingle at the head of so many sets goes last in the order; no more than MOST_COMMON
@@ -43,6 +45,10 @@ COMMON, MOST_COMMON = 64, 1_000_000
 #: Rounds of comparing nodes with one of their bucket, at most; they end at so many pairs
 #: per row, or when a round has left more than half of them.
 ROUNDS, FEW = 4, 16
+#: Buckets of more nodes are compared in tiles of about TILE shingles.
+BIG, TILE = 1_000, 1 << 17
+#: Shingles of a tile that are held as a matrix at a time.
+COLUMNS = 4_096
 #: Ids up to so many are broadcast; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -150,20 +156,85 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids.hint("merge"), "doc_id", how)
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, text) of the nodes in the pairs, from one document each."""
+def texts_of(docs: DataFrame, asked: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, text) of the distinct nodes asked for, from one document each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": [_node(shingle_set(t, size)) for t in batch["text"]], "text": batch["text"]})
 
-    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "near-asked")
+    asked = staged(asked.join(nodes, "node").select("node", "doc_id"), "near-asked")
     found = with_ids(docs.select("doc_id", "text"), asked.select("doc_id").distinct(), "left_semi")
     # A document id can stand for several texts; those of other nodes go here.
     named = found.select("text").mapInPandas(run, "node long, text string")
     return named.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def tile_links(x: list, y: list | None) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs among the (node, shingles) of one tile, or of
+    one and another."""
+    rows = [*x, *(y or [])]
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, common = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one row add to no pair.
+    kept = common[column] > 1
+    owner, (_, column) = owner[kept], np.unique(column[kept], return_inverse=True)
+    left = len(x)
+    both = np.zeros((left, len(sets) - left if y else left), np.float32)
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        both += part[:left] @ (part[left:] if y else part).T
+    other = sizes[left:] if y else sizes
+    alike = 9 * both >= 4 * (sizes[:left, None] + other[None, :])
+    p, q = np.nonzero(alike if y else np.triu(alike, 1))
+    links = Forest(len(sets)).join(p, q + left if y else q)
+    return [(rows[i]["node"], rows[j]["node"]) for i, j in links]
+
+
+def _tile_links(docs: DataFrame, big: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Links between all nodes of each big bucket, which are dealt to tiles of bounded size.
+
+    Nodes get the least node that heads one of their buckets as a label, so a group
+    that shares many buckets shares its tiles, and every pair of tiles that meet in a
+    bucket is compared once.
+    """
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, size).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "shingles": sets})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for mine, other in zip(batch["x"], batch["y"]):
+                yield pd.DataFrame(np.array(tile_links(list(mine), None if other is None else list(other)), np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    heads = big.groupBy("key").agg(F.min("node").alias("head"))
+    labels = staged(
+        big.join(heads, "key").groupBy("node").agg(F.min("head").alias("label"), F.first("n").alias("n")), "near-labels"
+    )
+    totals = labels.groupBy("label").agg((F.floor(F.sum("n") / TILE) + 1).alias("tiles"))
+    tile = F.struct("label", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("part"))
+    tiled = staged(labels.join(totals, "label").select("node", tile.alias("tile")), "near-tiled")
+    in_tiles = staged(big.select("key", "node").join(tiled, "node").select("key", "tile").distinct(), "near-met")
+    met = in_tiles.join(in_tiles.select("key", F.col("tile").alias("other")), "key").where("tile <= other").select("tile", "other").distinct()
+    sets = texts_of(docs, labels.select("node"), nodes, size).mapInPandas(shingled, "node long, shingles binary")
+    packed = staged(
+        sets.join(tiled, "node").groupBy("tile").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")), "near-tiles"
+    )
+    left = packed.select("tile", F.col("rows").alias("x"))
+    right = packed.select(F.col("tile").alias("other"), F.col("rows").alias("y"))
+    two = met.join(left, "tile").join(right, "other")
+    alone = F.col("tile") == F.col("other")
+    return staged(two.select("x", F.when(~alone, F.col("y")).alias("y")).mapInPandas(run, "a long, b long"), "near-tile-links")
+
+
 def _stars(rows: DataFrame, seed: int) -> DataFrame:
     """Meetings of each node of a bucket with one that the seed picks."""
     row = F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "n", "pos", "comp")
@@ -188,7 +259,8 @@ def _apart(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold more than one component."""
     if roots is None:
         return rows.withColumn("comp", F.col("node"))
-    comp = rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    known = roots.select(F.col("node").alias("of"), "root")
+    comp = rows.join(known, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("root", "node")).drop("of", "root")
     comp = staged(comp, "near-named")
     open_ = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     return staged(comp.join(open_, "key", "left_semi"), "near-open")
@@ -202,9 +274,13 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     nodes = staged(nodes, "near-nodes")
     rows = named.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = rows.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    alone = F.count("*").over(Window.partitionBy("key")) == 1
-    rows = staged(rows.withColumn("alone", alone).where("NOT alone").drop("alone"), "near-shared")
+    size_of = F.count("*").over(Window.partitionBy("key"))
+    rows = staged(rows.withColumn("size", size_of).where("size > 1"), "near-shared")
     links, roots, before = None, None, float("inf")
+    big, rows = rows.where(F.col("size") > BIG), rows.where(F.col("size") <= BIG)
+    if not big.isEmpty():
+        links = _tile_links(docs, big, nodes, size)
+        roots = components(links).select("node", "root")
     for seed in range(ROUNDS + 1):
         left = _apart(rows, roots)
         per_bucket = left.groupBy("key", "comp").count().groupBy("key").agg(
@@ -213,8 +289,9 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         n, many = per_bucket.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") ** 2 - F.col("q")) / 2), F.lit(0))).first()
         last, before = seed == ROUNDS or many <= FEW * n or many > before / 2, many
         pairs = staged(_survivors(_pairs(left) if last else _stars(left, seed), nodes), "near-pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         alike = verified if size == SHINGLE else partial(verified, size=size)
-        found = staged(alike(pairs, texts_of(docs, pairs, nodes, size)), "near-links")
+        found = staged(alike(pairs, texts_of(docs, asked, nodes, size)), "near-links")
         links = found if links is None else links.union(found)
         roots = components(links).select("node", "root")
         if last:
