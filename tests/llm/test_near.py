@@ -101,3 +101,19 @@ def test_pairs_do_not_grow_with_the_square_of_a_group(spark, documents, monkeypa
     got = near.groups(documents(*rows).select("doc_id", "text")).collect()
     assert {r.component_id for r in got} == {0}
     assert sum(made) < 10 * len(rows)
+
+
+def test_big_buckets_in_tiles_give_the_same_groups(spark, documents, monkeypatch):
+    rng = random.Random(7)
+    rows = near_rows()
+    base = text_of(rng, 150)
+    for i in range(120):  # copies with more and more words replaced: some alike, some not
+        text = list(base)
+        for _ in range(rng.randrange(9)):
+            text[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+        rows.append((1_000 + i, " ".join(text)))
+    monkeypatch.setattr(near, "BIG", 8)
+    monkeypatch.setattr(near, "TILE", 2_000)
+    monkeypatch.setattr(near, "COLUMNS", 64)
+    docs = documents(*rows).select("doc_id", "text")
+    assert {r.doc_id: r.component_id for r in near.groups(docs).collect()} == brute_groups(rows)
