@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from promptledger.llm.common import table
 K = 10
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 8192
-#: Each query block stands in so many tasks, candidate blocks being dealt among them.
-SPREAD = 16
+#: Pairs of a query block and a share of the candidate blocks, at least: the candidate
+#: blocks are dealt by hash into as many shares as make up this number.
+SHARES = 16
 LIMIT = 2**63 - 1
 
 
@@ -56,11 +58,16 @@ def _pack(ids, rows) -> dict:
     }
 
 
-def candidate_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), CANDIDATE_BLOCK):
-            part = batch.iloc[i : i + CANDIDATE_BLOCK].sort_values("vec_id")
-            yield pd.DataFrame([_pack(part["vec_id"], list(part["w"])) | {"spread": int(part["vec_id"].iloc[0]) % SPREAD}])
+def candidate_blocks(shares: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), CANDIDATE_BLOCK):
+                part = batch.iloc[i : i + CANDIDATE_BLOCK].sort_values("vec_id")
+                # Blocks begin at round numbers; their hashes fall into all shares.
+                share = xxhash.xxh64_intdigest(int(part["vec_id"].iloc[0]).to_bytes(8, "little", signed=True)) % shares
+                yield pd.DataFrame([_pack(part["vec_id"], list(part["w"])) | {"spread": share}]).astype({"spread": "int32"})
+
+    return run
 
 
 def query_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -131,17 +138,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, vec_id="vec_id", vector="em
     narrow = lambda df: components(df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL"), "v").select("vec_id", "w")
     asked = narrow(queries).distinct()
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    tasks = max(SHARES, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = -(-tasks // n_blocks)
     by_hash = F.pmod(F.xxhash64("vec_id", "w"), F.lit(n_blocks))
     packed = asked.withColumn("block", by_hash).groupBy("block").applyInPandas(query_block, f"{PACKED}, block long")
     q = packed.select(
         "block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "row", "dim", "weight")),
-        F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"),
+        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("spread"),
     )
-    c = narrow(candidates).mapInPandas(candidate_blocks, f"{PACKED}, spread int").select(
+    c = narrow(candidates).mapInPandas(candidate_blocks(shares), f"{PACKED}, spread int").select(
         "spread", *(F.col(c).alias(f"c_{c}") for c in ("ids", "row", "dim", "weight")),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
     )
-    picks = q.join(c.hint("shuffle_hash"), ["block", "spread"]).mapInPandas(
+    picks = q.join(c.hint("merge"), ["block", "spread"]).mapInPandas(
         score_blocks(k), "query_id long, place long, vec_id long, score long, block long"
     )
     rank = F.row_number().over(
