@@ -278,4 +278,5 @@ def without_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"))
+    out = without_repeats(table(spark, sf_dir, "documents"))
+    return out.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
