@@ -282,3 +282,11 @@ def test_columns_of_any_name_stay(spark, documents):
     pages = spark.createDataFrame([(1, "http://a.net/x", "old")], "page_id long, url string, host string")
     (judged,) = urlrules.judged(pages, "url").collect()
     assert judged.asDict() == {"page_id": 1, "url": "http://a.net/x", "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}
+
+
+def test_candidate_blocks_fill_all_shares():
+    import pandas as pd
+
+    batches = [pd.DataFrame({"vec_id": range(10_000 * i, 10_000 * i + 3), "w": [[1]] * 3}) for i in range(400)]
+    shares = collections.Counter(row["spread"].iloc[0] for row in topk.candidate_blocks(16)(iter(batches)))
+    assert set(shares) == set(range(16)) and max(shares.values()) < 60
