@@ -33,11 +33,12 @@ def scan_pii(
     threshold: float = pii.DEFAULT_THRESHOLD,
     names: DataFrame | None = None,
     recognisers: Sequence[pii.Recogniser] | None = None,
-    any_space: bool = False,
+    any_space: bool = True,
 ) -> DataFrame:
     """Add ``findings``: personal data above the score threshold.
 
-    ``any_space``: a listed name is also found with other white space between its words.
+    ``any_space``: a listed name is also found with other white space between its words,
+    as it is when blocking and redacting.
     """
     hit = with_pii_hits(df, text, "_hits", entities, threshold, names, recognisers, any_space)
     found = hit.withColumn("findings", pii.hits_to_findings("_hits")).drop("_hits")

@@ -150,8 +150,10 @@ def test_names_from_a_table(spark, monkeypatch, inline, rows):
     names = spark.createDataFrame([("Ana Silva",), ("Ana",), ("Ana",), ("Zoë",)], "name string")
     text = "😀 Bob Ana Silva met Ana,  Zoë and Ana  Silva"
     found = scanned(detect.scan_pii(prompts(spark, text, "nobody", None), names=names))
-    assert [text[f[3] : f[4]] for f in found[0]] == ["Ana Silva", "Ana", "Zoë", "Ana"]
+    assert [text[f[3] : f[4]] for f in found[0]] == ["Ana Silva", "Ana", "Zoë", "Ana  Silva"]
     assert found[1] == [] and labels(spark, text) == []
+    exact = scanned(detect.scan_pii(prompts(spark, text), names=names, any_space=False))[0]
+    assert [text[f[3] : f[4]] for f in exact] == ["Ana Silva", "Ana", "Zoë", "Ana"]
 
 
 def test_custom_recogniser(spark):
