@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptledger.llm.common import staged
+from promptledger.llm.common import arrow_batches, staged
 from promptledger.llm.simhash import Forest, components, shingle_hashes
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ ROUNDS, FEW = 4, 16
 BIG, TILE = 1_000, 1 << 17
 #: Shingles of a tile that are held as a matrix at a time.
 COLUMNS = 4_096
+#: Texts, or pairs of them, that a worker holds at a time.
+BATCH = 512
 #: Ids up to so many are broadcast; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -268,6 +270,11 @@ def _apart(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id) of (doc_id, text): the smallest id of each row's group."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _groups(docs, size)
+
+
+def _groups(docs: DataFrame, size: int) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     named = staged(prefixes(docs, size, common_shingles(docs, size)), "near-prefixes")
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("last").alias("last"))
