@@ -85,11 +85,18 @@ def _verdict_line(subject: Column) -> Column:
     return F.when(F.col("reject").isNull(), F.concat(subject, F.lit(": PASS"))).otherwise(failed)
 
 
+def without_prompts(decided: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """What reports need of decided files: no prompt, no body."""
+    kept = ("position", "label", "error_code", "verdict", "reject", "rejecting_middleware")
+    return decided.select(*kept, *stages)
+
+
 def report_lines(decided: DataFrame, stages: Sequence[str]) -> DataFrame:
     """The text report as rows, the totals line last.
 
     Order by position, file and line_no when writing; nothing is sorted before.
-    ``decided`` is read twice, so store it first (``session.cut_lineage``).
+    ``decided`` is read twice, so store it first, but for the prompts
+    (``session.cut_lineage`` of ``without_prompts``).
     """
     lines = F.when(
         F.col("error_code").isNull(),

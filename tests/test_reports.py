@@ -168,3 +168,13 @@ def test_empty_files_of_a_folder_are_input_errors(spark, tmp_path):
     assert rows == {f"{path}/a b.json": chat("m", "fine"), f"{path}/c.json": None, f"{path}/deep/d.json": None}
     assert reports.gate(scan(files)[1]).first()["gate"] == 2
     assert sources.read_prompt_files(spark, path, recursive=False).count() == 2
+
+
+def test_stored_reports_hold_no_prompt(spark):
+    files = spark.createDataFrame([("a.json", 0, chat("gpt-4o", f"key {KEY}"))], "label string, position bigint, body string")
+    chain = batch_chain()
+    kept = cut_lineage(reports.without_prompts(chain.decide(normalise.normalise_files(files)), chain.names))
+    assert not {"content", "body"} & set(kept.columns)
+    assert all(KEY not in str(row) for row in kept.collect())
+    lines = [r["line"] for r in reports.report_lines(kept, chain.names).orderBy("position", "line_no").collect()]
+    assert lines[0] == "a.json: FAIL (secret_scan: secret_exposure_detected)" and len(lines) == 3

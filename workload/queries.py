@@ -1155,7 +1155,7 @@ _LINES = f"""
 )
 def report_lines(spark, sf_dir):
     chain, out = scan_batch(spark, sf_dir)
-    return reports.report_lines(cut_lineage(out), chain.names)
+    return reports.report_lines(cut_lineage(reports.without_prompts(out, chain.names)), chain.names)
 
 
 @register(
