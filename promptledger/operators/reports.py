@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +159,19 @@ def decision_text(decided: DataFrame, stages: Sequence[str]) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _gate(among: Column) -> Column:
+    """The gate of the rows that a condition names, as an aggregate."""
+    some = lambda c: F.coalesce(F.bool_or(among & c), F.lit(False))
+    return F.when(some(F.col("error_code").isNotNull()), 2).when(some(F.col("reject").isNotNull()), 1).otherwise(0)
+
+
 def gate(decided: DataFrame) -> DataFrame:
     """0 all clean, 1 something rejected, 2 something unreadable."""
-    bad = F.coalesce(F.bool_or(F.col("error_code").isNotNull()), F.lit(False))
-    rejected = F.coalesce(F.bool_or(F.col("reject").isNotNull()), F.lit(False))
-    return decided.agg(F.when(bad, 2).when(rejected, 1).otherwise(0).alias("gate"))
+    return decided.agg(_gate(F.lit(True)).alias("gate"))
+
+
+def gates(decided: DataFrame, batches: Mapping[str, Column]) -> DataFrame:
+    """(batch, gate) of several batches of the same files, each named by a condition, in
+    one pass over them."""
+    each = F.array(*(F.struct(F.lit(name).alias("batch"), _gate(rows).alias("gate")) for name, rows in batches.items()))
+    return decided.agg(each.alias("each")).select(F.inline("each"))

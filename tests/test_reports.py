@@ -178,3 +178,15 @@ def test_stored_reports_hold_no_prompt(spark):
     assert all(KEY not in str(row) for row in kept.collect())
     lines = [r["line"] for r in reports.report_lines(kept, chain.names).orderBy("position", "line_no").collect()]
     assert lines[0] == "a.json: FAIL (secret_scan: secret_exposure_detected)" and len(lines) == 3
+
+
+def test_gates_of_several_batches_in_one_pass(spark):
+    rows = [("a", None, None), ("b", None, {"status_code": 403, "reason": "r", "detail": "d"}), ("c", "invalid_json", None)]
+    decided = spark.createDataFrame(rows, "label string, error_code string, reject struct<status_code:int,reason:string,detail:string>")
+    named = {"all": F.lit(True), "ab": F.col("label") < "c", "a": F.col("label") == "a", "none": F.lit(False)}
+    out = reports.gates(decided, named)
+    assert {r["batch"]: r["gate"] for r in out.collect()} == {"all": 2, "ab": 1, "a": 0, "none": 0}
+    for name, rows in named.items():
+        assert reports.gate(decided.where(rows)).first()["gate"] == {"all": 2, "ab": 1}.get(name, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

@@ -1203,12 +1203,13 @@ def decision_reports(spark, sf_dir):
 )
 def gate(spark, sf_dir):
     _, out = scan_batch(spark, sf_dir)
-    readable = out.where(F.col("position") % 9 != 0)
-    named = lambda df, name: reports.gate(df).select(F.lit(name).alias("batch"), "gate")
-    return (
-        named(out, "with broken files")
-        .unionByName(named(readable, "readable files"))
-        .unionByName(named(readable.where(F.col("reject").isNull()), "clean files"))
+    readable = F.col("position") % 9 != 0
+    return reports.gates(
+        out,
+        {
+            "with broken files": F.lit(True), "readable files": readable,
+            "clean files": readable & F.col("reject").isNull(),
+        },
     )
 
 
