@@ -290,3 +290,40 @@ def test_candidate_blocks_fill_all_shares():
     batches = [pd.DataFrame({"vec_id": range(10_000 * i, 10_000 * i + 3), "w": [[1]] * 3}) for i in range(400)]
     shares = collections.Counter(row["spread"].iloc[0] for row in topk.candidate_blocks(16)(iter(batches)))
     assert set(shares) == set(range(16)) and max(shares.values()) < 60
+
+
+@pytest.mark.parametrize("n", [2, 3, 6, 11])
+def test_decoding_equals_a_plain_walk_of_the_codewords(n):
+    rng = np.random.default_rng(n)
+    code = langid.codewords(n)
+    weight = rng.random(code.shape) / 10
+    model = langid.Model([f"l{i:02}" for i in range(n)], code, np.zeros((1, code.shape[1])), weight)
+    for _ in range(200):
+        margins = rng.normal(0, 0.5, code.shape[1])
+        loss = {
+            name: sum(w * math.exp(-langid.SHARPNESS * bit * m) for w, bit, m in zip(ws, word, margins))
+            for name, ws, word in zip(model.languages, weight, code)
+        }
+        first, second = sorted(loss, key=lambda name: (loss[name], name))[:2]
+        got, score = model.decode(margins)
+        assert got == first and score == pytest.approx((loss[second] - loss[first]) / (loss[second] + loss[first]))
+    one = langid.Model(["xx"], langid.codewords(1), np.zeros((1, 1)), np.ones((1, 1)))
+    assert one.decode(np.zeros(1)) == ("xx", 1.0)
+
+
+def test_margins_equal_plain_counts_of_grams():
+    rng = np.random.default_rng(3)
+    odds = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.Model(["a", "b"], np.ones((2, 3)), odds, np.ones((2, 3)))
+
+    def bucket(gram):
+        code = 0
+        for byte in gram:
+            code = (code * 257 + byte + 1) % 2**32
+        return ((code * 2654435761) % 2**32) >> 16
+
+    for text in ("Été, 12 Häuser!", "a", "ab " * 50):
+        data = f" {langid._OTHER.sub(' ', text.lower())} ".encode()
+        found = [bucket(data[i : i + n]) for n in langid.SIZES for i in range(len(data) - n + 1)]
+        want = odds[found].astype(float).sum(axis=0) / len(found)
+        assert model.margins(text) == pytest.approx(want, rel=1e-5, abs=1e-6)
