@@ -22,15 +22,35 @@ from promptledger.session import cut_lineage
 from promptledger.sources.versions import Versions
 
 EVENT = "audit.request"
+#: Folder names of numbered batches.
+BATCH = "batch"
 DEFAULT_TABLE = "audit_records"
 
 
 class Sink(Protocol):
-    """Anything that can take a batch of ledger records."""
+    """Anything that can take a batch of ledger records.
+
+    A sink with ``write_batch(ledger, number)`` gives the same result however often a
+    batch of one number is written, so a batch that failed half way can be repeated.
+    """
 
     def write(self, ledger: DataFrame) -> None: ...
 
 
+def write_numbered(sink: Sink, ledger: DataFrame, number: int) -> None:
+    """Write a numbered batch; a sink that knows no numbers appends it."""
+    numbered = getattr(sink, "write_batch", None)
+    if numbered is None:
+        sink.write(ledger)
+    else:
+        numbered(ledger, number)
+
+
+def _batch_folder(path: str, number: int) -> str:
+    """Spark's writers show the files of a folder only once all of them are whole."""
+    return f"{path.rstrip('/')}/{BATCH}={number}"
+
+
 def _load(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """A Parquet folder, or None when nothing was written there yet."""
     try:
@@ -51,6 +71,10 @@ class JsonLines:
         lines = json_ready(ledger)
         lines.write.mode("append").option("ignoreNullFields", "false").json(self.path)
 
+    def write_batch(self, ledger: DataFrame, number: int) -> None:
+        lines = json_ready(ledger).write.mode("overwrite").option("ignoreNullFields", "false")
+        lines.json(_batch_folder(self.path, number))
+
     def stream(self, ledger: DataFrame) -> DataStreamWriter:
         writer = json_ready(ledger).writeStream.format("json").option("path", self.path)
         return writer.option("ignoreNullFields", "false")
@@ -154,6 +178,10 @@ class LedgerTable:
     def write(self, ledger: DataFrame) -> None:
         self.missing(ledger).write.insertInto(self.catalog_name)
 
+    def write_batch(self, ledger: DataFrame, number: int) -> None:
+        """Keys tell what is stored already, whatever the number."""
+        self.write(ledger)
+
 
 @dataclass(frozen=True)
 class LogEvents:
@@ -169,6 +197,9 @@ class LogEvents:
     def write(self, ledger: DataFrame) -> None:
         self._lines(ledger).write.mode("append").text(self.path)
 
+    def write_batch(self, ledger: DataFrame, number: int) -> None:
+        self._lines(ledger).write.mode("overwrite").text(_batch_folder(self.path, number))
+
     def stream(self, ledger: DataFrame) -> DataStreamWriter:
         return self._lines(ledger).writeStream.format("text").option("path", self.path)
 
@@ -199,6 +230,9 @@ class Ring:
         merged = self.read(spark, version).unionByName(ledger.select(*LEDGER.names))
         self.versions.write(ring(merged, self.capacity), version)
 
+    def write_batch(self, ledger: DataFrame, number: int) -> None:
+        self.write(ledger, number)
+
 
 @dataclass(frozen=True)
 class Discard:
@@ -223,11 +257,19 @@ class FanOut:
             raise ValueError("give at least one sink")
 
     def write(self, ledger: DataFrame) -> list[tuple[Sink, Exception]]:
+        return self._each(ledger, lambda sink, stored: sink.write(stored))
+
+    def write_batch(self, ledger: DataFrame, number: int) -> list[tuple[Sink, Exception]]:
+        """Write a numbered batch. After a failure it can be written again: sinks that had it
+        are left as they were, the one that failed gets it whole."""
+        return self._each(ledger, lambda sink, stored: write_numbered(sink, stored, number))
+
+    def _each(self, ledger: DataFrame, write) -> list[tuple[Sink, Exception]]:
         stored = cut_lineage(ledger) if len(self.sinks) > 1 else ledger
         failed = []
         for sink in self.sinks:
             try:
-                sink.write(stored)
+                write(sink, stored)
             except Exception as error:  # noqa: BLE001 - reported to the caller
                 failed.append((sink, error))
         return failed
@@ -263,7 +305,8 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
         for f in LEDGER.fields
     ]
     raw = spark.read.schema(T.StructType(fields)).json(path)
-    return raw.withColumn("estimated_cost_usd", F.col("estimated_cost_usd").try_cast(MONEY))
+    money = F.col("estimated_cost_usd").try_cast(MONEY)
+    return raw.withColumn("estimated_cost_usd", money).select(*LEDGER.names)
 
 
 def read_table(

@@ -14,7 +14,7 @@ from promptledger.operators.normalise import normalise
 from promptledger.operators.stats import REFRESH_SECONDS, summary_columns
 from promptledger.plans.chain import Chain
 from promptledger.schemas import CATEGORY_COUNTS
-from promptledger.sources.ledgers import Ring, Sink
+from promptledger.sources.ledgers import FanOut, Sink, write_numbered
 from promptledger.sources.versions import Versions
 
 
@@ -86,15 +86,24 @@ def start_sinks(
     for name, sink in sinks.items():
         if hasattr(sink, "stream"):
             writer = sink.stream(ledger)
-        elif isinstance(sink, Ring):
-            writer = ledger.writeStream.foreachBatch(sink.write)
         else:
-            writer = ledger.writeStream.foreachBatch(lambda df, _, sink=sink: sink.write(df))
+            writer = ledger.writeStream.foreachBatch(lambda df, number, sink=sink: _batch(sink, df, number))
         writer = writer.option("checkpointLocation", f"{checkpoints}/{name}").queryName(name)
         started[name] = _triggered(writer, once).start()
     return started
 
 
+def _batch(sink: Sink, ledger: DataFrame, number: int) -> None:
+    """One batch into a sink; of several sinks, one that fails fails the batch after the
+    others have it, and the batch is repeated on the next start."""
+    if isinstance(sink, FanOut):
+        failed = sink.write_batch(ledger, number)
+        if failed:
+            raise failed[0][1]
+    else:
+        write_numbered(sink, ledger, number)
+
+
 def _triggered(writer: DataStreamWriter, once: bool) -> DataStreamWriter:
     if once:
         return writer.trigger(availableNow=True)

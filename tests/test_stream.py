@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from helpers import SECRETS, chat, requests
@@ -156,3 +157,56 @@ def test_states_stay_bounded_and_repeat_no_row(spark, tmp_path):
     assert (still["failures"], still["opened_seq"]) == (2, 11)
     with pytest.raises(ValueError):
         Versions("p", LEDGER, kept=1)
+
+
+def _dies_once(marker):
+    """A JSON sink whose first write is killed after some of its rows are written."""
+
+    class DiesOnce(ledgers.JsonLines):
+        def write_batch(self, ledger, number):
+            def run(batches):
+                for batch in batches:
+                    for i in range(len(batch)):
+                        yield batch.iloc[i : i + 1]
+                        if i == 3 and not marker.exists():
+                            marker.write_text("died")
+                            raise OSError("killed in mid-write")
+
+            super().write_batch(ledger.mapInPandas(run, ledger.schema), number)
+
+    return DiesOnce
+
+
+def test_a_sink_killed_in_mid_write_leaves_no_half_batch(spark, tmp_path):
+    rows = frame(spark, *[record(i, request_id=None if i % 4 else f"id-{i}") for i in range(24)])
+    sinks = [
+        _dies_once(tmp_path / "died")(str(tmp_path / "dying")), ledgers.JsonLines(str(tmp_path / "json")),
+        ledgers.LogEvents(str(tmp_path / "log")), ledgers.LedgerTable(str(tmp_path / "table")), ledgers.Ring(str(tmp_path / "ring"), 5),
+    ]
+    many = ledgers.FanOut(sinks)
+    assert many.write_batch(rows.where("arrival_seq >= 12"), 0) and not list((tmp_path / "dying").rglob("part-*"))
+    for number, part in ((0, "arrival_seq >= 12"), (1, "arrival_seq < 12"), (1, "arrival_seq < 12")):
+        assert many.write_batch(rows.where(part), number) == []
+    want = rows.orderBy("arrival_seq").collect()
+    for folder in ("dying", "json"):
+        assert ledgers.read_json_lines(spark, str(tmp_path / folder)).orderBy("arrival_seq").collect() == want
+    assert spark.read.text(str(tmp_path / "log")).count() == 24
+    stored = ledgers.read_table(spark, str(tmp_path / "table")).select(*LEDGER.names)
+    assert stored.orderBy("arrival_seq").collect() == want
+    assert [r["arrival_seq"] for r in sinks[-1].read(spark).collect()] == [23, 22, 21, 20, 19]
+
+
+def test_a_stream_into_several_sinks_repeats_a_failed_batch(spark, tmp_path):
+    rows = frame(spark, *[record(i) for i in range(20)])
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    both = ledgers.FanOut([ledgers.JsonLines(str(tmp_path / "json")), _dies_once(tmp_path / "died")(str(tmp_path / "dying"))])
+    for attempt in range(2):
+        arriving = spark.readStream.schema(LEDGER).parquet(str(tmp_path / "in"))
+        query = live.start_sinks(arriving, {"both": both}, str(tmp_path / "c"), once=True)["both"]
+        if attempt == 0:
+            with pytest.raises(StreamingQueryException, match="killed in mid-write"):
+                query.awaitTermination(60)
+        else:
+            query.awaitTermination(60)
+    for folder in ("json", "dying"):
+        assert ledgers.read_json_lines(spark, str(tmp_path / folder)).orderBy("arrival_seq").collect() == rows.collect()
