@@ -190,3 +190,19 @@ def test_gates_of_several_batches_in_one_pass(spark):
         assert reports.gate(decided.where(rows)).first()["gate"] == {"all": 2, "ab": 1}.get(name, 0)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_many_files_take_no_call_to_the_jvm_each(spark, tmp_path, monkeypatch):
+    rows = [(i, f"body {i}") for i in range(300)] + [(7, "second"), (300, None), (None, "no key")]
+    df = spark.createDataFrame(rows, "n long, body string").coalesce(1)
+    written = sources.write_prompt_files(df, f"{tmp_path}/w", "n")
+    paths = sorted(r["path"] for r in written.collect())
+    assert len(paths) == 302
+    calls, plain = [], sources._file_system
+    monkeypatch.setattr(sources, "_file_system", lambda *given: calls.append(given) or plain(*given))
+    files = {r["label"]: r["body"] for r in sources.read_prompt_files(spark, f"{tmp_path}/w", "*.txt").collect()}
+    listed = {r["label"]: r["body"] for r in sources.read_prompt_list(spark, paths).collect()}
+    assert files == listed and len(calls) <= 3
+    got = {p.split("n=")[1]: body for p, body in files.items()}
+    assert got["0.txt"] == "body 0\n" and got["300.txt"] == "\n" and got["__HIVE_DEFAULT_PARTITION__.txt"] == "no key\n"
+    assert sorted(got["7.txt"].split("\n")) == ["", "body 7", "second"]
