@@ -7,6 +7,7 @@ from helpers import SECRETS, noise, prompts
 from promptledger.functions import recognisers as pii
 from promptledger.functions.findings import preview_sql, severity_rank, worst_severity
 from promptledger.functions.rules import CATALOGUE, SecretRule
+from promptledger import session
 from promptledger.operators import detect
 
 
@@ -230,3 +231,17 @@ def test_time_grows_with_the_length_of_a_text(spark):
 
     seconds(1_000)
     assert seconds(40_000) < 3 * seconds(20_000) + 1
+
+
+def test_runs_that_are_no_name_are_not_shuffled_to_a_long_table(spark, monkeypatch):
+    texts = [f"then Ann{i} Lee{i} met Bob Ray and Ann{i} Bob on day {i} of Bob Ray" for i in range(300)] + [None, ""]
+    names = spark.createDataFrame([(f"Ann{i} Lee{i}",) for i in range(0, 600, 2)] + [("Bob Ray",), ("Ray",), (None,)], "name string")
+    df = prompts(spark, *texts, *texts[:20])
+    scanned = lambda: sorted(map(repr, detect.scan_pii(df, entities=[pii.PERSON], names=names).collect()))
+    inline = scanned()
+    passed, plain = [], session.possible_facts
+    monkeypatch.setattr(detect, "INLINE_NAMES", 10)
+    monkeypatch.setattr(session, "fits_broadcast", lambda *given: False)
+    monkeypatch.setattr(session, "possible_facts", lambda *a: passed.append(plain(*a).count()) or plain(*a))
+    assert scanned() == inline and sum("PERSON" in r for r in inline) == 320
+    assert 150 + 4 * 300 <= passed[0] <= 150 + 4 * 300 + 10
