@@ -12,7 +12,11 @@ the set whose prefix ends first has beyond its prefix can at most be added. Pair
 the bound rules out (two documents of one passage, mostly) end there; of the others
 the whole texts are compared, so similarities are exact.
 
-Texts of one shingle set are one node from the start. Where a bucket (the nodes with one
+Texts of one shingle set are one node from the start. Fingerprints come first: every node
+gets the SimHash of its shingle set, equal and near fingerprints are found in tiles (see
+``simhash``), and those whose sets are similar indeed are linked, so groups of near copies
+are mostly one component before a prefix is looked at. Fingerprints are estimates and miss
+links, which the prefixes then add between different components. Where a bucket (the nodes with one
 prefix shingle) has many nodes, each is first compared with one of its own, and pairs
 are then formed only between nodes that are not in one component yet, so a large group
 of near copies doesn't make the square of its size in pairs. The nodes of a very large
@@ -36,12 +40,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import arrow_batches, staged
-from promptledger.llm.simhash import Forest, components, shingle_hashes
+from promptledger.llm.simhash import Forest, components, fingerprint, fingerprint_links, shingle_hashes
 
 SHINGLE = 5
 #: A shingle at the head of so many sets goes last in the order; no more than MOST_COMMON
 #: of them do (8 bytes each), the most common first.
-COMMON, MOST_COMMON = 64, 1_000_000
+COMMON, MOST_COMMON = 8, 1_000_000
+#: Shingles are counted among so many times the first of a set that its prefix has: where the
+#: first ones go last, the next ones take their places.
+COUNTED = 2
 #: Rounds of comparing nodes with one of their bucket, at most; they end at so many pairs
 #: per row, or when a round has left more than half of them.
 ROUNDS, FEW = 4, 16
@@ -69,7 +76,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(text, size) for text in batch["text"]]
-            heads = [s[: _prefix(len(s))] for s in sets]
+            heads = [s[: COUNTED * _prefix(len(s))] for s in sets]
             yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)})
 
     counts = docs.select("text").mapInPandas(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
@@ -82,14 +89,14 @@ def _prefix(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, node, n, prefix, last): the set's number and size, its first shingles in
-    the order, and the place of the last of them in it."""
+    """(doc_id, node, n, prefix, last, fp, low, high): the set's number and size, its first
+    shingles in the order, the place of the last of them in it, and its fingerprint."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = sent.value
         for batch in batches:
-            nodes, sizes, firsts, lasts = [], [], [], []
+            nodes, sizes, firsts, lasts, fps = [], [], [], [], []
             for text in batch["text"]:
                 shingles = shingle_set(text, size)
                 n = len(shingles)
@@ -103,11 +110,29 @@ def prefixes(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                 firsts.append(first.view(np.int64))
                 is_late = len(first) > n - int(late.sum())
                 lasts.append(bytes([is_late]) + first[-1:].astype(">u8").tobytes())
+                fps.append(fingerprint(shingles.reshape(-1, 1)))
+            halves = np.array(fps, np.uint64).reshape(-1, 1).view(np.uint32)
+            low, high = np.bitwise_count(halves).T
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "node": nodes, "n": sizes, "prefix": firsts, "last": lasts}
-            ).astype({"node": "int64", "n": "int32"})
+                {"doc_id": batch["doc_id"], "node": nodes, "n": sizes, "prefix": firsts, "last": lasts,
+                 "fp": [fp.astype(">u8").tobytes() for fp in fps], "low": low, "high": high}
+            ).astype({"node": "int64", "n": "int32", "low": "int32", "high": "int32"})
+
+    return docs.mapInPandas(
+        run, "doc_id long, node long, n int, prefix array<long>, last binary, fp binary, low int, high int"
+    )
 
-    return docs.mapInPandas(run, "doc_id long, node long, n int, prefix array<long>, last binary")
+
+def _fingerprint_pairs(named: DataFrame) -> DataFrame:
+    """(a, b): every node of a group of equal and near fingerprints with the group's least."""
+    of = staged(named.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "low", "high"))), "near-fps")
+    firsts = staged(
+        of.groupBy("fp").agg(F.min("node").alias("first"), F.first("low").alias("low"), F.first("high").alias("high")),
+        "near-firsts",
+    )
+    equal = of.join(firsts.select("fp", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = equal.union(fingerprint_links(firsts))
+    return components(found).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def _possible(n: Column, m: Column) -> Column:
@@ -257,10 +282,8 @@ def _meetings(met: DataFrame) -> DataFrame:
     return met.select(at("_node", "node", "a"), at("node", "_node", "b"), at("_pos", "pos", "at_a"), at("pos", "_pos", "at_b"))
 
 
-def _apart(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component."""
-    if roots is None:
-        return rows.withColumn("comp", F.col("node"))
     known = roots.select(F.col("node").alias("of"), "root")
     comp = rows.join(known, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("root", "node")).drop("of", "root")
     comp = staged(comp, "near-named")
@@ -279,15 +302,22 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
     named = staged(prefixes(docs, size, common_shingles(docs, size)), "near-prefixes")
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("last").alias("last"))
     nodes = staged(nodes, "near-nodes")
+    alike = verified if size == SHINGLE else partial(verified, size=size)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return staged(alike(pairs, texts_of(docs, asked, nodes, size)), "near-links")
+
+    links = checked(_fingerprint_pairs(named))
     rows = named.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = rows.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     size_of = F.count("*").over(Window.partitionBy("key"))
     rows = staged(rows.withColumn("size", size_of).where("size > 1"), "near-shared")
-    links, roots, before = None, None, float("inf")
+    before = float("inf")
     big, rows = rows.where(F.col("size") > BIG), rows.where(F.col("size") <= BIG)
     if not big.isEmpty():
-        links = _tile_links(docs, big, nodes, size)
-        roots = components(links).select("node", "root")
+        links = links.union(_tile_links(docs, big, nodes, size))
+    roots = components(links).select("node", "root")
     for seed in range(ROUNDS + 1):
         left = _apart(rows, roots)
         per_bucket = left.groupBy("key", "comp").count().groupBy("key").agg(
@@ -296,10 +326,7 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
         n, many = per_bucket.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") ** 2 - F.col("q")) / 2), F.lit(0))).first()
         last, before = seed == ROUNDS or many <= FEW * n or many > before / 2, many
         pairs = staged(_survivors(_pairs(left) if last else _stars(left, seed), nodes), "near-pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        alike = verified if size == SHINGLE else partial(verified, size=size)
-        found = staged(alike(pairs, texts_of(docs, asked, nodes, size)), "near-links")
-        links = found if links is None else links.union(found)
+        links = links.union(checked(pairs))
         roots = components(links).select("node", "root")
         if last:
             break

@@ -224,6 +224,12 @@ def links_of(tiled: DataFrame, radius: int, words: int) -> DataFrame:
     ).mapInPandas(run, "a long, b long")
 
 
+def fingerprint_links(firsts: DataFrame, radius: int = RADIUS, words: int = 1) -> DataFrame:
+    """(a, b): links between the rows (fp, first, low, high) of near fingerprints that keep
+    the components whole."""
+    return links_of(staged(tiles(firsts, radius), "simhash-tiles"), radius, words)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every linked node; the root is the component's smallest number.
 
@@ -262,8 +268,7 @@ def component_ids(fps: DataFrame, radius: int = RADIUS, words: int = 1) -> DataF
     firsts = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(
         F.min("doc_id").alias("first"), F.first("low").alias("low"), F.first("high").alias("high")
     )
-    tiled = staged(tiles(firsts, radius), "simhash-tiles")
-    roots = components(links_of(tiled, radius, words))
+    roots = components(fingerprint_links(firsts, radius, words))
     classes = staged(
         firsts.join(roots, firsts["first"] == roots["node"], "left")
         .select("fp", F.coalesce("root", "first").alias("component_id")),

@@ -117,3 +117,31 @@ def test_big_buckets_in_tiles_give_the_same_groups(spark, documents, monkeypatch
     monkeypatch.setattr(near, "COLUMNS", 64)
     docs = documents(*rows).select("doc_id", "text")
     assert {r.doc_id: r.component_id for r in near.groups(docs).collect()} == brute_groups(rows)
+
+
+def test_fingerprints_come_first_and_prefixes_add_what_they_miss(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    base, rows = text_of(rng, 3000), []
+    for i in range(40):  # one word of 3,000 replaced: fingerprints mostly within the radius
+        text = list(base)
+        text[rng.randrange(3000)] = f"y{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, t) for i, t in enumerate(t for _ in range(10) for t in pair(rng, 120, 0.80, 0.83))]
+    asked, plain = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, texts: asked.append(pairs.count()) or plain(pairs, texts))
+    found, links = [], near.fingerprint_links
+    monkeypatch.setattr(near, "fingerprint_links", lambda firsts: found.append(links(firsts).count()) or links(firsts))
+    docs = documents(*rows).select("doc_id", "text")
+    assert {r.doc_id: r.component_id for r in near.groups(docs).collect()} == brute_groups(rows)
+    assert found[0] >= 20 and 20 <= asked[0] < len(rows) and sum(asked) < 4 * len(rows)
+
+
+def test_documents_of_one_passage_make_no_pairs(spark, documents, monkeypatch):
+    rng = random.Random(9)
+    passage = text_of(rng, 40)
+    rows = [(i, " ".join(text_of(rng, 60) + passage)) for i in range(60)]
+    met, plain = [], near._survivors
+    monkeypatch.setattr(near, "_survivors", lambda pairs, nodes: met.append(pairs.count()) or plain(pairs, nodes))
+    got = near.groups(documents(*rows).select("doc_id", "text")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
+    assert sum(met) < 4 * len(rows)
