@@ -17,11 +17,11 @@ gets the SimHash of its shingle set, equal and near fingerprints are found in ti
 ``simhash``), and those whose sets are similar indeed are linked, so groups of near copies
 are mostly one component before a prefix is looked at. Fingerprints are estimates and miss
 links, which the prefixes then add between different components. Where a bucket (the nodes with one
-prefix shingle) has many nodes, each is first compared with one of its own, and pairs
-are then formed only between nodes that are not in one component yet, so a large group
-of near copies doesn't make the square of its size in pairs. The nodes of a very large
-bucket are compared as tiles, whole sets against whole sets, so that no pair of them is
-moved on its own; pairs that share no such bucket are counted as above.
+prefix shingle) has more than a few nodes, of more than one component, they are compared as
+tiles, whole sets against whole sets, so that no pair of them is moved on its own, be they near
+copies or texts that are not quite similar. Pairs that share no such bucket are counted as
+above: they are formed only between nodes that are not in one component yet, and where there
+are many, each node is first compared with one of its bucket.
 
 A shingle is known by its XXH64. Texts with fewer words than a shingle are one
 shingle; those without a word are one node. Rows with a null id take no part; rows of
@@ -51,9 +51,10 @@ COMMON, MOST_COMMON = 8, 1_000_000
 COUNTED = 2
 #: Rounds of comparing nodes with one of their bucket, at most; they end at so many pairs
 #: per row, or when a round has left more than half of them.
-ROUNDS, FEW = 4, 16
-#: Buckets of more nodes are compared in tiles of about TILE shingles.
-BIG, TILE = 1_000, 1 << 17
+ROUNDS, FEW = 4, 2
+#: Buckets of more nodes are compared in tiles of about TILE shingles, so that pairs stay under
+#: BIG / 2 for each row of a bucket, however large the groups of similar texts are.
+BIG, TILE = 16, 1 << 17
 #: Shingles of a tile that are held as a matrix at a time.
 COLUMNS = 4_096
 #: Texts, or pairs of them, that a worker holds at a time.
@@ -315,9 +316,10 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
     rows = staged(rows.withColumn("size", size_of).where("size > 1"), "near-shared")
     before = float("inf")
     big, rows = rows.where(F.col("size") > BIG), rows.where(F.col("size") <= BIG)
-    if not big.isEmpty():
-        links = links.union(_tile_links(docs, big, nodes, size))
     roots = components(links).select("node", "root")
+    if not big.isEmpty():
+        links = links.union(_tile_links(docs, _apart(big, roots), nodes, size))
+        roots = components(links).select("node", "root")
     for seed in range(ROUNDS + 1):
         left = _apart(rows, roots)
         per_bucket = left.groupBy("key", "comp").count().groupBy("key").agg(

@@ -145,3 +145,23 @@ def test_documents_of_one_passage_make_no_pairs(spark, documents, monkeypatch):
     got = near.groups(documents(*rows).select("doc_id", "text")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
     assert sum(met) < 4 * len(rows)
+
+
+def test_texts_that_are_not_quite_similar_make_few_pairs(spark, documents, monkeypatch):
+    rng = random.Random(10)
+    made, plain = [], near._survivors
+    monkeypatch.setattr(near, "_survivors", lambda pairs, nodes: made.append(pairs.count()) or plain(pairs, nodes))
+    base = text_of(rng, 200)
+    for m in (30, 120):  # four words of 200 replaced: most pairs are under the similarity asked for
+        rows = []
+        for i in range(m):
+            text = list(base)
+            for _ in range(4):
+                text[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+            rows.append((i, " ".join(text)))
+        expected = brute_groups(rows)
+        assert len(set(expected.values())) > m / 3
+        made.clear()
+        got = near.groups(documents(*rows).select("doc_id", "text")).collect()
+        assert {r.doc_id: r.component_id for r in got} == expected
+        assert sum(made) < 8 * 40 * m / 4  # 40 prefix shingles a text
