@@ -245,3 +245,15 @@ def test_runs_that_are_no_name_are_not_shuffled_to_a_long_table(spark, monkeypat
     monkeypatch.setattr(session, "possible_facts", lambda *a: passed.append(plain(*a).count()) or plain(*a))
     assert scanned() == inline and sum("PERSON" in r for r in inline) == 320
     assert 150 + 4 * 300 <= passed[0] <= 150 + 4 * 300 + 10
+
+
+def test_rows_are_not_sorted_to_meet_their_hits_of_a_long_table(spark, monkeypatch):
+    monkeypatch.setattr(detect, "INLINE_NAMES", 0)
+    names = spark.createDataFrame([("Ann Lee",), ("Lee",), ("Bo",)], "name string")
+    df = prompts(spark, "Ann  Lee met Bo", "Ann  Lee met Bo", "nobody", None, "Ann  Lee met Bo")
+    hit = detect.with_pii_hits(df, "content", "hits", entities=["PERSON"], names=names)
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r.arrival_seq: r.hits and [h.matched for h in r.hits] for r in hit.collect()}
+    whole = ["Ann  Lee", "Bo"]
+    assert got == {0: whole, 1: whole, 2: [], 3: None, 4: whole}
