@@ -65,7 +65,8 @@ def fingerprinted(rows: DataFrame, *key: str) -> DataFrame:
     """(key, f0, f1): SimHash of the array ``hs``, 64 bits from each hash of a shingle.
 
     Two counters share a long: bit k of the hash is counted in its low half, bit
-    k + 32 in its high half.
+    k + 32 in its high half. The bits are told by one expression over all counters, which
+    stays small in the plan that the driver holds.
     """
     lanes = F.lit((1 << 32) + 1)
     exploded = rows.select(*key, F.explode("hs").alias("h")).withColumn("h1", F.xxhash64(F.lit(1), "h"))
@@ -74,19 +75,19 @@ def fingerprinted(rows: DataFrame, *key: str) -> DataFrame:
     ]
     counted = exploded.groupBy(*key).agg(F.count("*").alias("n"), *sums)
 
-    def bits(c: str) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(32):
-            both = F.col(f"{c}_{k}")
-            for shift, count in ((k, both.bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(both, 32))):
-                out = out.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(_signed(1 << shift))).otherwise(F.lit(0).cast("long")))
-        return out
+    def halves(both: Column) -> Column:
+        return F.array(both.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(both, 32))
 
-    return counted.select(*key, bits("h").alias("f0"), bits("h1").alias("f1"))
+    def bit(count: Column, i: Column) -> Column:
+        k = F.shiftright(i, 1) + i.bitwiseAND(F.lit(1)) * 32
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        return F.when(count * 2 > F.col("n"), one).otherwise(F.lit(0).cast("long"))
 
+    def bits(c: str) -> Column:
+        counts = F.flatten(F.transform(F.array(*(f"{c}_{k}" for k in range(32))), halves))
+        return F.aggregate(F.transform(counts, bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    return counted.select(*key, bits("h").alias("f0"), bits("h1").alias("f1"))
 
 
 def blocks() -> Column:
@@ -156,18 +157,25 @@ def leaks(
         "windows",
     )
     distinct = staged(windows.groupBy("window").agg(F.first("hs").alias("hs")), "windows-distinct")
+    # Fingerprints and pairs are written: each plan is made on its own and then dropped, where one
+    # plan of all would be held, and made anew, at every stage.
+    asked = staged(fingerprinted(distinct, "window"), "window-prints")
     block = lambda b: [b["block"].alias("block"), b["value"].alias("value")]
-    asked = fingerprinted(distinct, "window").select("*", F.explode(blocks()).alias("b")).select("window", "f0", "f1", *block(F.col("b")))
+    asked = asked.select("*", F.explode(blocks()).alias("b")).select("window", "f0", "f1", *block(F.col("b")))
+    prints = items.select("item_id", "hs").dropDuplicates(["item_id", "hs"]).withColumn("text_key", F.xxhash64("hs"))
+    prints = staged(fingerprinted(prints, "item_id", "text_key"), "item-prints")
     held = (
-        fingerprinted(items.select("item_id", "hs").dropDuplicates(["item_id", "hs"]).withColumn("text_key", F.xxhash64("hs")), "item_id", "text_key")
-        .select("item_id", "text_key", F.col("f0").alias("i0"), F.col("f1").alias("i1"), F.explode(blocks()).alias("b"))
+        prints.select("item_id", "text_key", F.col("f0").alias("i0"), F.col("f1").alias("i1"), F.explode(blocks()).alias("b"))
         .select("*", F.explode(near_values()).alias("mask"))
         .select("item_id", "text_key", "i0", "i1", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
     )
     apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("i1")))
-    pairs = asked.join(held.hint("merge"), ["block", "value"]).where(apart <= RADIUS).select(
-        "window", "item_id", F.col("text_key").alias("item_key")
-    ).distinct()
+    pairs = staged(
+        asked.join(held.hint("merge"), ["block", "value"]).where(apart <= RADIUS).select(
+            "window", "item_id", F.col("text_key").alias("item_key")
+        ).distinct(),
+        "window-pairs",
+    )
     sets = items.select("item_id", F.xxhash64("hs").alias("item_key"), F.col("m").alias("item_m"), "set").dropDuplicates(["item_id", "item_key"])
     shared = F.size(F.array_intersect(numbered(F.col("hs")), "set"))
     weighed = (

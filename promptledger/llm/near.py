@@ -309,17 +309,20 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return staged(alike(pairs, texts_of(docs, asked, nodes, size)), "near-links")
 
-    links = checked(_fingerprint_pairs(named))
+    def with_links(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """The components with further links: what is known goes in as stars, which take no round."""
+        known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        return components(known.union(found)).select("node", "root")
+
+    roots = components(checked(_fingerprint_pairs(named))).select("node", "root")
     rows = named.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = rows.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     size_of = F.count("*").over(Window.partitionBy("key"))
     rows = staged(rows.withColumn("size", size_of).where("size > 1"), "near-shared")
     before = float("inf")
     big, rows = rows.where(F.col("size") > BIG), rows.where(F.col("size") <= BIG)
-    roots = components(links).select("node", "root")
     if not big.isEmpty():
-        links = links.union(_tile_links(docs, _apart(big, roots), nodes, size))
-        roots = components(links).select("node", "root")
+        roots = with_links(roots, _tile_links(docs, _apart(big, roots), nodes, size))
     for seed in range(ROUNDS + 1):
         left = _apart(rows, roots)
         per_bucket = left.groupBy("key", "comp").count().groupBy("key").agg(
@@ -328,8 +331,7 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
         n, many = per_bucket.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") ** 2 - F.col("q")) / 2), F.lit(0))).first()
         last, before = seed == ROUNDS or many <= FEW * n or many > before / 2, many
         pairs = staged(_survivors(_pairs(left) if last else _stars(left, seed), nodes), "near-pairs")
-        links = links.union(checked(pairs))
-        roots = components(links).select("node", "root")
+        roots = with_links(roots, checked(pairs))
         if last:
             break
     ids = named.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("c"))
