@@ -1,4 +1,6 @@
+import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +208,66 @@ def test_many_files_take_no_call_to_the_jvm_each(spark, tmp_path, monkeypatch):
     got = {p.split("n=")[1]: body for p, body in files.items()}
     assert got["0.txt"] == "body 0\n" and got["300.txt"] == "\n" and got["__HIVE_DEFAULT_PARTITION__.txt"] == "no key\n"
     assert sorted(got["7.txt"].split("\n")) == ["", "body 7", "second"]
+
+
+def test_files_of_a_folder_are_not_on_the_driver(spark, tmp_path):
+    for i in range(300):
+        at = tmp_path / f"{i % 3}" / f"{i % 5}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{i}.json").write_text(f"body {i}\n" if i else "")
+    files = sources.read_prompt_files(spark, str(tmp_path))
+    # Spark's reader keeps the status of each file, and opens as few as one in a task.
+    assert files.inputFiles() == [] and "FileScan" not in files._jdf.queryExecution().toString()
+    assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    (tmp_path / "later.json").write_text("not there at the call")
+    want = {f"{tmp_path}/{i % 3}/{i % 5}/{i}.json": f"body {i}\n" if i else None for i in range(300)}
+    rows = files.collect()
+    assert len(rows) == 300 and {r["label"]: r["body"] for r in rows} == want
+    assert files.dtypes == [("label", "string"), ("position", "bigint"), ("body", "string")]
+
+
+def test_files_of_many_tasks_and_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "FILES_A_TASK", 7)
+    monkeypatch.setattr(sources, "BYTES_AT_ONCE", 40)
+    want = {f"{tmp_path}/{i}.json": "x" * (i % 30) or None for i in range(100)}
+    for name, body in want.items():
+        with open(name, "w") as file:
+            file.write(body or "")
+    files = sources.read_prompt_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 15
+    assert sorted(map(tuple, files.select("label", "body").collect())) == sorted(want.items())
+
+
+def test_odd_files_are_read_as_by_spark(spark, tmp_path):
+    path = tmp_path / "in"
+    kept = {
+        "a b.json": b"plain\r\n\0", "c+d%20[e].json": b"odd", "bad.json": b"\xffA\xc3(", "mark.json": b"\xef\xbb\xbf{}",
+        "_k=1.json": b"kept", "_p=1/y.json": b"kept", "_metadata/y.json": b"kept", "p=1/q=2/a.json": b"kept",
+    }
+    passed_by = ("_h.json", ".h.json", "x.json._COPYING_", "_no/y.json", ".no/y.json", "A.JSON", "z.txt")
+    for name, content in {**kept, **dict.fromkeys(passed_by, b"not read")}.items():
+        (path / name).parent.mkdir(parents=True, exist_ok=True)
+        (path / name).write_bytes(content)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "o.json").write_bytes(b"out")
+    os.symlink(tmp_path / "out", path / "link")
+    os.symlink(tmp_path / "gone", path / "gone.json")
+    want = {f"{path}/{name}": content for name, content in {**kept, "link/o.json": b"out"}.items()}
+    read = lambda *given: {r["label"]: bytes(r["b"]) for r in sources.read_prompt_files(spark, *given).selectExpr("label", "CAST(body AS BINARY) b").collect()}
+    assert read(str(path)) == want
+    assert read(str(path), "[!a-c]*.{json,txt}").keys() == {n for n in want if n.split("/")[-1][0] not in "abc"} | {f"{path}/z.txt"}
+    assert sources.read_prompt_files(spark, f"{path}/{{p=1,p=1/q=2}}").count() == 1
+    # Compressed files are Spark's.
+    (tmp_path / "out" / "p.json.gz").write_bytes(gzip.compress(b"packed"))
+    assert read(f"file://{tmp_path}/out", "*") == {f"{tmp_path}/out/o.json": b"out", f"{tmp_path}/out/p.json.gz": b"packed"}
+
+
+def test_checksums_of_local_files_are_held_to(spark, tmp_path):
+    spark.createDataFrame([("x" * 2_000,)], "v string").coalesce(1).write.text(f"{tmp_path}/w")
+    files = sources.read_prompt_files(spark, f"{tmp_path}/w", "*.txt")
+    assert files.first()["body"] == "x" * 2_000 + "\n"
+    part = next((tmp_path / "w").glob("part*"))
+    for damaged in (b"x" * 1_999 + b"y\n", b"x" * 2_000 + b"\nmore"):
+        part.write_bytes(damaged)
+        with pytest.raises(Exception, match="(?i)checksum error"):
+            files.collect()
