@@ -248,6 +248,9 @@ def test_odd_files_are_read_as_by_spark(spark, tmp_path):
     for name, content in {**kept, **dict.fromkeys(passed_by, b"not read")}.items():
         (path / name).parent.mkdir(parents=True, exist_ok=True)
         (path / name).write_bytes(content)
+    # Files of no bytes need a plain name, and their folders too.
+    for name in ("_e=1.json", "_p=1/e.json", "_metadata/e.json"):
+        (path / name).write_bytes(b"")
     (tmp_path / "out").mkdir()
     (tmp_path / "out" / "o.json").write_bytes(b"out")
     os.symlink(tmp_path / "out", path / "link")
